@@ -15,7 +15,7 @@ DEADLINE_LABELS = {
     "unknown": "Unknown",
     "confirmed": "Confirmed date",
     "rolling": "Rolling / open until filled",
-    "not_stated": "Not stated",
+    "not_stated": "No deadline stated",
 }
 LISTING_LABELS = {
     "unverified": "Unverified",
