@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("listings",)
+MODULES = ("listings", "histories", "texts")
 
 
 def load_all() -> None:

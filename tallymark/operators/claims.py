@@ -62,7 +62,7 @@ def compose_profiles(claims: DataFrame) -> DataFrame:
     path = F.col("field_path")
     # An e-mail field may hold several addresses; each counts as a value of its own.
     pieces = F.when(
-        path == "identity.email", F.filter(F.transform(F.split("text", "[|\\n]+"), F.trim), lambda x: x != "")
+        path == "identity.email", F.filter(F.transform(F.split("text", "[|\\n]+"), lambda x: F.trim(x)), lambda x: x != "")
     ).otherwise(F.array(F.trim(blank(F.col("text")))))
     values = last.withColumn("_value", F.explode(pieces))
     entry = F.to_json(F.struct("heading", "subheading", "dates", "details"))
