@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("listings", "histories", "texts")
+MODULES = ("listings", "histories", "texts", "matching")
 
 
 def load_all() -> None:

@@ -135,13 +135,26 @@ def first_title(lines: Column) -> Column:
 
 
 def section(lines: Column, keys: Column, headings) -> Column:
-    """WIN-11: lines after the first of `headings` up to the next heading, 20 at most."""
-    starts = F.transform(keys, lambda k, i: F.when(k.isin(*headings), i + 1))
-    start = F.array_min(starts)
-    stops = F.transform(keys, lambda k, i: F.when(k.isin(*ALL_HEADINGS) & (i + 1 > start), i + 1))
-    stop = F.coalesce(F.array_min(stops), F.size(lines) + 1)
-    found = F.slice(lines, start + 1, F.least(stop - start - 1, F.lit(SECTION_LINES)))
-    return F.when(start.isNull(), F.array().cast("array<string>")).otherwise(found)
+    """WIN-11: lines after the first of `headings` up to the next heading, 20 at most. One pass."""
+    zero = F.lit(0)
+
+    def step(acc: Column, key: Column) -> Column:
+        at = acc["at"] + 1
+        opens = (acc["start"] == 0) & key.isin(*headings)
+        closes = (acc["start"] > 0) & (acc["stop"] == 0) & key.isin(*ALL_HEADINGS)
+        return F.struct(
+            at.alias("at"), F.when(opens, at).otherwise(acc["start"]).alias("start"),
+            F.when(closes, at).otherwise(acc["stop"]).alias("stop"),
+        )
+
+    span = F.aggregate(
+        keys, F.struct(zero.alias("at"), zero.alias("start"), zero.alias("stop")), step,
+        lambda acc: F.struct(
+            acc["start"], (F.when(acc["stop"] > 0, acc["stop"]).otherwise(acc["at"] + 1) - acc["start"] - 1).alias("size")
+        ),
+    )
+    found = F.slice(lines, span["start"] + 1, F.least(span["size"], F.lit(SECTION_LINES)))
+    return F.when(span["start"] == 0, F.slice(lines, 1, 0)).otherwise(found)
 
 
 def employment_type(text: Column) -> Column:

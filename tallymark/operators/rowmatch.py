@@ -8,7 +8,7 @@ array. `operators.evidence` is the join form for evidence held in large tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import content_tokens, feature_terms, semantic_strength
@@ -81,14 +81,20 @@ def vector_features(texts: Column, vocabulary: Vocabulary) -> Column:
         step,
         lambda x: F.struct(
             x["text"], x["families"], x["terms"],
+            F.transform(x["terms"], lambda t: t["term"]).alias("names"),
+            F.transform(x["terms"], lambda t: t["weight"]).alias("weights"),
             F.sqrt(F.aggregate(x["terms"], F.lit(0.0), lambda s, f: s + f["weight"] * f["weight"])).alias("norm"),
         ),
     )
 
 
-def scan(need: Column, evidence: Column, vocabulary: Vocabulary) -> Column:
-    """JOIN-03: struct<match_type, evidence, concept, strength> of one need against a list, both featured."""
-    norm, length = need["norm"], F.length(need["norm"])
+def with_scan(rows: DataFrame, need: str, held: str, vocabulary: Vocabulary, out: str) -> DataFrame:
+    """JOIN-03: add struct<match_type, evidence, concept, strength> of a need against a list, both featured.
+
+    Built in steps, so that each costly part is worked out once per row.
+    """
+    n, norm = F.col(need), F.col(f"{need}.norm")
+    length = F.length(norm)
 
     def same_text(e: Column) -> Column:
         return (norm != "") & (
@@ -97,84 +103,85 @@ def scan(need: Column, evidence: Column, vocabulary: Vocabulary) -> Column:
             | ((F.length(e["norm"]) >= CONTAINMENT_CHARS) & F.contains(norm, e["norm"]))
         )
 
-    def outcome(kind, text, concept, strength) -> Column:
-        return F.struct(
-            F.lit(kind).alias("match_type"), text.alias("evidence"), concept.alias("concept"),
-            strength.cast("double").alias("strength"),
-        )
-
-    hit = F.get(
-        F.filter(evidence, lambda e: same_text(e) | F.arrays_overlap(need["concepts"], e["concepts"])), F.lit(0)
-    )
-    shared = F.array_min(F.array_intersect(need["concepts"], hit["concepts"]))
-    direct = outcome(
-        "direct", hit["text"], F.when(same_text(hit), F.lit(EXACT)).otherwise(vocabulary.label(shared)), F.lit(1.0)
-    )
+    first = F.get(F.filter(held, lambda e: same_text(e) | F.arrays_overlap(n["concepts"], e["concepts"])), F.lit(0))
+    rows = rows.withColumn("_hit", first)
 
-    def step(best: Column, e: Column) -> Column:
+    def event(e: Column) -> Column:
         relation = F.array_min(
             F.transform(
-                F.filter(e["reach"], lambda r: F.array_contains(need["concepts"], r["required"])),
+                F.filter(e["reach"], lambda r: F.array_contains(n["concepts"], r["required"])),
                 lambda r: F.struct((-r["strength"]).alias("weakness"), r["required"], r["held"]),
             )
         )
-        linked = F.coalesce(-relation["weakness"], F.lit(0.0))
-        words = jaccard(need["tokens"], e["tokens"])
-        after = F.when(linked > best["strength"], linked).otherwise(best["strength"])
-        by_words = (words >= TOKEN_THRESHOLD) & (words > after)
+        return F.struct(e["text"].alias("text"), relation.alias("relation"), jaccard(n["tokens"], e["tokens"]).alias("words"))
+
+    open_row = F.col("_hit").isNull()
+    none = F.slice(F.transform(held, event), 1, 0)
+    rows = rows.withColumn("_events", F.when(open_row, F.transform(held, event)).otherwise(none))
+
+    def step(best: Column, e: Column) -> Column:
+        linked = F.coalesce(-e["relation"]["weakness"], F.lit(0.0))
+        after = F.greatest(linked, best["strength"])
         return (
-            F.when(by_words, F.struct(
-                F.lit("related").alias("match_type"), e["text"].alias("evidence"), F.lit(SHARED_WORDS).alias("concept"),
-                F.least(F.lit(TOKEN_CAP), words).alias("strength"),
+            F.when((e["words"] >= TOKEN_THRESHOLD) & (e["words"] > after), F.struct(
+                e["text"].alias("evidence"), F.lit(SHARED_WORDS).alias("required"), F.lit("").alias("held"),
+                F.least(F.lit(TOKEN_CAP), e["words"]).alias("strength"),
             ))
             .when(linked > best["strength"], F.struct(
-                F.lit("related").alias("match_type"), e["text"].alias("evidence"),
-                F.concat(relation["required"], F.lit("\x01"), relation["held"]).alias("concept"),
-                linked.alias("strength"),
+                e["text"].alias("evidence"), e["relation"]["required"].alias("required"),
+                e["relation"]["held"].alias("held"), linked.alias("strength"),
             ))
             .otherwise(best)
         )
 
-    missing = outcome("missing", F.lit(""), F.lit(""), F.lit(0.0))
-    best = F.aggregate(evidence, missing, step)
-    pair = F.split(best["concept"], "\x01")
-    named = F.when(
-        F.size(pair) == 2, F.concat(vocabulary.label(F.get(pair, F.lit(0))), F.lit(" ↔ "), vocabulary.label(F.get(pair, F.lit(1))))
-    ).otherwise(best["concept"])
-    related = F.struct(best["match_type"].alias("match_type"), best["evidence"].alias("evidence"),
-                       named.alias("concept"), best["strength"].alias("strength"))
-    return F.when(hit.isNotNull(), direct).otherwise(related)
+    blank = F.lit("")
+    start = F.struct(blank.alias("evidence"), blank.alias("required"), blank.alias("held"), F.lit(0.0).alias("strength"))
+    rows = rows.withColumn("_best", F.aggregate("_events", start, step))
+    hit, best, label = F.col("_hit"), F.col("_best"), vocabulary.label
+    shared = F.array_min(F.array_intersect(n["concepts"], hit["concepts"]))
+    direct = F.struct(
+        F.lit("direct").alias("match_type"), hit["text"].alias("evidence"),
+        F.when(same_text(hit), F.lit(EXACT)).otherwise(label(shared)).alias("concept"), F.lit(1.0).alias("strength"),
+    )
+    found = best["strength"] > 0
+    related = F.struct(
+        F.when(found, "related").otherwise("missing").alias("match_type"), best["evidence"].alias("evidence"),
+        F.when(found & (best["held"] != ""), F.concat(label(best["required"]), F.lit(" ↔ "), label(best["held"])))
+        .otherwise(best["required"]).alias("concept"),
+        best["strength"].alias("strength"),
+    )
+    return rows.withColumn(out, F.when(hit.isNotNull(), direct).otherwise(related)).drop("_hit", "_events", "_best")
 
 
-def semantic_scan(need: Column, evidence: Column, vocabulary: Vocabulary) -> Column:
-    """JOIN-08: struct<evidence, concept, strength> of the strongest similar text, NULL for none."""
+def with_semantic_scan(rows: DataFrame, need: str, held: str, vocabulary: Vocabulary, out: str) -> DataFrame:
+    """JOIN-08: add struct<evidence, concept, strength> of the strongest similar text, NULL for none."""
+    n = F.col(need)
 
     def compare(e: Column) -> Column:
         dot = F.aggregate(
-            need["terms"],
+            F.filter(e["terms"], lambda o: F.array_contains(n["names"], o["term"])),
             F.lit(0.0),
-            lambda total, t: total
-            + F.coalesce(
-                t["weight"] * F.get(F.filter(e["terms"], lambda o: o["term"] == t["term"]), F.lit(0))["weight"],
-                F.lit(0.0),
-            ),
+            lambda total, o: total + o["weight"] * F.element_at(n["weights"], F.array_position(n["names"], o["term"]).cast("int")),
+        )
+        similarity = F.when((n["norm"] > 0) & (e["norm"] > 0), dot / (n["norm"] * e["norm"])).otherwise(0.0)
+        return F.struct(
+            e["text"].alias("evidence"), similarity.alias("similarity"),
+            F.array_intersect(n["families"], e["families"]).alias("families"),
         )
-        both = F.array_intersect(need["families"], e["families"])
-        similarity = F.when((need["norm"] > 0) & (e["norm"] > 0), dot / (need["norm"] * e["norm"])).otherwise(0.0)
-        return F.struct(e["text"].alias("evidence"), similarity.alias("similarity"), both.alias("families"))
-
-    scored = F.transform(F.transform(evidence, compare), lambda c: F.struct(
-        c["evidence"], c["similarity"], c["families"],
-        semantic_strength(c["similarity"], F.size(c["families"]) > 0).alias("strength"),
-    ))
-    top = F.array_max(F.transform(scored, lambda c: c["strength"]))
-    best = F.get(F.filter(scored, lambda c: c["strength"] == top), F.lit(0))
-    labels = F.sort_array(F.transform(best["families"], vocabulary.family_label))
+
+    scored = F.transform(
+        F.transform(held, compare),
+        lambda c, i: F.struct(
+            semantic_strength(c["similarity"], F.size(c["families"]) > 0).alias("strength"), (-i).alias("place"),
+            c["evidence"], c["similarity"], c["families"],
+        ),
+    )
+    rows = rows.withColumn("_top", F.when(n.isNotNull(), F.array_max(F.filter(scored, lambda c: c["strength"].isNotNull()))))
+    top = F.col("_top")
+    labels = F.sort_array(F.transform(top["families"], vocabulary.family_label))
     explanation = F.concat(
-        F.lit("Controlled semantic similarity ("), F.format_string("%.2f", best["similarity"]), F.lit(")"),
+        F.lit("Controlled semantic similarity ("), F.format_string("%.2f", top["similarity"]), F.lit(")"),
         F.when(F.size(labels) > 0, F.concat(F.lit(" via "), F.array_join(labels, ", "))).otherwise(""),
     )
-    return F.when(
-        top.isNotNull(),
-        F.struct(best["evidence"].alias("evidence"), explanation.alias("concept"), best["strength"].alias("strength")),
-    )
+    offer = F.struct(top["evidence"].alias("evidence"), explanation.alias("concept"), top["strength"].alias("strength"))
+    return rows.withColumn(out, F.when(top.isNotNull(), offer)).drop("_top")

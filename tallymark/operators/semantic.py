@@ -95,10 +95,11 @@ def best_semantic(
     gaps: DataFrame, evidence: DataFrame, vocabulary: Vocabulary | None = None, scope: tuple[str, ...] = ("pool",)
 ) -> DataFrame:
     """JOIN-08: strongest evidence per (scope, requirement, profile_id) among `gaps`, first wins ties."""
-    pairs = similar_texts(gaps, evidence, vocabulary, scope)
+    # Likeness does not depend on the scope, so each pair of distinct texts is compared once.
+    pairs = similar_texts(gaps, evidence, vocabulary, ())
     first = evidence.groupBy(*scope, "profile_id", "evidence").agg(F.min("position").alias("position"))
     keys = [*scope, "requirement", "profile_id"]
-    hits = pairs.join(first, [*scope, "evidence"]).join(gaps.select(*keys).distinct(), keys, "left_semi")
+    hits = gaps.select(*keys).distinct().join(pairs, "requirement").join(first, [*scope, "profile_id", "evidence"])
     best = F.min(
         F.struct(
             (-F.col("strength")).alias("weakness"), "position", "evidence", "similarity", "families", "strength"

@@ -19,7 +19,7 @@ from ..operators.scoring import (
     deal_breaker_hits, denies_sponsorship, experience_match, needs_sponsorship, searchable_text, two_part,
     weighted_score,
 )
-from ..operators.rowmatch import scan, semantic_scan, text_features, vector_features
+from ..operators.rowmatch import text_features, vector_features, with_scan, with_semantic_scan
 from ..operators.vocabulary import ENTRY_TERMS, SOFTWARE_TERMS, Vocabulary, mentions
 
 MATCHER_VERSION = "2.3-controlled-semantic"
@@ -27,6 +27,11 @@ TRANSFERABLE_ROLE, SOFTWARE_ROLE = 0.70, 0.80
 DIRECT_INDUSTRY, RELATED_INDUSTRY, DIRECT_ROLE = 0.85, 0.55, 0.85
 PRIORITY, ADJACENT, OUTSIDE = "PRIORITY ROLE", "ADJACENT OPPORTUNITY", "OUTSIDE PRIORITY"
 
+_ITEM = (
+    "struct<category:string,ordinal:int,requirement:string,match_type:string,evidence:string,concept:string,"
+    "strength:double,semantic:struct<evidence:string,concept:string,strength:double>>"
+)
+_RANKED = f"struct<s:double,o:int,x:{_ITEM}>"
 EVIDENCE_TYPE = "struct<requirement:string,match_type:string,evidence:string,concept:string,strength:double>"
 # Requirement categories, with the evidence pool each is matched against.
 POOLS = {
@@ -170,18 +175,18 @@ def match_texts(items, profiles, manual_profiles, scope, vocabulary, semantic=Tr
     features = lambda c: text_features(c, vocabulary, F.col("pool") == "role")
     needs = needs.withColumn("need", F.get(features(one), F.lit(0)))
     held = _listed(evidence_pools(profiles), scope).withColumn("held", features(F.col("items"))).drop("items")
-    rows = needs.join(held, [*scope, "pool"]).withColumn("hit", scan(F.col("need"), F.col("held"), vocabulary))
-    offer = F.lit(None).cast("struct<evidence:string,concept:string,strength:double>")
+    rows = with_scan(needs.join(held, [*scope, "pool"]), "need", "held", vocabulary, "hit")
+    rows = rows.select(*scope, "pool", "requirement", "profile_id", "hit")
     if semantic:
         lists = semantic_pools(profiles if manual_profiles is None else manual_profiles)
         vectors = _listed(lists, scope).withColumn("vectors", vector_features(F.col("items"), vocabulary)).drop("items")
-        rows = rows.select(*scope, "pool", "requirement", "profile_id", "hit").join(
-            vectors, [*scope, "pool", "profile_id"], "left"
-        )
+        rows = rows.join(vectors, [*scope, "pool", "profile_id"], "left")
         missing = (F.col("hit.match_type") == "missing") & F.col("vectors").isNotNull()
         rows = rows.withColumn("want", F.when(missing, F.get(vector_features(one, vocabulary), F.lit(0))))
-        offer = F.when(F.col("want").isNotNull(), semantic_scan(F.col("want"), F.col("vectors"), vocabulary))
-    return rows.select(*scope, "pool", "requirement", "profile_id", "hit.*", offer.alias("semantic"))
+        rows = with_semantic_scan(rows, "want", "vectors", vocabulary, "semantic")
+    else:
+        rows = rows.withColumn("semantic", F.lit(None).cast("struct<evidence:string,concept:string,strength:double>"))
+    return rows.select(*scope, "pool", "requirement", "profile_id", "hit.*", "semantic")
 
 
 def _listed(lists: tuple[DataFrame, dict[str, Column]], scope) -> DataFrame:
@@ -194,10 +199,7 @@ def _listed(lists: tuple[DataFrame, dict[str, Column]], scope) -> DataFrame:
 # ------------------------------------------------------------------ one row per pair
 def _of(category: str) -> Column:
     found = F.filter(
-        F.coalesce("found", F.expr("array()").cast(
-            "array<struct<category:string,ordinal:int,requirement:string,match_type:string,evidence:string,"
-            "concept:string,strength:double,semantic:struct<evidence:string,concept:string,strength:double>>>"
-        )),
+        F.coalesce("found", F.array().cast(f"array<{_ITEM}>")),
         lambda x: x["category"] == category,
     )
     return F.array_sort(
@@ -207,8 +209,14 @@ def _of(category: str) -> Column:
 
 def _first_best(items: Column) -> Column:
     """Strongest item, the first of equals; NULL for none."""
-    top = F.array_max(F.transform(items, lambda x: x["strength"]))
-    return F.get(F.filter(items, lambda x: x["strength"] == top), F.lit(0))
+    ranked = F.transform(items, lambda x: F.struct(x["strength"].alias("s"), (-x["ordinal"]).alias("o"), x.alias("x")))
+    return F.reduce(
+        ranked, F.lit(None).cast(_RANKED),
+        lambda best, r: F.when(
+            best.isNull() | (r["s"] > best["s"]) | ((r["s"] == best["s"]) & (r["o"] > best["o"])), r
+        ).otherwise(best),
+        lambda best: best["x"],
+    )
 
 
 def _entry(requirement, match_type, evidence, concept, strength) -> Column:
