@@ -20,7 +20,8 @@ from ..operators.evidence import FixedTags, TableTags, best_evidence, pool
 from ..operators.ordered import top_k
 from ..operators.rowmatch import text_features, with_scan
 from ..operators.semantic import best_semantic, similar_texts
-from ..operators.vocabulary import RELATIONS, Vocabulary, symmetric_relations, tag_with_table
+from ..operators.spread import spread
+from ..operators.vocabulary import Vocabulary, symmetric_relations, tag_with_table
 from ..plans.matcher import evidence_rows, match
 from ..sources.tables import table
 from .registry import query
@@ -219,7 +220,7 @@ def join_03(spark, sf):
         F.transform(F.array_sort(F.collect_list(F.struct("position", "evidence"))), lambda x: x["evidence"]).alias("items")
     )
     held = lists.select("scope", "profile_id", text_features(F.col("items"), _V, role).alias("held"))
-    asked = needs(spark, sf).withColumn("need", F.get(text_features(F.array("requirement"), _V, role), F.lit(0)))
+    asked = spread(needs(spark, sf), "scope", "requirement").withColumn("need", F.get(text_features(F.array("requirement"), _V, role), F.lit(0)))
     rows = with_scan(asked.join(held, "scope"), "need", "held", _V, "hit")
     return rows.select("scope", "requirement", "profile_id", "hit.*").where("match_type <> 'missing'")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, long_tokens, normalize_text
 from .containment import contained_pairs
+from .spread import spread
 from .vocabulary import Vocabulary, symmetric_relations, tag_with_table
 
 CONTAINMENT_CHARS = 5
@@ -102,7 +103,7 @@ def best_evidence(needs: DataFrame, evidence: DataFrame, tags=None, scope: tuple
     """
     tags = tags or FixedTags()
     scope = list(scope)
-    wanted = needs.select(*scope, "requirement").distinct()
+    wanted = spread(needs.select(*scope, "requirement").distinct(), *scope, "requirement")
     wanted = tags.tag(wanted.withColumn("norm", normalize_text(F.col("requirement"))))
     wanted = wanted.withColumn("tokens", long_tokens(F.col("norm")))
     held = evidence.select(*scope, "profile_id", "position", "evidence")

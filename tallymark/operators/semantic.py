@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import FAMILY_THRESHOLD, content_tokens, feature_terms, semantic_strength
 from ..functions.text import normalize_text
+from .spread import spread
 from .vocabulary import Vocabulary
 
 
 def text_vectors(texts: DataFrame, column: str, vocabulary: Vocabulary, scope=()) -> DataFrame:
     """Distinct texts with their sparse vector (map), norm and phrase families."""
-    base = texts.select(*scope, column).distinct().withColumn("_n", normalize_text(F.col(column)))
+    base = spread(texts.select(*scope, column).distinct(), *scope, column).withColumn("_n", normalize_text(F.col(column)))
     base = base.withColumn("families", vocabulary.family_tags(F.col("_n")))
-    occurrences = base.withColumn(
-        "_f", feature_terms(content_tokens(F.col("_n")), F.col("families"))
-    )
+    base = base.withColumn("_t", content_tokens(F.col("_n")))
+    occurrences = base.withColumn("_f", feature_terms(F.col("_t"), F.col("families")))
     terms = F.array_distinct(F.transform("_f", lambda f: f["term"]))
     weights = F.transform(
         terms,
@@ -73,6 +73,7 @@ def similar_texts(
         ),
         [*scope, "evidence"],
     )
+    paired = spread(paired, *scope, "requirement", "evidence")
     dot = F.aggregate(
         F.map_entries("vector"),
         F.lit(0.0),

@@ -20,6 +20,7 @@ from ..operators.scoring import (
     weighted_score,
 )
 from ..operators.rowmatch import text_features, vector_features, with_scan, with_semantic_scan
+from ..operators.spread import spread
 from ..operators.vocabulary import ENTRY_TERMS, SOFTWARE_TERMS, Vocabulary, mentions
 
 MATCHER_VERSION = "2.3-controlled-semantic"
@@ -170,7 +171,7 @@ def _profile_side(profiles: DataFrame, scope) -> DataFrame:
 
 def match_texts(items, profiles, manual_profiles, scope, vocabulary, semantic=True) -> DataFrame:
     """Each distinct (scope, pool, requirement) text against the profiles of its scope."""
-    needs = items.select(*scope, "pool", "requirement").distinct()
+    needs = spread(items.select(*scope, "pool", "requirement").distinct(), *scope, "pool", "requirement")
     one = F.array("requirement")
     features = lambda c: text_features(c, vocabulary, F.col("pool") == "role")
     needs = needs.withColumn("need", F.get(features(one), F.lit(0)))
