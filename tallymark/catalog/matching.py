@@ -20,7 +20,7 @@ from ..operators.evidence import FixedTags, TableTags, best_evidence, pool
 from ..operators.ordered import top_k
 from ..operators.rowmatch import text_features, with_scan
 from ..operators.semantic import best_semantic, similar_texts
-from ..operators.spread import spread
+from ..operators.spread import fence, spread
 from ..operators.vocabulary import Vocabulary, symmetric_relations, tag_with_table
 from ..plans.matcher import evidence_rows, match
 from ..sources.tables import table
@@ -221,7 +221,7 @@ def join_03(spark, sf):
     )
     held = lists.select("scope", "profile_id", text_features(F.col("items"), _V, role).alias("held"))
     asked = spread(needs(spark, sf), "scope", "requirement").withColumn("need", F.get(text_features(F.array("requirement"), _V, role), F.lit(0)))
-    rows = with_scan(asked.join(held, "scope"), "need", "held", _V, "hit")
+    rows = fence(with_scan(asked.join(held, "scope"), "need", "held", _V, "hit"), "texts_scanned")
     return rows.select("scope", "requirement", "profile_id", "hit.*").where("match_type <> 'missing'")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, long_tokens, normalize_text
 from .containment import contained_pairs
-from .spread import spread
+from .spread import settle, spread
 from .vocabulary import Vocabulary, symmetric_relations, tag_with_table
 
 CONTAINMENT_CHARS = 5
@@ -105,10 +105,10 @@ def best_evidence(needs: DataFrame, evidence: DataFrame, tags=None, scope: tuple
     scope = list(scope)
     wanted = spread(needs.select(*scope, "requirement").distinct(), *scope, "requirement")
     wanted = tags.tag(wanted.withColumn("norm", normalize_text(F.col("requirement"))))
-    wanted = wanted.withColumn("tokens", long_tokens(F.col("norm")))
+    wanted = settle(wanted.withColumn("tokens", long_tokens(F.col("norm"))))
     held = evidence.select(*scope, "profile_id", "position", "evidence")
     held = tags.tag(held.withColumn("norm", normalize_text(F.col("evidence"))))
-    held = held.withColumn("tokens", long_tokens(F.col("norm")))
+    held = settle(held.withColumn("tokens", long_tokens(F.col("norm"))))
 
     pair = [*scope, "requirement", "profile_id"]
     first = F.min(F.struct("position", "evidence")).alias("first")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import FAMILY_THRESHOLD, content_tokens, feature_terms, semantic_strength
 from ..functions.text import normalize_text
-from .spread import spread
+from .spread import fence, settle, spread
 from .vocabulary import Vocabulary
 
 
@@ -57,8 +57,8 @@ def similar_texts(
     """Text pairs above the threshold: scope..., requirement, evidence, similarity, strength, families."""
     vocabulary = vocabulary or Vocabulary()
     scope = list(scope)
-    left = text_vectors(needs, "requirement", vocabulary, scope)
-    right = text_vectors(evidence, "evidence", vocabulary, scope)
+    left = settle(text_vectors(needs, "requirement", vocabulary, scope))
+    right = settle(text_vectors(evidence, "evidence", vocabulary, scope))
     right_terms = right.select(*scope, "evidence", F.explode(F.map_keys("vector")).alias("term"))
     frequency = right_terms.groupBy(*scope, "term").agg(F.count("*").alias("df"))
     candidates = (
@@ -86,7 +86,7 @@ def similar_texts(
     )
     labels = F.sort_array(F.transform("shared", vocabulary.family_label))
     return (
-        scored.withColumn("strength", semantic_strength(F.col("similarity"), F.size("shared") > 0))
+        fence(scored, "text_pairs_compared").withColumn("strength", semantic_strength(F.col("similarity"), F.size("shared") > 0))
         .where(F.col("strength").isNotNull())
         .select(*scope, "requirement", "evidence", "similarity", "strength", labels.alias("families"))
     )

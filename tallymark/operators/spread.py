@@ -1,8 +1,11 @@
-"""Keep a CPU-bound step parallel."""
+"""Keep costly steps parallel, computed once and in place."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import checkpoint_dir
 
 
 def spread(rows: DataFrame, *columns: str) -> DataFrame:
@@ -13,3 +16,21 @@ def spread(rows: DataFrame, *columns: str) -> DataFrame:
     """
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(count, *columns)
+
+
+def fence(rows: DataFrame, name: str) -> DataFrame:
+    """Count the rows that pass, and keep later filters above this point.
+
+    A filter on a costly column would otherwise be pushed below the column's own
+    projection, copied with all it is made of, and run on rows not yet made distinct.
+    """
+    return rows.observe(name, F.count(F.lit(1)).alias("rows"))
+
+
+def settle(rows: DataFrame) -> DataFrame:
+    """Write rows that several branches read to the shared checkpoint folder, once."""
+    folder = checkpoint_dir(rows.sparkSession)
+    context = rows.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(folder)
+    return rows.checkpoint()

@@ -20,7 +20,7 @@ from ..operators.scoring import (
     weighted_score,
 )
 from ..operators.rowmatch import text_features, vector_features, with_scan, with_semantic_scan
-from ..operators.spread import spread
+from ..operators.spread import fence, spread
 from ..operators.vocabulary import ENTRY_TERMS, SOFTWARE_TERMS, Vocabulary, mentions
 
 MATCHER_VERSION = "2.3-controlled-semantic"
@@ -130,7 +130,7 @@ def match(
         ).alias("found")
     )
     rows = pairs.join(gathered, ["job_id", "profile_id"], "left")
-    return _score(_categories(rows), layers)
+    return fence(_score(_categories(rows), layers), "pairs_scored")
 
 
 def _prepare(postings: DataFrame, requirements: DataFrame, scope) -> DataFrame:
@@ -187,7 +187,8 @@ def match_texts(items, profiles, manual_profiles, scope, vocabulary, semantic=Tr
         rows = with_semantic_scan(rows, "want", "vectors", vocabulary, "semantic")
     else:
         rows = rows.withColumn("semantic", F.lit(None).cast("struct<evidence:string,concept:string,strength:double>"))
-    return rows.select(*scope, "pool", "requirement", "profile_id", "hit.*", "semantic")
+    rows = rows.select(*scope, "pool", "requirement", "profile_id", "hit", "semantic")
+    return fence(rows, "texts_matched").select("*", "hit.*").drop("hit")
 
 
 def _listed(lists: tuple[DataFrame, dict[str, Column]], scope) -> DataFrame:
