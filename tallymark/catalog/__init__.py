@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("listings", "histories", "texts", "matching")
+MODULES = ("listings", "histories", "texts", "matching", "quality")
 
 
 def load_all() -> None:

@@ -218,13 +218,12 @@ def extraction_claims(extractions: DataFrame) -> DataFrame:
     parts.append(
         F.array(claim(F.lit("profile.professional_summary"), "profile.professional_summary", "summary", "scalar", F.lit(0), F.col("profile.professional_summary")))
     )
-    for path, name in ENTRIES.items():
-        parts.append(
-            F.transform(
-                path,
-                lambda e, i, path=path, name=name: claim(F.concat(F.lit(path + "."), i.cast("string")), path, name, "entry", i, entry=e),
-            )
-        )
+
+    def entry_claims(path: str, name: str) -> Column:
+        slot = lambda i: F.concat(F.lit(path + "."), i.cast("string"))
+        return F.transform(path, lambda e, i: claim(slot(i), path, name, "entry", i, entry=e))
+
+    parts += [entry_claims(path, name) for path, name in ENTRIES.items()]
     parts.append(
         F.transform(
             "profile.skills",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import listing as L
 from ..functions.text import blank, strip
+from ..operators.spread import fence
 
 PARSER_VERSION = "deterministic-intake-v1"
 
@@ -54,4 +55,4 @@ def extract_listings(listings: DataFrame, text: str = "raw_text") -> DataFrame:
             ),
         }
     )
-    return rows.drop("_lines", "_keys", "_deadline")
+    return fence(rows, "listings_read").drop("_lines", "_keys", "_deadline")

@@ -13,6 +13,7 @@ from ..functions.html import parse_page
 from ..functions.similarity import title_similarity
 from ..functions.text import collapsed, company_text, first_seen, squeeze
 from ..functions.urls import crawl_reject_reason, generic_careers_url
+from ..operators.spread import fence
 
 SEGMENT = "\\s+[|–—]\\s+|\\s+-\\s+"
 OPEN_TITLE, OPEN_COMPANY = 0.65, 0.55
@@ -112,7 +113,7 @@ def interpret_parsed(rows: DataFrame, as_of: str) -> DataFrame:
         F.when(F.col("_json_date").isNotNull(), "confirmed").when(rolling, "rolling").when(unstated, "not_stated")
         .when(cued.isNotNull(), "confirmed").otherwise("unknown"),
     ).withColumn("deadline", F.when(F.col("deadline_status") == "confirmed", F.coalesce("_json_date", cued)))
-    return _classified(rows, today).drop("_titles", "_companies", "_t", "_c", "_visible", "_json_date")
+    return fence(_classified(rows, today), "pages_interpreted").drop("_titles", "_companies", "_t", "_c", "_visible", "_json_date")
 
 
 def _apply_actions() -> Column:

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 CLOSE = "close"
 
@@ -28,47 +27,45 @@ def counters_batch(rows: DataFrame, at: str, period: str, by: str) -> DataFrame:
     return counted.select(F.col("window.start").alias("period"), by, "n")
 
 
-class ListingLife(StatefulProcessor):
-    """State of one listing over the fetches of its source.
+def listing_life(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """State of one listing over the fetches of its source: first and last sighting, closing.
 
-    A fetch reaches every listing of its source as a marker row (see `with_markers`), so
-    absence is an event; a failed fetch sends none.
+    A fetch that no longer holds a listing reaches it as a close row (see `with_markers`),
+    so absence is an event; a failed fetch sends none.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.life = handle.getValueState("life", "first_at long, last_at long, closed_at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["at", "kind"])
-        first, last, closed = self.life.get() if self.life.exists() else (None, None, None)
-        for at, kind in zip(events["at"], events["kind"]):
-            at = int(at)
-            if kind == "seen":
-                first = at if first is None else first
-                last, closed = at, None
-            elif kind == CLOSE and last is not None and at > last and closed is None:
-                closed = at
-        if first is None:
-            return
-        self.life.update((first, last, closed))
-        yield pd.DataFrame(
-            {
-                "source_key": [key[0]], "external_id": [key[1]], "first_at": [first], "last_at": [last],
-                "closed_at": pd.array([closed], dtype="Int64"),
-            }
-        )
-
-    def close(self) -> None:
-        pass
+    first, last, closed = state.get if state.exists else (-1, -1, -1)
+    rows = pd.concat(list(batches)).sort_values(["at", "kind"])
+    for at, kind in zip(rows["at"], rows["kind"]):
+        at = int(at)
+        if kind == "seen":
+            first = at if first < 0 else first
+            last, closed = at, -1
+        elif 0 <= last < at and closed < 0:
+            closed = at
+    state.update((first, last, closed))
+    yield pd.DataFrame(
+        {"source_key": [key[0]], "external_id": [key[1]], "first_at": [first], "last_at": [last], "closed_at": [closed]}
+    )
 
 
 LIFE = "source_key string, external_id string, first_at long, last_at long, closed_at long"
 
 
 def lifecycle_stream(events: DataFrame) -> DataFrame:
-    """STR-02: updates of listing state. events: source_key, external_id, at (long), kind seen|close."""
-    return events.groupBy("source_key", "external_id").transformWithStateInPandas(
-        statefulProcessor=ListingLife(), outputStructType=LIFE, outputMode="Update", timeMode="None"
+    """STR-02: updates of listing state; -1 stands for none.
+
+    events: source_key, external_id, at (long), kind seen|close
+    """
+    return events.groupBy("source_key", "external_id").applyInPandasWithState(
+        listing_life, LIFE, "first_at long, last_at long, closed_at long", "update", "NoTimeout"
+    )
+
+
+def latest_states(updates: DataFrame) -> DataFrame:
+    """The last update of each listing, over the batches a sink has written."""
+    row = F.struct("first_at", "last_at", "closed_at")
+    return updates.groupBy("source_key", "external_id").agg(F.max_by(row, "batch").alias("s")).select(
+        "source_key", "external_id", "s.*"
     )
 
 
@@ -103,3 +100,22 @@ def mark_stale_batch(changes: DataFrame, batch_id: int, path: str) -> None:
 def stale_jobs(marks: DataFrame) -> DataFrame:
     """Current marks over all batches: each reason once, the earliest time it held."""
     return marks.groupBy("job_id", "reason").agg(F.min("since").alias("since"))
+
+
+def run_available(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Drain a stream into one folder per batch and read the result back.
+
+    A batch that is run again writes its own folder again, so nothing is counted twice.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    query = (
+        stream.writeStream.outputMode(mode).foreachBatch(write)
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.option("basePath", f"{folder}/out").schema(
+        stream.schema.add("batch", "long")
+    ).parquet(f"{folder}/out")
