@@ -12,6 +12,7 @@ from ..operators import claims as K
 from ..operators import extractors as E
 from ..operators import listing as L
 from ..operators import quality as Q
+from ..operators.spread import fill_slots
 from ..plans.discovery import duplicates_and_relevance
 from ..plans.resume import extract_documents
 from ..session import checkpoint_dir
@@ -80,7 +81,7 @@ def flt_15(spark, sf):
 
 def line_pairs(spark, sf):
     """Each turn's sentences as expected lines, the same without every third letter pair as found lines."""
-    rows = table(spark, sf, "conversations")
+    rows = fill_slots(table(spark, sf, "conversations"))
     lines = F.array_join(F.transform(F.split("text", "[.\n]+"), lambda x: F.trim(x)), "\n")
     changed = F.when(F.col("turn") % 2 == 0, lines).otherwise(F.regexp_replace(lines, "th", "d"))
     return rows.select("conv_id", "turn", lines.alias("expected"), changed.alias("actual"))
@@ -236,7 +237,8 @@ def payloads(spark, sf):
   CASE WHEN o_orderkey % 70 > 60 THEN 'requirements.minimum_years_experience out_of_range' END, 'requirements.maximum_years_experience out_of_range', CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 10 <> 0 THEN 'confirmed_without_date' END,
   CASE WHEN o_orderkey % 70 > 65 THEN 'max_years_below_min' END) AS violations FROM orders""")
 def fn_28(spark, sf):
-    return payloads(spark, sf).select("job_id", F.array_join(Q.payload_violations(F.col("payload")), "; ").alias("violations"))
+    rows = payloads(spark, sf).withColumn("parsed", F.try_parse_json("payload"))
+    return rows.select("job_id", F.array_join(Q.payload_violations(F.col("payload"), F.col("parsed")), "; ").alias("violations"))
 
 
 @query("set_06_key_conformity", """SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 7 = 0 THEN '$ missing warnings; $ extra notes' ELSE '' END AS problems FROM orders""")

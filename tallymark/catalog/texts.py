@@ -14,6 +14,7 @@ from ..functions.numbers import half_even
 from ..operators import duplicates as D
 from ..operators import grounding as G
 from ..operators.discovery import validity
+from ..operators.spread import fill_slots
 from ..operators.vocabulary import ENTRY_TERMS, Vocabulary, mentions
 from ..plans.intake import extract_listings
 from ..plans.pages import crawl, interpret_pages
@@ -29,7 +30,7 @@ COMPACT = "regexp_replace(replace(lower(nfc_normalize({c})), 'ß', 'ss'), '[^\\p
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents")
+    return fill_slots(table(spark, sf, "documents"))
 
 
 def digest(c):
@@ -233,12 +234,12 @@ def fn_22(spark, sf):
 
 @query("fn_25_html_to_text")
 def fn_25(spark, sf):
-    return table(spark, sf, "pages").select("page_id", digest(html_to_text("html")).alias("text_hash"))
+    return fill_slots(table(spark, sf, "pages")).select("page_id", digest(html_to_text("html")).alias("text_hash"))
 
 
 @query("fn_26_page_evidence")
 def fn_26(spark, sf):
-    rows = table(spark, sf, "pages").select("page_id", parse_page("html", F.lit("text/html")).alias("p"))
+    rows = fill_slots(table(spark, sf, "pages")).select("page_id", parse_page("html", F.lit("text/html")).alias("p"))
     return rows.select(
         "page_id", "p.document_title", digest(F.col("p.visible_text")).alias("visible_hash"), F.size("p.links").alias("links"),
         F.size("p.buttons").alias("buttons"), F.size("p.postings").alias("postings"),
@@ -262,7 +263,7 @@ def crawled(spark, sf):
 
 def pages_of(spark, sf):
     """Pages as a crawl of listings: the expected title is the page's own for two of three."""
-    rows = table(spark, sf, "pages")
+    rows = fill_slots(table(spark, sf, "pages"))
     title = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
     host = U.host_of(F.col("url"))
     n = F.col("page_id")

@@ -34,3 +34,13 @@ def settle(rows: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(folder)
     return rows.checkpoint()
+
+
+def fill_slots(rows: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than there are task slots.
+
+    Long texts are CPU-bound, and a file with one row group is one split. A scan of many
+    splits is left alone, so large inputs are never shuffled by this.
+    """
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(slots) if rows.rdd.getNumPartitions() < slots else rows
