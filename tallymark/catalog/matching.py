@@ -312,7 +312,9 @@ def set_01(spark, sf):
     return pool(rows, "skills", F.col("skills"), F.col("priorities")).select("profile_id", "position", "evidence")
 
 
-@query("join_02_profile_pairs", """SELECT o_orderkey AS job_id, c_nationkey * 5 + s AS profile_id FROM orders JOIN customer ON o_custkey = c_custkey, range(0, 5) t(s)""")
+@query("join_02_profile_pairs", """WITH p AS (SELECT DISTINCT c_nationkey AS scope, list_position(['AUTOMOBILE','BUILDING','FURNITURE','HOUSEHOLD','MACHINERY'], c_mktsegment) - 1 AS s
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey AS job_id, CAST(scope * 5 + s AS BIGINT) AS profile_id FROM orders JOIN customer ON o_custkey = c_custkey JOIN p ON c_nationkey = scope""")
 def join_02(spark, sf):
     posting, _ = jobs(spark, sf)
     return posting.select("job_id", "scope").join(profiles(spark, sf).select("scope", "profile_id"), "scope").select("job_id", "profile_id")
