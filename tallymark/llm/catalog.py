@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from ..sources.tables import table
-from . import exactdup, secrets, simhash
+from . import bpe, exactdup, secrets, simhash, tokenfile
 
 QUERIES, ORACLE = {}, {}
 
@@ -23,6 +25,17 @@ def op2(spark, folder):
     return secrets.scan(table(spark, folder, "documents"), "doc_id", "text")
 
 
+@query("op4_token_files")
+def op4(spark, folder):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokenfile.round_trip(table(spark, folder, "documents"), "doc_id", "text", path, end_id=0)
+
+
+@query("op7_bpe")
+def op7(spark, folder):
+    return bpe.digest(table(spark, folder, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query(
     "op8_exact_dedup",
     """

@@ -76,6 +76,8 @@ def decide(rows: DataFrame, key: str, text: str) -> DataFrame:
     groups = again.groupBy("text_sha256").agg(
         F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size")
     )
+    # As a table of its own, so that the join below deals both sides out anew and adaptive execution can split a hot digest.
+    groups = written(groups, "groups")
     found = again.join(groups, "text_sha256").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"),
         "text_sha256",
@@ -97,6 +99,7 @@ def keep_one(rows: DataFrame, key: str, text: str) -> DataFrame:
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
     again = again.withColumn(order, tie)
     winners = again.groupBy(digest).agg(F.max(F.struct(F.col(key), F.col(order))).alias(best))
+    winners = written(winners, "winners")
     kept = again.join(winners, digest).where(
         F.col(f"`{key}`").eqNullSafe(F.col(f"{best}.{key}")) & (F.col(order) == F.col(f"{best}.{order}"))
     )
