@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..sources.tables import table
-from . import bpe, exactdup, secrets, simhash, tokenfile
+from . import bpe, exactdup, htmltext, secrets, simhash, tokenfile, toxicity
 
 QUERIES, ORACLE = {}, {}
 
@@ -20,6 +20,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_toxicity")
+def op1(spark, folder):
+    return toxicity.score_all(table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id", "text")
+
+
 @query("op2_secrets")
 def op2(spark, folder):
     return secrets.scan(table(spark, folder, "documents"), "doc_id", "text")
@@ -31,6 +36,11 @@ def op4(spark, folder):
     return tokenfile.round_trip(table(spark, folder, "documents"), "doc_id", "text", path, end_id=0)
 
 
+@query("op5_main_text")
+def op5(spark, folder):
+    return htmltext.extract(table(spark, folder, "pages"), "page_id", "url", "html")
+
+
 @query("op7_bpe")
 def op7(spark, folder):
     return bpe.digest(table(spark, folder, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
