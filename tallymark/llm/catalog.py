@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..sources.tables import table
-from . import bpe, exactdup, htmltext, secrets, simhash, tokenfile, toxicity
+from . import bpe, decontam, exactdup, htmltext, pii, secrets, simhash, tokenfile, toxicity, warc
 
 QUERIES, ORACLE = {}, {}
 
@@ -30,6 +30,11 @@ def op2(spark, folder):
     return secrets.scan(table(spark, folder, "documents"), "doc_id", "text")
 
 
+@query("op3_decontamination")
+def op3(spark, folder):
+    return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op4_token_files")
 def op4(spark, folder):
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,6 +46,38 @@ def op5(spark, folder):
     return htmltext.extract(table(spark, folder, "pages"), "page_id", "url", "html")
 
 
+@query(
+    "op6_revisits",
+    """
+    WITH cut AS (
+      SELECT page_id, md5(coalesce(html, '')) AS etag, length(coalesce(html, '')) AS size,
+             regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(url, ''))), '#.*$', ''),
+                            '^[a-z][a-z0-9+.-]*://', ''), '^(www|m)\\.', '') AS plain
+      FROM pages),
+    kept AS (
+      SELECT page_id, etag, size, regexp_replace(split_part(plain, '?', 1), '(/|\\.html?)$', '') AS path,
+             list_sort(list_filter(string_split(regexp_extract(plain, '\\?(.*)$', 1), '&'),
+                       lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)='))) AS args
+      FROM cut),
+    keyed AS (
+      SELECT page_id, etag, size, CASE WHEN len(args) > 0 THEN path || '?' || array_to_string(args, '&') ELSE path END AS url_key
+      FROM kept),
+    half AS (SELECT max(page_id) // 2 + 1 AS h FROM pages),
+    again AS (SELECT page_id, etag, url_key, page_id + h AS asked FROM keyed, half),
+    hit AS (
+      SELECT a.*, f.page_id AS stored, f.etag AS stored_tag, f.size AS stored_size
+      FROM again a ASOF LEFT JOIN keyed f ON a.url_key = f.url_key AND a.asked >= f.page_id)
+    SELECT page_id * 2 + 1 AS record_id, page_id, url_key, stored * 2 AS response_id,
+           CASE WHEN stored IS NULL THEN 'orphan' WHEN etag = stored_tag THEN 'resolved' ELSE 'changed' END AS status,
+           CASE WHEN etag = stored_tag
+                THEN 'content-length=' || stored_size || ';date=' || asked || ';server=first' ELSE '' END AS headers
+    FROM hit
+    """,
+)
+def op6(spark, folder):
+    return warc.revisits_of_pages(table(spark, folder, "pages"))
+
+
 @query("op7_bpe")
 def op7(spark, folder):
     return bpe.digest(table(spark, folder, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
@@ -59,6 +96,11 @@ def op8(spark, folder):
     return exactdup.decide(table(spark, folder, "documents"), "doc_id", "text")
 
 
+@query("op9_pseudonyms")
+def op9(spark, folder):
+    return pii.replace(table(spark, folder, "documents"), "doc_id", "text", b"tallymark")
+
+
 @query("op10_simhash")
 def op10(spark, folder):
     return simhash.group(table(spark, folder, "documents"), "doc_id", "text")

@@ -170,11 +170,12 @@ class Encoder:
         return ids
 
     def stretch(self, part: str) -> bytes:
+        """The ids of a stretch with a space before it."""
         if (ids := self.old_stretches.get(part)) is not None:
             self.stretches[part] = ids
             return ids
         words = self.words
-        ids = b"".join([words.get(w) or self.word(w) for w in PRE_TOKENS.findall(part)])
+        ids = b"".join([words.get(w) or self.word(w) for w in PRE_TOKENS.findall(" " + part)])
         if len(part) <= 64:
             if len(self.stretches) >= self.STRETCHES:
                 self.old_stretches, self.stretches = self.stretches, {}
@@ -185,10 +186,12 @@ class Encoder:
         """The ids as little-endian unsigned 32-bit numbers."""
         if self.ODD.search(text):
             return ids_as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        held, fresh = self.stretches, self.stretch
-        head, *rest = text.split(" ")
-        start = b"".join([self.words.get(w) or self.word(w) for w in PRE_TOKENS.findall(head)])
-        return start + b"".join([held.get(p) or fresh(p) for p in [" " + r for r in rest]])
+        parts = text.split(" ")
+        found = list(map(self.stretches.get, parts))
+        found[0] = b"".join([self.words.get(w) or self.word(w) for w in PRE_TOKENS.findall(parts[0])])
+        if None in found:
+            found = [self.stretch(p) if f is None else f for f, p in zip(found, parts, strict=True)]
+        return b"".join(found)
 
 
 @lru_cache(maxsize=2)
@@ -232,8 +235,9 @@ def packed_texts(rows: DataFrame, key: str, text: str, vocabulary: str, end_id:
 
 # ------------------------------------------------------------------------------------------------------------ shards
 
-SHARDS = "bucket int, place int, n_ids long, n_docs long, image binary"
-SHARDS_ARROW = pa.schema([("bucket", pa.int32()), ("place", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("image", pa.binary())])
+#: `inner`: ids of the range before the shard.
+SHARDS = "bucket int, place int, inner long, n_ids long, n_docs long, image binary"
+SHARDS_ARROW = pa.schema([("bucket", pa.int32()), ("place", pa.int32()), ("inner", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("image", pa.binary())])
 
 
 def shard_image(docs: list[dict]) -> bytes:
@@ -267,17 +271,17 @@ def read_image(image: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket and key -> shards that end with a bucket or when they are full."""
-    held, bucket, place, n = [], None, 0, 0
+    held, bucket, place, n, inner = [], None, 0, 0, 0
 
     def out():
         image = shard_image(held)
-        return pa.RecordBatch.from_pylist([{"bucket": bucket, "place": place, "n_ids": n, "n_docs": len(held), "image": image}], SHARDS_ARROW)
+        return pa.RecordBatch.from_pylist([{"bucket": bucket, "place": place, "inner": inner, "n_ids": n, "n_docs": len(held), "image": image}], SHARDS_ARROW)
 
     for batch in batches:
         for doc in batch.to_pylist():
             if held and (doc["bucket"] != bucket or n >= SHARD_IDS):
                 yield out()
-                place = place + 1 if doc["bucket"] == bucket else 0
+                place, inner = (place + 1, inner + n) if doc["bucket"] == bucket else (0, 0)
                 held, n = [], 0
             bucket = doc["bucket"]
             held.append(doc)
@@ -305,16 +309,14 @@ def write(rows: DataFrame, key: str, text: str, vocabulary: str, path: str, end_
 def read(spark, path: str) -> DataFrame:
     """One row per document of the files under `path`: doc_id, start, n_tokens, ids_crc32.
 
-    The ids before a shard come from the shards' counts alone: sums per range, then running sums over the ranges (as
-    many as `write` made) and within each.
+    The ids before a shard are those of the ranges before its own and the count that it carries itself. The sums per
+    range are as many rows as `write` made ranges, so that their broadcast is bounded; images are never shuffled.
     """
     shards = spark.read.schema(SHARDS).parquet(path)
-    ranges = shards.groupBy("bucket").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = shards.groupBy("bucket").agg(F.sum("n_ids").alias("n"))
     ranges = ranges.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    places = shards.select("bucket", "place", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("inner"))
-    starts = places.join(ranges, "bucket").select("bucket", "place", (F.col("base") + F.col("inner")).alias("first"))
+    placed = shards.join(F.broadcast(ranges), "bucket").select((F.col("base") + F.col("inner")).alias("first"), "image")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,9 +328,7 @@ def read(spark, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-    return shards.join(starts, ["bucket", "place"]).select("first", "image").mapInArrow(
-        documents, "doc_id long, start long, n_tokens long, ids_crc32 long"
-    )
+    return placed.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(rows: DataFrame, key: str, text: str, vocabulary: str, end_id: int = 0) -> DataFrame:
