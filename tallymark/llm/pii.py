@@ -171,6 +171,7 @@ NUMBERS = re.compile("[0-9][0-9 ().-]{6,}")
 def spans_of(text: str, names: Pseudonyms) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of the valid values, without overlaps, by place."""
     found: list[tuple[int, int, str, str]] = []
+    refused: list[tuple[int, int]] = []  # what looks like another kind but is not valid is no telephone number either
     kinds = [k for k in COMPILED if k != "email"] if NUMBERS.search(text) else []
     for kind in (["email"] if "@" in text else []) + kinds:
         for m in COMPILED[kind].finditer(text):
@@ -179,8 +180,12 @@ def spans_of(text: str, names: Pseudonyms) -> list[tuple[int, int, str, str]]:
                 continue
             if any(m.start() < end and start < m.end() for start, end, *_ in found):
                 continue
+            if kind == "phone" and any(m.start() < end and start < m.end() for start, end in refused):
+                continue
             name = names.of(kind, m[0])
-            if name is not None:
+            if name is None:
+                refused.append(m.span())
+            else:
                 found.append((m.start(), m.end(), kind, name))
     return sorted(found)
 
