@@ -73,8 +73,12 @@ class Index:
         #: A shingle weighs one over the number of items that have it, so that shared phrases count for less.
         self.weights = {size: {s: 1 / n for s, n in c.items()} for size, c in share.items()}
         self.known = {size: np.sort(np.array(list(c), np.uint64)) for size, c in share.items()}
+        #: By shingle, the classes with an item that has it: others cannot be similar to a window for that shingle.
+        self.owners: dict[int, list[int]] = {}
         self.classes = []
         for length, rows in sorted(by_size.items()):
+            for s in {int(x) for _, r in rows for x in r}:
+                self.owners.setdefault(s, []).append(len(self.classes))
             size = min(SHINGLE, length)
             prints = np.array([self.fingerprints(r, size, len(r))[0] for _, r in rows], np.uint64)
             tables = [NEAR[:, (prints >> np.uint64(8 * b)).astype(np.uint8)] for b in range(8)]
@@ -108,7 +112,7 @@ class Index:
         codes = np.array([get(w, 0) for w in words], np.uint64)
         if not codes.any():
             return []
-        hits = {}
+        hits: dict[int, list[int]] = {}  # class: places of its shingles
         for size, known in self.known.items():
             s = _shingles(codes, size)
             # Words of no item have the code zero; a run with one of them is no item's shingle.
@@ -116,18 +120,20 @@ class Index:
             if len(full):
                 at = np.minimum(np.searchsorted(known, s[full]), len(known) - 1)
                 full = full[known[at] == s[full]]
-            if len(full):
-                hits[size] = full
+            for at in full.tolist() if len(full) else ():
+                for c in self.owners[int(s[at])]:
+                    hits.setdefault(c, []).append(at)
         if not hits:
             return []
         true = np.array([get(w) or xxhash.xxh64_intdigest(w) for w in words], np.uint64)
         best: dict[int, tuple[float, int, int]] = {}
-        for length, size, ids, prints, tables, bags in self.classes:
-            if size not in hits or len(words) < length:
+        for c in sorted(hits):
+            length, size, ids, prints, tables, bags = self.classes[c]
+            if len(words) < length:
                 continue
             shingles, width = _shingles(true, size), length - size + 1
             # Windows that hold a hit, as stretches of first places.
-            starts = np.unique((hits[size][:, None] - np.arange(width)[None, :]).ravel())
+            starts = np.unique((np.array(hits[c])[:, None] - np.arange(width)[None, :]).ravel())
             starts = starts[(starts >= 0) & (starts <= len(words) - length)]
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
                 if not len(run):
@@ -138,11 +144,11 @@ class Index:
                     near |= table[(f >> np.uint64(8 * b)).astype(np.uint8)]
                 rows, cols = np.nonzero(near)
                 close = np.bitwise_count(f[rows] ^ prints[cols]) <= RADIUS
-                for r, c in zip(rows[close].tolist(), cols[close].tolist(), strict=True):
+                for r, i in zip(rows[close].tolist(), cols[close].tolist(), strict=True):
                     start = int(run[0]) + r
-                    score = self.similarity(Counter(shingles[start : start + width].tolist()), bags[c], size)
-                    if score >= LEAST and (ids[c] not in best or score > best[ids[c]][0]):
-                        best[ids[c]] = (score, start, length)
+                    score = self.similarity(Counter(shingles[start : start + width].tolist()), bags[i], size)
+                    if score >= LEAST and (ids[i] not in best or score > best[ids[i]][0]):
+                        best[ids[i]] = (score, start, length)
         return [(i, *best[i]) for i in sorted(best)]
 
 
@@ -190,7 +196,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     out = None
     for items in passes(benchmark, item, "text"):
         rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-        rows = with_matches(rows, "text", items, "found").select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.*")
+        # An outer explode: for an inner one Spark infers a filter on the array and would run the search twice.
+        rows = with_matches(rows, "text", items, "found").select("doc_id", F.explode_outer("found").alias("m"))
+        rows = rows.select("doc_id", "m.*").where("item_id IS NOT NULL")
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         out = docs.select(F.col(key).alias("doc_id")).where("false").selectExpr(
