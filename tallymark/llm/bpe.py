@@ -24,7 +24,7 @@ from .shared import whole
 
 END = "</w>"
 #: Stretches and words in a generation of a worker's memory, beside the one before: a bound of space, not of the work.
-STRETCHES, WORDS = 150_000, 200_000
+STRETCHES, WORDS = 110_000, 160_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -84,7 +84,7 @@ class Bpe:
         The two are taken apart at their border in the reverse order of merging. As long as the tokens then at the
         border exist together, a merge of the two that ranks before what has been taken apart would have come first.
         """
-        if len(self.fits) > 4_000_000:
+        if len(self.fits) > 1_000_000:
             self.fits.clear()
         a, b, bound, good = left, right, float("inf"), True
         while True:
