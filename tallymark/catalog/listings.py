@@ -270,39 +270,39 @@ def flt_09(spark, sf):
 # ---------------------------------------------------------------- sorts, top-k reports of 25 rows
 @query("srt_01_match_high", f"""WITH {POSTINGS}, {PREDICTIONS}
 SELECT job_id, score, coverage, classification FROM shown WHERE NOT blind
-ORDER BY classification <> 'DISQUALIFIED' DESC, has_requirements DESC, score DESC, coverage DESC, created_at DESC, job_id LIMIT 25""")
+ORDER BY classification <> 'DISQUALIFIED' DESC, has_requirements DESC, score DESC, coverage DESC, created_at DESC, job_id""")
 def srt_01(spark, sf):
     rows = shown(spark, sf).where(~F.col("blind"))
-    return L.sort_rows(rows, "match_high", False).limit(25).select("job_id", "score", "coverage", "classification")
+    return L.sort_rows(rows, "match_high", False).select("job_id", "score", "coverage", "classification")
 
 
 @query("srt_02_match_low", f"""WITH {POSTINGS}, {PREDICTIONS}
-SELECT job_id, score, company FROM shown ORDER BY blind, NOT has_requirements, score, lower(company), job_id LIMIT 25""")
+SELECT job_id, score, company FROM shown ORDER BY blind, NOT has_requirements, score, lower(company), job_id""")
 def srt_02(spark, sf):
-    return L.sort_rows(shown(spark, sf), "match_low", False).limit(25).select("job_id", "score", "company")
+    return L.sort_rows(shown(spark, sf), "match_low", False).select("job_id", "score", "company")
 
 
 @query("srt_03_nearest_deadline", f"""WITH {POSTINGS}
 SELECT job_id, company, CAST(application_deadline AS VARCHAR) AS application_deadline FROM postings
-ORDER BY postings.application_deadline ASC NULLS LAST, lower(company), job_id LIMIT 25""")
+ORDER BY postings.application_deadline ASC NULLS LAST, lower(company), job_id""")
 def srt_03(spark, sf):
-    rows = L.sort_rows(postings(spark, sf), "deadline").limit(25)
+    rows = L.sort_rows(postings(spark, sf), "deadline")
     return rows.select("job_id", "company", F.col("application_deadline").cast("string").alias("application_deadline"))
 
 
-@query("srt_04_company", f"WITH {POSTINGS} SELECT job_id, company, title FROM postings ORDER BY lower(company), lower(title), job_id LIMIT 25")
+@query("srt_04_company", f"WITH {POSTINGS} SELECT job_id, company, title FROM postings ORDER BY lower(company), lower(title), job_id")
 def srt_04(spark, sf):
-    return L.sort_rows(postings(spark, sf), "company").limit(25).select("job_id", "company", "title")
+    return L.sort_rows(postings(spark, sf), "company").select("job_id", "company", "title")
 
 
 @query("srt_05_newest_with_blind_reset", f"""WITH {POSTINGS}, {PREDICTIONS}
-SELECT 'newest' AS sorted_by, job_id FROM (SELECT job_id FROM shown ORDER BY created_at DESC, job_id LIMIT 25)
-UNION ALL SELECT 'reset', job_id FROM (SELECT job_id FROM shown ORDER BY lower(company), lower(title), job_id LIMIT 25)""")
+SELECT 'newest' AS sorted_by, job_id FROM (SELECT job_id FROM shown ORDER BY created_at DESC, job_id)
+UNION ALL SELECT 'reset', job_id FROM (SELECT job_id FROM shown ORDER BY lower(company), lower(title), job_id)""")
 def srt_05(spark, sf):
     rows = shown(spark, sf)
-    newest = L.sort_rows(rows, "newest").limit(25).select(F.lit("newest").alias("sorted_by"), "job_id")
+    newest = L.sort_rows(rows, "newest").select(F.lit("newest").alias("sorted_by"), "job_id")
     # Blind rows are present, so the score order falls back to company order.
-    reset = L.sort_rows(rows, "match_high").limit(25).select(F.lit("reset").alias("sorted_by"), "job_id")
+    reset = L.sort_rows(rows, "match_high").select(F.lit("reset").alias("sorted_by"), "job_id")
     return newest.unionByName(reset)
 
 
@@ -378,9 +378,9 @@ def flt_08(spark, sf):
 
 
 @query("srt_06_report_order", f"""WITH {CAL} SELECT job_id, company, change_status FROM cal3
-ORDER BY NOT needs_attention, change_status <> 'REGRESSED', lower(company), lower(title), job_id LIMIT 25""")
+ORDER BY NOT needs_attention, change_status <> 'REGRESSED', lower(company), lower(title), job_id""")
 def srt_06(spark, sf):
-    return C.report_order(calibrated(spark, sf)).limit(25).select("job_id", "company", "change_status")
+    return C.report_order(calibrated(spark, sf)).select("job_id", "company", "change_status")
 
 
 @query("agg_06_calibration_summary", f"""WITH {CAL}, s AS (

@@ -159,14 +159,16 @@ def model_metrics(predictions: DataFrame) -> DataFrame:
 
 
 def compare_models(predictions: DataFrame, a: str, b: str, expected: int) -> DataFrame:
-    """AGG-08: wins, ties and the recommendation, which an incomplete holdout never gives."""
+    """AGG-08: wins, ties and the recommendation, which an incomplete holdout or an absent model never gives."""
     metrics = model_metrics(predictions)
     key = lambda m: F.struct(
         m["agreement"], -m["false_strong"], -m["false_disqualification"], -m["false_weak"], -m["mean_distance"]
     )
-    pick = lambda name: F.max_by(
-        F.struct("agreement", "false_strong", "false_disqualification", "false_weak", "mean_distance", "reviewed"),
-        F.col("model") == name,
+    pick = lambda name: F.max(
+        F.when(
+            F.col("model") == name,
+            F.struct("agreement", "false_strong", "false_disqualification", "false_weak", "mean_distance", "reviewed"),
+        )
     )
     both = metrics.where(F.col("model").isin(a, b)).agg(pick(a).alias("a"), pick(b).alias("b"))
     distance = F.abs(
@@ -186,7 +188,7 @@ def compare_models(predictions: DataFrame, a: str, b: str, expected: int) -> Dat
     joined = both.withColumn("_one", F.lit(1)).join(outcome.withColumn("_one", F.lit(1)), "_one").drop("_one")
     ka, kb = key(F.col("a")), key(F.col("b"))
     verdict = (
-        F.when(F.col("a.reviewed") < expected, "HOLDOUT INCOMPLETE")
+        F.when(F.col("a").isNull() | F.col("b").isNull() | (F.col("a.reviewed") < expected), "HOLDOUT INCOMPLETE")
         .when(kb > ka, "MODEL B PERFORMED BETTER")
         .when(ka > kb, "MODEL A PERFORMED BETTER")
         .otherwise("NO MEASURED ADVANTAGE")

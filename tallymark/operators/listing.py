@@ -306,17 +306,18 @@ def mask_blind(scored: DataFrame, labels: DataFrame, holdout: str) -> DataFrame:
 # ---------------------------------------------------------------- sorts
 def sort_rows(rows: DataFrame, order: str, reset_for_blind: bool = True) -> DataFrame:
     """SRT-01..05. Score orders fall back to company order while blind rows are present."""
+    ids = [c for c in ("job_id", "profile_id") if c in rows.columns]
     if order in ("match_high", "match_low") and reset_for_blind and not rows.where("blind").isEmpty():
         order = "company"
     if order == "match_high":
         return rows.orderBy(
             F.desc(~F.col("blind")), F.desc(F.col("classification") != "DISQUALIFIED"), F.desc("has_requirements"),
-            F.desc("score"), F.desc("coverage"), F.desc("created_at"), "job_id",
+            F.desc("score"), F.desc("coverage"), F.desc("created_at"), *ids,
         )
     if order == "match_low":
-        return rows.orderBy("blind", ~F.col("has_requirements"), "score", F.lower("company"), "job_id")
+        return rows.orderBy("blind", ~F.col("has_requirements"), "score", F.lower("company"), *ids)
     if order == "deadline":
-        return rows.orderBy(F.asc_nulls_last("application_deadline"), F.lower("company"), "job_id")
+        return rows.orderBy(F.asc_nulls_last("application_deadline"), F.lower("company"), *ids)
     if order == "company":
-        return rows.orderBy(F.lower("company"), F.lower("title"), "job_id")
-    return rows.orderBy(F.desc("created_at"), "job_id")
+        return rows.orderBy(F.lower("company"), F.lower("title"), *ids)
+    return rows.orderBy(F.desc("created_at"), *ids)

@@ -94,6 +94,8 @@ def test_incomplete_holdout_recommends_nothing(spark):
     rows = spark.createDataFrame([(1, m, "STRONG MATCH", "PRIORITY ROLE", "strong", "priority") for m in ("a", "b")], "job_id int, model string, classification string, track string, human_rating string, opportunity_type string")
     assert C.compare_models(rows, "a", "b", 10).collect()[0]["recommendation"] == "HOLDOUT INCOMPLETE"
     assert C.compare_models(rows, "a", "b", 1).collect()[0]["recommendation"] == "NO MEASURED ADVANTAGE"
+    for pair in (("a", "absent"), ("absent", "b")):
+        assert C.compare_models(rows, *pair, 1).collect()[0]["recommendation"] == "HOLDOUT INCOMPLETE"
 
 
 def test_newest_scalar_claim_wins_and_snapshots_are_reused(spark):
