@@ -14,7 +14,9 @@ from ..sources.tables import table
 from .registry import query
 from .views import EVENTS, events
 
-DAY = F.to_date("ts")
+
+def day():
+    return F.to_date("ts")
 
 
 def runs(spark, sf):
@@ -119,12 +121,12 @@ def join_13(spark, sf):
 # ---------------------------------------------------------------- feeds
 def sightings(spark, sf):
     return events(spark, sf).select(
-        F.col("event_type").alias("source_key"), F.col("user_id").cast("string").alias("external_id"), DAY.alias("run_at")
+        F.col("event_type").alias("source_key"), F.col("user_id").cast("string").alias("external_id"), day().alias("run_at")
     )
 
 
 def fetches(spark, sf):
-    seen = events(spark, sf).select(F.col("event_type").alias("source_key"), DAY.alias("run_at")).distinct()
+    seen = events(spark, sf).select(F.col("event_type").alias("source_key"), day().alias("run_at")).distinct()
     failed = (F.col("source_key") == "view") & (F.dayofmonth("run_at") % 7 == 0)
     return seen.withColumn("status", F.when(failed, "failed").otherwise("success"))
 
@@ -210,7 +212,7 @@ def agg_10(spark, sf):
 SELECT run_id, CASE WHEN bool_or(m < 98) AND bool_or(m >= 98) THEN 'partial' WHEN bool_or(m >= 98) THEN 'failed' ELSE 'completed' END AS status,
   coalesce(string_agg(source_key || ': ' || 'code ' || m, '; ' ORDER BY source_key || ': ' || 'code ' || m) FILTER (m >= 98), '') AS errors FROM a GROUP BY 1""")
 def agg_11(spark, sf):
-    attempts = events(spark, sf).groupBy(DAY.cast("string").alias("run_id"), F.col("event_type").alias("source_key")).agg(F.max("k").alias("m"))
+    attempts = events(spark, sf).groupBy(day().cast("string").alias("run_id"), F.col("event_type").alias("source_key")).agg(F.max("k").alias("m"))
     attempts = attempts.select(
         "run_id", "source_key", F.when(F.col("m") >= 98, "failed").otherwise("success").alias("status"),
         F.concat(F.lit("code "), F.col("m").cast("string")).alias("error"),
@@ -231,7 +233,7 @@ def flt_10(spark, sf):
 
 @query("srt_08_recent_runs", """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, count(*) AS results FROM events GROUP BY 1 ORDER BY 1 DESC LIMIT 8""")
 def srt_08(spark, sf):
-    return events(spark, sf).groupBy(DAY.cast("string").alias("run_id")).agg(F.count("*").alias("results")).orderBy(F.desc("run_id")).limit(8)
+    return events(spark, sf).groupBy(day().cast("string").alias("run_id")).agg(F.count("*").alias("results")).orderBy(F.desc("run_id")).limit(8)
 
 
 @query("prj_12_state_transitions", """WITH RECURSIVE a AS (
@@ -257,7 +259,7 @@ def prj_12(spark, sf):
         F.when(F.col("opp_id") % 3 == 0, "duplicate").otherwise("new").alias("status"),
     )
     action = L.choose(F.col("event_type"), {"click": "send", "view": "ignore", "signup": "restore", "purchase": "retain"}, "release")
-    actions = rows.select(F.col("user_id").alias("opp_id"), DAY.alias("bucket"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), action.alias("action"))
+    actions = rows.select(F.col("user_id").alias("opp_id"), day().alias("bucket"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), action.alias("action"))
     return D.fold_actions(known, actions)
 
 
@@ -374,7 +376,7 @@ l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER
 FROM s LEFT JOIN a ON s.profile_id = a.profile_id AND s.version = a.version LEFT JOIN l ON s.profile_id = l.profile_id""")
 def win_07(spark, sf):
     rows = events(spark, sf).select(
-        F.col("user_id").alias("profile_id"), F.datediff(DAY, F.lit("2024-01-01").cast("date")).alias("version"), "event_type", F.col("ts").alias("activated_at")
+        F.col("user_id").alias("profile_id"), F.datediff(day(), F.lit("2024-01-01").cast("date")).alias("version"), "event_type", F.col("ts").alias("activated_at")
     )
     snapshots = rows.select("profile_id", "version").distinct()
     acts = rows.where("event_type = 'purchase'").select("profile_id", "version", "activated_at")
