@@ -1,239 +1,262 @@
-"""HTML pages to text and to typed evidence (FN-25..27).
+"""HTML pages to text and to typed evidence (FN-25..27), as column expressions.
 
-Tag soup needs a parser, so these run as Arrow batches over the standard
-library's tokenizer; everything after the parse is column expressions.
+One regular expression cuts markup into tokens: comments, whole raw elements (script,
+style), tags, character references and text. Text and evidence are read off the tokens.
+An element ends at its first end tag; one that is never closed runs to the end of the page.
+Only JSON-LD, whose nesting has no fixed depth, is walked in Python, and only on pages
+that hold a job posting.
 """
 
 from __future__ import annotations
 
+import functools
+import html.entities
 import json
-import re
-from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Tags that start and end a line.
-BLOCK_TAGS = frozenset(
-    "address article blockquote br div h1 h2 h3 h4 h5 h6 li ol p section table tr ul".split()
+from .text import LINE_END, blank, constant_map, first_seen, squeeze, strip
+
+# Tags that start and end a line, elements whose content is never shown,
+# and the names under which a page states its title and its site.
+BLOCK_TAGS = (
+    "address", "article", "blockquote", "br", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ol", "p",
+    "section", "table", "tr", "ul",
 )
-HIDDEN_TAGS = frozenset("style noscript template svg".split())
+HIDDEN_TAGS = ("script", "style", "noscript", "template", "svg")
 TITLE_KEYS = ("og:title", "twitter:title", "title")
 SITE_KEYS = ("og:site_name", "application-name", "site_name")
 
+REST_OF_TAG = "(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+TAG = f"</?[A-Za-z]{REST_OF_TAG}"
+COMMENT = "<!--.*?(?:-->|\\z)|<[!?][^>]*+>"
+RAW_ELEMENT = f"<(?:script|style)\\b{REST_OF_TAG}.*?(?:</(?:script|style)\\s*+>|\\z)"
+ATTRIBUTE = "([^\\s\"'<>/=]+)(?:\\s*+=\\s*+(\"[^\"]*+\"|'[^']*+'|[^\\s\"'>]*+))?"
+LEADING_NAME = "^</?([A-Za-z][A-Za-z0-9-]*)"
+DATA_SCRIPT = (
+    "(?is)<script\\b(?=[^>]*\\btype\\s*=\\s*[\"']?\\s*application/ld\\+json\\b)"
+    f"{REST_OF_TAG}(.*?)(?:</script\\s*+>|\\z)"
+)
+
+
+# ---------------------------------------------------------------- character references
+@functools.cache
+def _old_names() -> str:
+    """Names that also count without their semicolon, longest first."""
+    names = [name for name in html.entities.html5 if not name.endswith(";")]
+    return "|".join(sorted(names, key=len, reverse=True))
+
+
+@functools.cache
+def _windows_controls() -> dict[str, str]:
+    """Numbers of the C1 range stand for what Windows-1252 has in their place."""
+    found = {}
+    for code in range(0x80, 0xA0):
+        char = bytes([code]).decode("cp1252", "ignore")
+        if char:
+            found[str(code)] = char
+    return found
+
+
+def _reference_pattern() -> str:
+    return f"&(?:#[0-9]++;?|#[xX][0-9A-Fa-f]++;?|[A-Za-z][A-Za-z0-9]*+;|(?:{_old_names()}))"
+
+
+def _numbered(reference: Column) -> Column:
+    digits = F.regexp_extract(reference, "([0-9A-Fa-f]+);?$", 1)
+    base = F.when(reference.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
+    code = F.coalesce(base.try_cast("long"), F.lit(0x110000))
+    known = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code)), 8, "0")), "UTF-32")
+    return F.coalesce(F.try_element_at(constant_map(_windows_controls()), code.cast("string")), char, F.lit("\ufffd"))
+
+
+def _decoded(token: Column) -> Column:
+    """The text of one token that is a character reference; others stay."""
+    table = constant_map(html.entities.html5)
+    name = F.substr(token, F.lit(2))
+    stem = F.regexp_extract(name, f"^(?:{_old_names()})", 0)
+    partly = F.concat(F.try_element_at(table, stem), F.substr(name, F.length(stem) + 1))
+    named = F.coalesce(F.try_element_at(table, name), partly, token)
+    return (
+        F.when(~token.startswith("&") | (F.length(token) == 1), token)
+        .when(token == "&amp;", "&")  # by far the most frequent one
+        .when(token.startswith("&#"), _numbered(token))
+        .otherwise(named)
+    )
+
+
+def unescape(c: Column) -> Column:
+    """Character references of a text without tags; a text without `&` is not cut up."""
+    pieces = F.regexp_extract_all(c, F.lit(f"{_reference_pattern()}|[^&]++|&"), F.lit(0))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, _decoded), "")).otherwise(c)
+
+
+# ---------------------------------------------------------------- FN-25
+def tokens(markup: Column) -> Column:
+    """array<string> that joins to the page again."""
+    pattern = f"(?is){COMMENT}|{RAW_ELEMENT}|{TAG}|{_reference_pattern()}|[^<&]++|[<&]"
+    return F.regexp_extract_all(blank(markup), F.lit(pattern), F.lit(0))
+
+
+def _line_form(token: Column) -> Column:
+    name = F.lower(F.regexp_extract(token, LEADING_NAME, 1))
+    opens_item = (name == "li") & ~token.startswith("</")
+    raw = F.regexp_replace(F.regexp_replace(token, f"(?is)^<{REST_OF_TAG}", ""), "(?i)</(?:script|style)\\s*>$", "")
+    of_tag = (
+        F.when(name.isin("script", "style"), raw)
+        .when(opens_item, "\n- ").when(name.isin(*BLOCK_TAGS), "\n").otherwise("")
+    )
+    is_tag = token.startswith("<") & (F.length(token) > 1)
+    return F.when(is_tag, of_tag).otherwise(_decoded(token))
+
+
+def html_to_text(markup: Column | str) -> Column:
+    """FN-25: block tags end lines, list items get a dash, blank runs shrink to one. NULL: empty."""
+    markup = F.col(markup) if isinstance(markup, str) else markup
+    flat = F.array_join(F.transform(tokens(markup), _line_form), "")
+    flat = F.translate(flat, "\u00a0\t", "  ")
+    lines = F.transform(F.split(flat, LINE_END), lambda x: strip(F.regexp_replace(x, " +", " ")))
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), "^\n+|\n+$", "")
+
+
+# ---------------------------------------------------------------- FN-26
+def shown_markup(markup: Column) -> Column:
+    """The page without comments and without elements that are never shown."""
+    hidden = f"<({'|'.join(HIDDEN_TAGS)})\\b{REST_OF_TAG}.*?(?:</\\1\\s*+>|\\z)"
+    return F.regexp_replace(blank(markup), f"(?is){COMMENT}|{hidden}", " ")
 
-class _TextCollector(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in BLOCK_TAGS:
-            self.out.append("\n- " if tag == "li" else "\n")
-
-    def handle_endtag(self, tag):
-        if tag in BLOCK_TAGS:
-            self.out.append("\n")
-
-    def handle_data(self, data):
-        self.out.append(data)
-
-
-def _page_text(markup: str) -> str:
-    collector = _TextCollector()
-    collector.feed(markup or "")
-    collector.close()
-    lines = [
-        re.sub(r"[ \t]+", " ", line).strip()
-        for line in "".join(collector.out).replace("\xa0", " ").splitlines()
-    ]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
-
-
-@F.pandas_udf(T.StringType())
-def html_to_text(markup: pd.Series) -> pd.Series:
-    """FN-25: block tags end lines, list items get a dash, blank runs shrink to one."""
-    return markup.map(_page_text)
-
-
-PAGE_SCHEMA = T.StructType(
-    [
-        T.StructField("document_title", T.StringType()),
-        T.StructField("visible_text", T.StringType()),
-        T.StructField("meta_titles", T.ArrayType(T.StringType())),
-        T.StructField("site_names", T.ArrayType(T.StringType())),
-        T.StructField(
-            "links",
-            T.ArrayType(
-                T.StructType([T.StructField("text", T.StringType()), T.StructField("href", T.StringType())])
-            ),
-        ),
-        T.StructField("buttons", T.ArrayType(T.StringType())),
-        T.StructField(
-            "postings",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("title", T.StringType()),
-                        T.StructField("company", T.StringType()),
-                        T.StructField("valid_through", T.StringType()),
-                        T.StructField("direct_apply", T.BooleanType()),
-                        T.StructField("url", T.StringType()),
-                    ]
-                )
-            ),
-        ),
-    ]
+
+def with_value(value: Column, read) -> Column:
+    """`read(value)` with the value computed once, however often `read` uses it."""
+    return F.get(F.transform(F.array(value), read), F.lit(0))
+
+
+def inner_text(fragment: Column) -> Column:
+    """Text of a piece of shown markup: tags part words, white space is one space."""
+    return squeeze(unescape(F.regexp_replace(fragment, f"(?s){TAG}", " ")))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's first attribute of that name, decoded; empty when absent."""
+    inside = F.regexp_replace(F.regexp_replace(tag, "^<[A-Za-z0-9]+", ""), "/?>$", "")
+    names = F.transform(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
+    values = F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(2))
+    value = F.get(values, F.array_position(names, name).cast("int") - 1)
+    return unescape(F.coalesce(F.regexp_replace(value, "^[\"']|[\"']$", ""), F.lit("")))
+
+
+def elements(markup: Column, name: str) -> Column:
+    """array<struct<tag, inner>>: every element of a name, up to its first end tag."""
+    pattern = f"(?is)(<{name}\\b{REST_OF_TAG})(.*?)</{name}\\s*+>"
+    tags, inner = (F.regexp_extract_all(markup, F.lit(pattern), F.lit(group)) for group in (1, 2))
+    return F.arrays_zip(tags.alias("tag"), inner.alias("inner"))
+
+
+def _meta_contents(markup: Column, keys: tuple[str, ...]) -> Column:
+    tags = F.regexp_extract_all(markup, F.lit(f"(?is)<meta\\b{REST_OF_TAG}"), F.lit(0))
+
+    def read(tag: Column) -> Column:
+        named = [F.nullif(attribute(tag, a), F.lit("")) for a in ("property", "name", "itemprop")]
+        return F.struct(
+            F.lower(F.trim(F.coalesce(*named, F.lit("")))).alias("key"), squeeze(attribute(tag, "content")).alias("content")
+        )
+
+    wanted = F.filter(F.transform(tags, read), lambda m: m["key"].isin(*keys) & (m["content"] != ""))
+    return with_value(F.transform(wanted, lambda m: m["content"]), lambda found: first_seen(found))
+
+
+def _button_texts(markup: Column) -> Column:
+    pattern = f"(?is)<button\\b{REST_OF_TAG}.*?</button\\s*+>|<input\\b{REST_OF_TAG}"
+    found = F.regexp_extract_all(markup, F.lit(pattern), F.lit(0))
+
+    def read(piece: Column) -> Column:
+        pressed = F.lower(attribute(piece, "type")).isin("button", "submit")
+        return F.when(~piece.rlike("(?i)^<input"), inner_text(piece)).when(pressed, squeeze(attribute(piece, "value")))
+
+    return with_value(F.filter(F.transform(found, read), lambda x: x != ""), lambda found: first_seen(found))
+
+
+POSTINGS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("title", T.StringType()), T.StructField("company", T.StringType()),
+            T.StructField("valid_through", T.StringType()), T.StructField("direct_apply", T.BooleanType()),
+            T.StructField("url", T.StringType()),
+        ]
+    )
 )
 
 
-def _tidy(value) -> str:
-    return " ".join(str(value or "").split())
-
-
-def _distinct(values):
-    return list({_tidy(v).casefold(): v for v in reversed(values) if _tidy(v)}.values())[::-1]
-
-
-class _PageReader(HTMLParser):
-    """Collects the evidence a listing page can offer."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.title, self.visible = [], []
-        self.meta_titles, self.site_names = [], []
-        self.links, self.buttons, self.scripts = [], [], []
-        self._in_title = self._hidden = self._in_data = 0
-        self._script, self._anchors, self._open_buttons = [], [], []
-
-    def handle_starttag(self, tag, attrs):
-        values = {name: value or "" for name, value in attrs}
-        if tag == "script":
-            if values.get("type", "").split(";")[0].strip().lower() == "application/ld+json":
-                self._in_data += 1
-                if self._in_data == 1:
-                    self._script = []
-            else:
-                self._hidden += 1
-        elif tag in HIDDEN_TAGS:
-            self._hidden += 1
-        elif tag == "title":
-            self._in_title += 1
-        elif tag == "meta":
-            # A tag without any of the three names (charset) simply has no key.
-            key = values.get("property") or values.get("name") or values.get("itemprop") or ""
-            content = _tidy(values.get("content"))
-            if content and key.strip().lower() in TITLE_KEYS:
-                self.meta_titles.append(content)
-            if content and key.strip().lower() in SITE_KEYS:
-                self.site_names.append(content)
-        elif tag == "a":
-            self._anchors.append((values.get("href", "").strip(), []))
-        elif tag == "button":
-            self._open_buttons.append([])
-        elif tag == "input" and values.get("type", "").lower() in ("button", "submit"):
-            if _tidy(values.get("value")):
-                self.buttons.append(_tidy(values["value"]))
-
-    def handle_endtag(self, tag):
-        if tag == "script":
-            if self._in_data:
-                self._in_data -= 1
-                text = "".join(self._script).strip()
-                if not self._in_data and text:
-                    self.scripts.append(text)
-            else:
-                self._hidden = max(0, self._hidden - 1)
-        elif tag in HIDDEN_TAGS:
-            self._hidden = max(0, self._hidden - 1)
-        elif tag == "title":
-            self._in_title = max(0, self._in_title - 1)
-        elif tag == "a" and self._anchors:
-            href, parts = self._anchors.pop()
-            self.links.append({"text": _tidy(" ".join(parts)), "href": href})
-        elif tag == "button" and self._open_buttons:
-            text = _tidy(" ".join(self._open_buttons.pop()))
-            if text:
-                self.buttons.append(text)
-
-    def handle_data(self, data):
-        if self._in_data:
-            self._script.append(data)
-            return
-        text = _tidy(data)
-        if self._hidden or not text:
-            return
-        if self._in_title:
-            self.title.append(text)
-        self.visible.append(text)
-        if self._anchors:
-            self._anchors[-1][1].append(text)
-        if self._open_buttons:
-            self._open_buttons[-1].append(text)
-
-
-def _scalar(value) -> str:
-    return _tidy(value) if isinstance(value, (str, int, float)) else ""
-
-
-def job_postings(node):
-    """FN-27: every JobPosting object inside parsed JSON-LD, outermost first."""
-    if isinstance(node, list):
-        for item in node:
-            yield from job_postings(item)
-    elif isinstance(node, dict):
-        kinds = node.get("@type")
-        for kind in kinds if isinstance(kinds, list) else [kinds]:
-            if kind and str(kind).lower() == "jobposting":
-                yield node
-                break
-        for key, child in node.items():
-            if key not in ("description", "title"):
-                yield from job_postings(child)
-
-
-def _posting_row(item) -> dict:
-    employer = item.get("hiringOrganization")
-    return {
-        "title": _scalar(item.get("title")),
-        "company": _scalar(employer.get("name") if isinstance(employer, dict) else employer),
-        "valid_through": _scalar(item.get("validThrough")),
-        "direct_apply": item.get("directApply") is True,
-        "url": _scalar(item.get("url")),
-    }
-
-
-def read_page(markup: str, content_type: str = "text/html") -> dict:
-    if not (markup or "").strip():
-        markup = ""
-    if content_type == "text/plain":
-        return {
-            "document_title": "", "visible_text": _tidy(markup), "meta_titles": [], "site_names": [],
-            "links": [], "buttons": [], "postings": [],
-        }
-    reader = _PageReader()
-    reader.feed(markup)
-    reader.close()
-    documents = []
-    for script in reader.scripts:
+def postings_in(scripts) -> list[dict]:
+    """FN-27: fields of every object typed JobPosting in a page's JSON-LD, outer before inner.
+
+    Titles and descriptions are texts and are not searched; a script that is no JSON counts as absent.
+    """
+
+    def plain(value):
+        return " ".join(str(value).split()) if isinstance(value, (str, int, float)) and value else ""
+
+    waiting = []
+    for script in reversed(scripts):
         try:
-            documents.append(json.loads(script))
+            waiting.append(json.loads(script))
         except ValueError:
+            pass
+    found = []
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, list):
+            waiting += reversed(node)
+        if not isinstance(node, dict):
             continue
-    return {
-        "document_title": _tidy(" ".join(reader.title)),
-        "visible_text": _tidy(" ".join(reader.visible)),
-        "meta_titles": _distinct(reader.meta_titles),
-        "site_names": _distinct(reader.site_names),
-        "links": reader.links,
-        "buttons": _distinct(reader.buttons),
-        "postings": [_posting_row(item) for item in job_postings(documents)],
-    }
-
-
-@F.pandas_udf(PAGE_SCHEMA)
-def parse_page(markup: pd.Series, content_type: pd.Series) -> pd.DataFrame:
-    """FN-26: one struct of page evidence per document."""
-    rows = [read_page(m, t) for m, t in zip(markup, content_type)]
-    return pd.DataFrame(rows, columns=PAGE_SCHEMA.names)
+        waiting += reversed([child for key, child in node.items() if key not in ("title", "description")])
+        kinds = node.get("@type")
+        if "jobposting" in [str(kind).lower() for kind in (kinds if isinstance(kinds, list) else [kinds])]:
+            employer = node.get("hiringOrganization")
+            found.append(
+                {
+                    "title": plain(node.get("title")),
+                    "company": plain(employer.get("name") if isinstance(employer, dict) else employer),
+                    "valid_through": plain(node.get("validThrough")),
+                    "direct_apply": node.get("directApply") is True,
+                    "url": plain(node.get("url")),
+                }
+            )
+    return found
+
+
+@F.pandas_udf(POSTINGS)
+def _postings(scripts: pd.Series) -> pd.Series:
+    return scripts.map(lambda found: [] if found is None else postings_in(found))
+
+
+def parse_page(markup: Column | str, content_type: Column | str) -> Column:
+    """FN-26: one struct of page evidence; plain text has visible text only, NULL counts as empty."""
+    markup, content_type = (F.col(c) if isinstance(c, str) else c for c in (markup, content_type))
+    is_text = content_type.eqNullSafe("text/plain")
+    page = F.when(is_text, "").otherwise(blank(markup))
+    scripts = F.regexp_extract_all(page, F.lit(DATA_SCRIPT), F.lit(1))
+    postings = _postings(F.when(page.rlike("(?i)jobposting"), scripts))
+
+    def read(parts: Column) -> Column:
+        shown = parts["shown"]
+        titles = F.transform(elements(shown, "title"), lambda x: inner_text(x["inner"]))
+        links = F.transform(
+            elements(shown, "a"),
+            lambda x: F.struct(inner_text(x["inner"]).alias("text"), F.trim(attribute(x["tag"], "href")).alias("href")),
+        )
+        return F.struct(
+            squeeze(F.array_join(titles, " ")).alias("document_title"),
+            F.when(is_text, squeeze(markup)).otherwise(inner_text(shown)).alias("visible_text"),
+            _meta_contents(shown, TITLE_KEYS).alias("meta_titles"),
+            _meta_contents(shown, SITE_KEYS).alias("site_names"),
+            links.alias("links"),
+            _button_texts(shown).alias("buttons"),
+            F.coalesce(parts["postings"], F.array().cast(POSTINGS)).alias("postings"),
+        )
+
+    return with_value(F.struct(shown_markup(page).alias("shown"), postings.alias("postings")), read)
