@@ -99,7 +99,7 @@ def join_16(spark, sf):
 @query("join_16_sequential_matching")
 def join_16_sequential(spark, sf):
     rows = line_pairs(spark, sf).withColumns({c: Q.keyed_items(F.filter(F.split(c, "\n"), lambda x: x != "")) for c in ("expected", "actual")})
-    rows = rows.withColumn("m", Q.sequential_match("expected", "actual"))
+    rows = rows.withColumn("m", Q.sequential_match(F.col("expected"), F.col("actual")))
     return rows.select("conv_id", "turn", F.round("m.score", 4).alias("score"), F.size("m.missing").alias("missing"), F.size("m.unexpected").alias("unexpected"))
 
 

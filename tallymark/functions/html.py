@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import LINE_END, blank, constant_map, first_seen, squeeze, strip
+from .text import LINE_END, blank, constant_map, first_seen, squeeze, strip, with_value
 
 # Tags that start and end a line, elements whose content is never shown,
 # and the names under which a page states its title and its site.
@@ -130,11 +130,6 @@ def shown_markup(markup: Column) -> Column:
     return F.regexp_replace(blank(markup), f"(?is){COMMENT}|{hidden}", " ")
 
 
-def with_value(value: Column, read) -> Column:
-    """`read(value)` with the value computed once, however often `read` uses it."""
-    return F.get(F.transform(F.array(value), read), F.lit(0))
-
-
 def inner_text(fragment: Column) -> Column:
     """Text of a piece of shown markup: tags part words, white space is one space."""
     return squeeze(unescape(F.regexp_replace(fragment, f"(?s){TAG}", " ")))

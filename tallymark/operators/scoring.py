@@ -14,8 +14,14 @@ CATEGORIES = (
     "location_arrangement", "employment_type",
 )
 # Weights of the base rule, the live model A and the compared model B.
-BASE_WEIGHTS = dict(zip(CATEGORIES, (20, 25, 10, 15, 15, 5, 5, 5)))
-MODEL_A = dict(zip(CATEGORIES, (10, 20, 10, 15, 15, 20, 5, 5)))
+BASE_WEIGHTS = {
+    "role": 20, "required_skills": 25, "preferred_skills": 10, "education": 15,
+    "experience": 15, "industry": 5, "location_arrangement": 5, "employment_type": 5,
+}
+MODEL_A = {
+    "role": 10, "required_skills": 20, "preferred_skills": 10, "education": 15,
+    "experience": 15, "industry": 20, "location_arrangement": 5, "employment_type": 5,
+}
 MODEL_B = {**MODEL_A, "required_skills": 25, "industry": 15}
 MODELS = {"industry_balanced": MODEL_A, "skills_priority": MODEL_B}
 
