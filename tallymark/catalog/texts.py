@@ -412,7 +412,7 @@ def join_22_cover(spark, sf):
     pairs = G.shared_passages(documents(spark, sf), table(spark, sf, "benchmark"))
     rows = pairs.join(documents(spark, sf).select("doc_id", "text"), "doc_id").join(table(spark, sf, "benchmark").withColumnRenamed("text", "passage"), "item_id")
     rows = rows.select("doc_id", "item_id", G.document_blocks(F.col("text")).alias("b"), F.filter(F.transform(F.split("passage", "\\."), X.strip), lambda c: c != "").alias("c"))
-    return rows.select("doc_id", "item_id", F.size(G.cover_excerpts("b", "c")).alias("excerpts"))
+    return rows.select("doc_id", "item_id", F.size(G.cover_excerpts(F.col("b"), F.col("c"))).alias("excerpts"))
 
 
 @query("join_26_verbatim_quotes", """SELECT doc_id, contains(text, CASE WHEN doc_id % 3 = 0 THEN upper(substr(text, 11, 30)) ELSE substr(text, 11, 30) END) AS verbatim FROM documents""")
