@@ -9,7 +9,7 @@ from ..functions import listing as L
 from ..functions.text import blank, strip
 from ..operators.spread import fence
 
-PARSER_VERSION = "deterministic-intake-v1"
+PARSER_VERSION = "tallymark-intake-1"
 
 
 def extract_listings(listings: DataFrame, text: str = "raw_text") -> DataFrame:

@@ -23,7 +23,7 @@ from ..operators.rowmatch import text_features, vector_features, with_scan, with
 from ..operators.spread import fence, spread
 from ..operators.vocabulary import ENTRY_TERMS, SOFTWARE_TERMS, Vocabulary, mentions
 
-MATCHER_VERSION = "2.3-controlled-semantic"
+MATCHER_VERSION = "tallymark-matcher-1"
 TRANSFERABLE_ROLE, SOFTWARE_ROLE = 0.70, 0.80
 DIRECT_INDUSTRY, RELATED_INDUSTRY, DIRECT_ROLE = 0.85, 0.55, 0.85
 PRIORITY, ADJACENT, OUTSIDE = "PRIORITY ROLE", "ADJACENT OPPORTUNITY", "OUTSIDE PRIORITY"
