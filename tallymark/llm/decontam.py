@@ -1,17 +1,16 @@
-"""Benchmark decontamination (operator 3): SimHash of item-sized windows, Hamming blocks, weighted shingles.
+"""Benchmark decontamination (operator 3): windows as long as an item, compared by weighted shingles.
 
-A document's windows of as many words as an item has get a 64-bit fingerprint of their weighted shingles. Eight blocks
-of eight bits, each looked up with up to two bits flipped, find all fingerprints within 23 bits of an item's (24 bits in
-eight blocks mean three in each). Candidates within that radius are then compared exactly by weighted shingles.
-
-Only windows that hold a shingle of some item are fingerprinted: a window without any has similarity zero to all items,
-so that nothing is lost, and the cost follows the passages that could matter.
+A shingle of an item weighs one over the number of benchmark texts that have it, whatever block of the benchmark is in
+memory; a shingle that the item does not have weighs the item's mean, so that an edit counts like any other word of it.
+A window that reaches LEAST holds LEAST of the item's weight. An item is therefore looked up by its rarest shingles, as
+many as leave less than that, and windows with enough weight are compared exactly: no fingerprint decides, none is missed.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,9 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, whole
+from .shared import fresh, whole, written
 
-SHINGLE, LEAST, RADIUS, BLOCK_RADIUS = 5, 0.8, 23, 2
+SHINGLE, LEAST = 5, 0.8
 #: Characters of benchmark text that one pass over the documents holds in memory: the bound of what is broadcast.
 PASS_CHARS = 16_000_000
 
@@ -53,54 +52,69 @@ def _shingles(codes: np.ndarray, size: int) -> np.ndarray:
     return _mix(out)
 
 
-#: For each byte value, the values within BLOCK_RADIUS bits.
-NEAR = np.array([[(a ^ b).bit_count() <= BLOCK_RADIUS for b in range(256)] for a in range(256)])
+def _codes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+
+
+def item_shingles(words: list[str]) -> tuple[int, list[int]]:
+    """(words of a shingle, the item's shingles): an item of fewer words than SHINGLE is one shingle of its own length."""
+    size = min(SHINGLE, len(words))
+    return size, _shingles(_codes(words), size).tolist()
 
 
 class Index:
-    """The items of one pass. Items of fewer words than a shingle are compared as one shingle of their own length."""
-
-    def __init__(self, items: tuple[tuple[int, str], ...]):
-        found = [(i, w) for i, t in items if (w := words_of(t))]
-        self.codes = {w: xxhash.xxh64_intdigest(w) for _, ws in found for w in ws}
-        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
-        share: dict[int, Counter] = {}
-        for item, ws in found:
-            size = min(SHINGLE, len(ws))
-            row = _shingles(np.array([self.codes[w] for w in ws], np.uint64), size)
-            by_size.setdefault(len(ws), []).append((item, row))
-            share.setdefault(size, Counter()).update(set(row.tolist()))
-        #: A shingle weighs one over the number of items that have it, so that shared phrases count for less.
-        self.weights = {size: {s: 1 / n for s, n in c.items()} for size, c in share.items()}
-        self.known = {size: np.sort(np.array(list(c), np.uint64)) for size, c in share.items()}
-        #: By shingle, the classes with an item that has it: others cannot be similar to a window for that shingle.
-        self.owners: dict[int, list[int]] = {}
-        self.classes = []
-        for length, rows in sorted(by_size.items()):
-            for s in {int(x) for _, r in rows for x in r}:
-                self.owners.setdefault(s, []).append(len(self.classes))
-            size = min(SHINGLE, length)
-            prints = np.array([self.fingerprints(r, size, len(r))[0] for _, r in rows], np.uint64)
-            tables = [NEAR[:, (prints >> np.uint64(8 * b)).astype(np.uint8)] for b in range(8)]
-            bags = [Counter(r.tolist()) for _, r in rows]
-            self.classes.append((length, size, [i for i, _ in rows], prints, tables, bags))
-
-    def weigh(self, shingles: np.ndarray, size: int) -> np.ndarray:
-        weights = self.weights[size]
-        return np.array([weights.get(s, 1.0) for s in shingles.tolist()])
-
-    def fingerprints(self, shingles: np.ndarray, size: int, width: int) -> np.ndarray:
-        """SimHash of each window of `width` shingles: the sign of each bit's weighted votes."""
-        bits = np.unpackbits(shingles.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float64) * 2 - 1
-        votes = np.cumsum(np.vstack([np.zeros(64), bits * self.weigh(shingles, size)[:, None]]), axis=0)
-        sums = votes[width:] - votes[:-width]
-        return np.packbits(sums > 1e-9, axis=1).view(">u8").ravel().astype(np.uint64)
+    """The items of one pass: (item, text, owners), owners being (shingle, texts that have it) where that is above one.
+
+    Without owners the items are the whole benchmark and are counted here.
+    """
+
+    def __init__(self, items: tuple[tuple, ...]):
+        texts: dict[tuple[str, ...], list[int]] = {}
+        for i, t, *_ in items:
+            if w := words_of(t):
+                texts.setdefault(tuple(w), []).append(i)
+        self.codes = {w: xxhash.xxh64_intdigest(w) for ws in texts for w in ws}
+        rows = [(ids, len(ws), *item_shingles(list(ws))) for ws, ids in texts.items()]
+        #: By shingle length, the texts that have a shingle.
+        self.owners: dict[int, Counter] = {}
+        if items and len(items[0]) == 2:
+            for _, _, size, row in rows:
+                self.owners.setdefault(size, Counter()).update(set(row))
+        else:
+            for _, t, own in items:
+                counts = self.owners.setdefault(min(SHINGLE, len(words_of(t))), Counter())
+                counts |= Counter({x & (1 << 64) - 1: n for x, n in own})
+        #: (ids, words, words of a shingle, bag, shingles sorted, their weights, weight of the whole item)
+        self.items = []
+        #: By shingle length and shingle, the items looked up by it.
+        self.posts: dict[int, dict[int, list[int]]] = {}
+        known: dict[int, set[int]] = {}
+        for ids, length, size, row in rows:
+            bag = Counter(row)
+            weights, _ = self.weigh(bag, size)
+            whole_weight = rest = sum(weights[x] * n for x, n in bag.items())
+            for x in sorted(bag, key=lambda x: (-weights[x], x)):  # noqa: B023
+                if rest < LEAST * whole_weight - 1e-9:
+                    break
+                self.posts.setdefault(size, {}).setdefault(x, []).append(len(self.items))
+                rest -= weights[x] * bag[x]
+            own = np.array(sorted(bag), np.uint64)
+            known.setdefault(size, set()).update(bag)
+            self.items.append((ids, length, size, bag, own, np.array([weights[x] for x in own.tolist()]), whole_weight))
+        self.known = {size: np.sort(np.array(list(k), np.uint64)) for size, k in known.items()}
+
+    def weigh(self, bag: Counter, size: int) -> tuple[dict[int, float], float]:
+        """The weights of an item's shingles, and that of all others for this item."""
+        owners = self.owners.get(size, {})
+        weights = {s: 1 / max(1, owners.get(s, 1)) for s in bag}
+        return weights, sum(weights[s] * n for s, n in bag.items()) / sum(bag.values())
 
     def similarity(self, a: Counter, b: Counter, size: int) -> float:
-        weights = self.weights[size]
+        """Weighted Jaccard of a window with an item, b."""
+        weights, mean = self.weigh(b, size)
         total = common = 0.0
-        for s in a.keys() | b.keys():
-            w = weights.get(s, 1.0)
+        for s in sorted(a.keys() | b.keys()):
+            w = weights.get(s, mean)
             common += w * min(a[s], b[s])
             total += w * max(a[s], b[s])
         return common / total
@@ -112,48 +126,41 @@ class Index:
         codes = np.array([get(w, 0) for w in words], np.uint64)
         if not codes.any():
             return []
-        hits: dict[int, list[int]] = {}  # class: places of its shingles
+        best: dict[int, tuple[float, int, int]] = {}
         for size, known in self.known.items():
             s = _shingles(codes, size)
+            if not len(s):
+                continue
             # Words of no item have the code zero; a run with one of them is no item's shingle.
-            full = np.flatnonzero(np.convolve(codes != 0, np.ones(size, np.int64))[size - 1 : len(codes)] == size) if len(s) else []
-            if len(full):
-                at = np.minimum(np.searchsorted(known, s[full]), len(known) - 1)
-                full = full[known[at] == s[full]]
-            for at in full.tolist() if len(full) else ():
-                for c in self.owners[int(s[at])]:
-                    hits.setdefault(c, []).append(at)
-        if not hits:
-            return []
-        true = np.array([get(w) or xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-        best: dict[int, tuple[float, int, int]] = {}
-        for c in sorted(hits):
-            length, size, ids, prints, tables, bags = self.classes[c]
-            if len(words) < length:
+            places = np.flatnonzero(np.convolve(codes != 0, np.ones(size, np.int64))[size - 1 : len(codes)] == size)
+            at = np.minimum(np.searchsorted(known, s[places]), len(known) - 1)
+            places = places[known[at] == s[places]]
+            if not len(places):
                 continue
-            shingles, width = _shingles(true, size), length - size + 1
-            # Windows that hold a hit, as stretches of first places.
-            starts = np.unique((np.array(hits[c])[:, None] - np.arange(width)[None, :]).ravel())
-            starts = starts[(starts >= 0) & (starts <= len(words) - length)]
-            for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                if not len(run):
+            hits, posts = s[places], self.posts[size]
+            items = sorted({i for x in np.unique(hits).tolist() for i in posts.get(x, ())})
+            true = _shingles(np.array([get(w) or xxhash.xxh64_intdigest(w) for w in words], np.uint64), size) if items else None
+            for i in items:
+                ids, length, _, bag, own, weights, whole_weight = self.items[i]
+                if len(words) < length:
                     continue
-                f = self.fingerprints(shingles[run[0] : run[-1] + width], size, width)
-                near = np.zeros((len(f), len(prints)), bool)
-                for b, table in enumerate(tables):
-                    near |= table[(f >> np.uint64(8 * b)).astype(np.uint8)]
-                rows, cols = np.nonzero(near)
-                close = np.bitwise_count(f[rows] ^ prints[cols]) <= RADIUS
-                for r, i in zip(rows[close].tolist(), cols[close].tolist(), strict=True):
-                    start = int(run[0]) + r
-                    score = self.similarity(Counter(shingles[start : start + width].tolist()), bags[i], size)
-                    if score >= LEAST and (ids[i] not in best or score > best[ids[i]][0]):
-                        best[ids[i]] = (score, start, length)
+                width = length - size + 1
+                at = np.minimum(np.searchsorted(own, hits), len(own) - 1)
+                held = np.zeros(len(s) + 1)
+                held[places + 1] = np.where(own[at] == hits, weights[at], 0.0)
+                held = np.cumsum(held)
+                starts = np.flatnonzero(held[width:] - held[:-width] >= LEAST * whole_weight - 1e-6)
+                for start in starts.tolist():
+                    score = self.similarity(Counter(true[start : start + width].tolist()), bag, size)
+                    if score >= LEAST:
+                        for name in ids:
+                            if name not in best or (-score, start) < (-best[name][0], best[name][1]):
+                                best[name] = (score, start, length)
         return [(i, *best[i]) for i in sorted(best)]
 
 
 @lru_cache(maxsize=2)
-def index(items: tuple[tuple[int, str], ...]) -> Index:
+def index(items: tuple[tuple, ...]) -> Index:
     return Index(items)
 
 
@@ -161,20 +168,47 @@ FOUND = "array<struct<item_id: long, similarity: double, first_word: int, n_word
 FOUND_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
 
 
-def passes(benchmark: DataFrame, item: str, text: str, pass_chars: int = PASS_CHARS) -> list[tuple[tuple[int, str], ...]]:
-    """The benchmark, a stated set of queries, in blocks of at most `pass_chars` characters (or one item)."""
-    rows = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item), F.col(text)).distinct()
-    blocks, block, size = [], [], 0
-    for r in rows.orderBy(item, text).toLocalIterator():
-        if block and size + len(r[1]) > pass_chars:
-            blocks.append(tuple(block))
+def _shingled(texts: pa.Array) -> pa.Array:
+    out = []
+    for t in texts.to_pylist():
+        words = words_of(t)
+        size, row = item_shingles(words) if words else (0, [])
+        name = np.uint64(xxhash.xxh64_intdigest(" ".join(words))).view(np.int64)
+        out.append({"text": int(name), "size": size, "shingles": np.unique(np.array(row, np.uint64)).view(np.int64).tolist()})
+    return pa.array(out, pa.struct([("text", pa.int64()), ("size", pa.int32()), ("shingles", pa.list_(pa.int64()))]))
+
+
+def blocks(benchmark: DataFrame, item: str, text: str, pass_chars: int = PASS_CHARS) -> Iterator[tuple[tuple, ...]]:
+    """The benchmark in blocks of about `pass_chars` characters, one at a time; texts of one id stay together.
+
+    Each text comes with its shingles that other texts have as well, counted over the whole benchmark; texts of equal words
+    are one.
+    """
+    rows = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).alias("item"), F.col(text).alias("body")).distinct()
+    shingled = F.arrow_udf(_shingled, "text long, size int, shingles array<long>")
+    rows = written(rows.withColumn("own", shingled("body")), "items")
+    each = rows.select("own.*").dropDuplicates(["text"]).select("size", F.explode("shingles").alias("s"))
+    shared = each.groupBy("size", "s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = rows.select("own.*").dropDuplicates(["text"]).select("text", "size", F.explode("shingles").alias("s")).join(shared, ["size", "s"])
+    own = own.groupBy("text").agg(F.collect_list(F.struct("s", "n")).alias("shared"))
+    rows = rows.select("item", "body", F.col("own.text").alias("text")).join(own, "text", "left")
+    block, size = [], 0
+    for r in rows.select("item", "body", "shared").orderBy("item", "body").toLocalIterator():
+        if block and size + len(r[1]) > pass_chars and r[0] != block[-1][0]:
+            yield tuple(block)
             block, size = [], 0
-        block.append((r[0], r[1]))
+        block.append((r[0], r[1], tuple((x[0], x[1]) for x in r[2] or ())))
         size += len(r[1])
-    return [*blocks, tuple(block)] if block else blocks
+    if block:
+        yield tuple(block)
+
+
+def passes(benchmark: DataFrame, item: str, text: str, pass_chars: int = PASS_CHARS) -> list[tuple[tuple, ...]]:
+    """All blocks at once, for benchmarks known to be small."""
+    return list(blocks(benchmark, item, text, pass_chars))
 
 
-def with_matches(docs: DataFrame, text: str, items: tuple[tuple[int, str], ...], column: str) -> DataFrame:
+def with_matches(docs: DataFrame, text: str, items: tuple[tuple, ...], column: str) -> DataFrame:
     """The rows with the items that each whole text holds, by one pass of the benchmark."""
     held = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -187,14 +221,14 @@ def with_matches(docs: DataFrame, text: str, items: tuple[tuple[int, str], ...],
     return docs.withColumn(column, found(whole(text)))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", pass_chars: int = PASS_CHARS) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: the best window of each item in each document that has it.
 
     Null and empty texts and items without words match nothing; repeated rows repeat; of windows as similar the first is
     given. Documents are read once for each pass of the benchmark and never shuffled. An empty table gives no rows.
     """
     out = None
-    for items in passes(benchmark, item, "text"):
+    for items in blocks(benchmark, item, "text", pass_chars):
         rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
         # An outer explode: for an inner one Spark infers a filter on the array and would run the search twice.
         rows = with_matches(rows, "text", items, "found").select("doc_id", F.explode_outer("found").alias("m"))
@@ -207,9 +241,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", pass_chars: int = PASS_CHARS) -> DataFrame:
     """The rows that hold no item; all columns stay."""
-    for items in passes(benchmark, item, "text"):
+    for items in blocks(benchmark, item, "text", pass_chars):
         found, = fresh(docs, "found")
         docs = with_matches(docs, text, items, found).where(F.size(found) == 0).drop(found)
     return docs

@@ -2,10 +2,9 @@
 
 import random
 
-import numpy as np
 import pytest
 
-from tallymark.llm import jaccard
+from tallymark.llm import decontam, jaccard
 
 
 def near_copies(n_words=60):
@@ -62,3 +61,33 @@ def test_near_copies_by_row(spark):
         (1, " ".join(base)), (2, "alone with this key"), (7, "twice")
     ]
     assert jaccard.keep_one(docs.limit(0), "doc_id", "text").collect() == []
+
+
+def question(seed, n=50):
+    roll = random.Random(seed)
+    return [f"q{roll.randrange(3000)}" for _ in range(n)]
+
+
+def found(spark, docs, items, **given):
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    rows = decontam.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), **given).collect()
+    return sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9), r["first_word"], r["n_words"]) for r in rows)
+
+
+def test_weights_of_items_that_recur(spark):
+    text = question(3)
+    edited = " ".join(["before", *text[:25], "edit", *text[26:], "after"])
+    items = [(i, " ".join(text)) for i in range(10)]
+    assert found(spark, [edited], items) == [(0, i, round(41 / 51, 9), 1, 50) for i in range(10)]
+    # Items that differ by a head share all else.
+    items = [(i, " ".join([f"head{i}", *text])) for i in range(10)]
+    assert len(found(spark, [edited.replace("edit ", text[25] + " ")], items)) == 10
+
+
+def test_blocks_of_the_benchmark_change_nothing(spark):
+    text = question(4)
+    items = [(i, " ".join([*question(100 + i, 20), *text[: 10 + i]])) for i in range(12)]
+    docs = [" ".join([*question(100 + i, 20)[i // 6 :], *text[: 10 + i], "more"]) for i in range(12)]
+    one = found(spark, docs, items)
+    assert len(one) >= 12
+    assert found(spark, docs, items, pass_chars=500) == one
