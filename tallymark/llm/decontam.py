@@ -4,6 +4,7 @@ A shingle of an item weighs one over the number of benchmark texts that have it,
 memory; a shingle that the item does not have weighs the item's mean, so that an edit counts like any other word of it.
 A window that reaches LEAST holds LEAST of the item's weight. An item is therefore looked up by its rarest shingles, as
 many as leave less than that, and windows with enough weight are compared exactly: no fingerprint decides, none is missed.
+A document shorter than the item is one window.
 """
 
 from __future__ import annotations
@@ -142,8 +143,7 @@ class Index:
             true = _shingles(np.array([get(w) or xxhash.xxh64_intdigest(w) for w in words], np.uint64), size) if items else None
             for i in items:
                 ids, length, _, bag, own, weights, whole_weight = self.items[i]
-                if len(words) < length:
-                    continue
+                length = min(length, len(words))
                 width = length - size + 1
                 at = np.minimum(np.searchsorted(own, hits), len(own) - 1)
                 held = np.zeros(len(s) + 1)

@@ -74,6 +74,14 @@ def found(spark, docs, items, **given):
     return sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9), r["first_word"], r["n_words"]) for r in rows)
 
 
+def test_an_item_less_some_words_is_the_whole_text(spark):
+    long, short = question(1), question(2, 15)
+    docs = [" ".join(long[:-1]), " ".join(short[1:]), " ".join(long[:-9]), " ".join(long[:-10])]
+    assert found(spark, docs, [(1, " ".join(long)), (2, " ".join(short))]) == [
+        (0, 1, round(45 / 46, 9), 0, 49), (1, 2, round(10 / 11, 9), 0, 14), (2, 1, round(37 / 46, 9), 0, 41)
+    ]
+
+
 def test_weights_of_items_that_recur(spark):
     text = question(3)
     edited = " ".join(["before", *text[:25], "edit", *text[26:], "after"])
