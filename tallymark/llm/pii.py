@@ -165,7 +165,8 @@ PATTERNS = {
     "phone": r"(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
 }
 COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
-NUMBERS = re.compile("[0-9][0-9 ().-]{6,}")
+#: Part of every valid value but addresses of mail: figures with the signs between them, or the start of an IBAN.
+NUMBERS = re.compile(r"[0-9][0-9 ()./-]{6,}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2}")
 
 
 def spans_of(text: str, names: Pseudonyms) -> list[tuple[int, int, str, str]]:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallymark.llm import decontam, jaccard
+from tallymark.llm import decontam, jaccard, pii
 
 
 def near_copies(n_words=60):
@@ -99,3 +99,18 @@ def test_blocks_of_the_benchmark_change_nothing(spark):
     one = found(spark, docs, items)
     assert len(one) >= 12
     assert found(spark, docs, items, pass_chars=500) == one
+
+
+def test_a_text_with_one_value_only():
+    names, body = pii.Pseudonyms(b"k"), "ABCDEFGHIJKLMNOP"
+    values = {
+        "date": ["17/05/1984", "05/17/1984", "17.05.1984", "1984-05-17"], "ip": ["8.8.4.4"], "ssn": ["123-45-6789"],
+        "card": ["4111111111111111", "4111 1111 1111 1111"], "phone": ["(555) 123-4567", "+1 555 123 4567", "+15551234567"],
+        "iban": [f"MT{pii.iban_check('MT', body):02d}{body}", "GB82 WEST 1234 5698 7654 32"], "email": ["a.b@c.example"],
+    }
+    for kind, texts in values.items():
+        for text in texts:
+            new, spans = pii.pseudonymised(f"born {text}.", names)
+            assert [s[2] for s in spans] == [kind], text
+            assert text not in new
+            assert pii.pseudonymised(f"card 4111111111111111, born {text}.", names)[1][-1][2:] == spans[0][2:]
