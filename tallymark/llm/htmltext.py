@@ -1,7 +1,8 @@
 """Main text of web pages by line-block distribution (operator 5).
 
 Markup is stripped to one line per block of text. Lines of page furniture (by element or by the words of class, id and
-role), lines of mostly links and, where the page marks its article, lines outside it have length zero. Lengths are
+role), lines of mostly links unless within a marked article and, where the page marks its article, lines outside it have
+length zero. Lengths are
 summed over sliding windows of lines; the text starts where the sums surge and ends where they dive to nothing.
 """
 
@@ -49,7 +50,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         nonlocal parts, links
         text = " ".join("".join(parts).split())
         if text:
-            lines.append((text, 0 if hidden or links * 2 > len(text) else len(text), article > 0))
+            lines.append((text, 0 if hidden or links * 2 > len(text) and not article else len(text), article > 0))
         parts, links = [], 0
 
     at = 0

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallymark.llm import decontam, jaccard, pii
+from tallymark.llm import decontam, htmltext, jaccard, pii
 
 
 def near_copies(n_words=60):
@@ -114,3 +114,10 @@ def test_a_text_with_one_value_only():
             assert [s[2] for s in spans] == [kind], text
             assert text not in new
             assert pii.pseudonymised(f"card 4111111111111111, born {text}.", names)[1][-1][2:] == spans[0][2:]
+
+
+def test_a_linked_paragraph_of_the_article_stays():
+    page = "<body><nav><a href=x>Home</a></nav><article><p>First words of the text.</p><p><a href=y>A linked source</a></p><ul><li><a href=z>Another</a></li></ul><p>Last words.</p></article><p><a href=q>Outside</a></p></body>"
+    assert htmltext.main_text(page) == "First words of the text.\n\nA linked source\n\nAnother\n\nLast words."
+    plain = "<body><p><a href=x>Home of all the links</a></p><p>" + "Words of an unmarked page. " * 8 + "</p></body>"
+    assert "Home" not in htmltext.main_text(plain)
