@@ -4,17 +4,24 @@ A plain window over a key puts every row of that key into one task. Here the key
 is split by a second, order-preserving bucket (a day, an id range): the window
 runs inside (key, bucket) and only one boundary row per bucket is looked at
 across buckets. "Latest of a key" needs no window at all, an aggregate with
-map-side combine does it.
+map-side combine does it. A rank over all rows is the place in a range partition
+plus the rows of the partitions before it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
+#: A generated row id holds the partition above this bit and the place in the partition below it.
+PLACE_BITS = 33
+
 
 def _neighbour(df, keys, order, bucket, values, name, forward: bool) -> DataFrame:
     keys, order = list(keys), list(order)
@@ -79,3 +86,30 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     """WIN-10: best k rows per key. The rank filter is applied before the shuffle as well."""
     window = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
+
+
+def global_rank(rows: DataFrame, order: Sequence[Column], rank: str = "rank") -> DataFrame:
+    """The rows with their place 1, 2, 3... in `order` over all of them, without a task that sees them all.
+
+    Rows are dealt out by ranges of `order`, sorted within each and written once to the shared folder; the partitions'
+    counts (one number for each) then give what each place is moved by. Name columns in `order` until it leaves no ties
+    that matter; rows equal in all of them share a range partition. A clashing column of the input is replaced.
+    """
+    spark = rows.sparkSession
+    place = "_place"
+    while place in {c.lower() for c in rows.columns}:
+        place += "_"
+    kept = [c for c in rows.columns if c.lower() != rank.lower()]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rank-{uuid.uuid4().hex}"
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias(place))
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    part = F.shiftright(F.col(place), PLACE_BITS)
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # One row for each partition: the window below sees no more than that.
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows")).select(
+        "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
+    )
+    within = F.col(place).bitwiseAND((1 << PLACE_BITS) - 1)
+    ranked = dealt.withColumn("_part", part).join(F.broadcast(counts), "_part")
+    return ranked.select(*[F.col(f"`{c}`") for c in kept], (within + F.col("_before") + 1).alias(rank))
