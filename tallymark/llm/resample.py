@@ -25,8 +25,8 @@ POLYNOMIAL = 0xEDB88320
 #: Distances of the table (64 KB); a longer span is folded blockwise.
 REACH = 64
 BUCKETS, RUN, SHARE, LEAST_WORDS, SEED = 10_000, 3, 5, 20, "42"
-#: Bytes that are looked up at once, a bound of space.
-SLICE = 1 << 17
+#: Bytes that are looked up at once, and bytes of text that are cut into words at once: bounds of space.
+SLICE, PIECE = 1 << 17, 1 << 20
 
 
 def _byte_table() -> np.ndarray:
@@ -117,20 +117,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts of a batch: words joined by one space, their starts and ends in that, and each text's words."""
-    texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
-    if texts.null_count:
-        texts = texts.fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts that lie one after the other: words joined by one space, their starts and ends in that, each text's words."""
     raw = LOWER[raw]
     inside = IN_WORD[raw]
     border = np.zeros(len(raw) + 1, bool)
     border[offsets] = True
-    before = np.concatenate([[False], inside[:-1]]) if len(raw) else inside
-    after = np.concatenate([inside[1:], [False]]) if len(raw) else inside
+    before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
     begins = np.flatnonzero(inside & (~before | border[:-1]))
     stops = np.flatnonzero(inside & (~after | border[1:])) + 1
     lengths = stops - begins
@@ -141,18 +135,60 @@ def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return joined, ends - lengths, ends, np.diff(np.searchsorted(begins, offsets))
 
 
-def buckets_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of 1, 2, 3 words: bucket of each run, its text's place in the batch, and each text's words."""
-    data, starts, ends, words = word_spans(texts)
-    text = np.repeat(np.arange(len(words)), words)
-    for n in range(1, RUN + 1):
-        for low in range(0, max(1, len(starts)), SLICE):
-            a = starts[low : low + SLICE]
-            b, first, last = ends[low + n - 1 : low + n - 1 + len(a)], text[low : low + len(a)], text[low + n - 1 : low + n - 1 + len(a)]
-            a, first = a[: len(b)], first[: len(b)]
-            same = np.flatnonzero(first == last)
-            found = span_checksums(data, a[same], b[same]) % BUCKETS if len(same) else np.zeros(0, np.uint32)
-            yield found.astype(np.int64), first[same], words
+def pieces(texts: pa.Array) -> Iterator[tuple]:
+    """(`word_spans` of a piece, place of its first text, leading words that were in the piece before).
+
+    A piece holds as many whole texts as fit in PIECE bytes. A longer text comes in pieces that end between words and
+    begin with the last two words before, so that no run of words is lost at a border.
+    """
+    texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
+    if texts.null_count:
+        texts = texts.fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(texts):
+        j = int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1
+        if j > i:
+            yield word_spans(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), i, 0
+            i = j
+            continue
+        at, end, carry = int(offsets[i]), int(offsets[i + 1]), np.zeros(0, np.uint8)
+        carried = 0
+        while at < end:
+            to = min(at + PIECE, end)
+            while to < end and not len(gap := np.flatnonzero(~IN_WORD[LOWER[raw[to : min(end, to + PIECE)]]])):
+                to = min(end, to + PIECE)
+            to = to + int(gap[0]) if to < end else end
+            block = np.concatenate([carry, raw[at:to]])
+            found = word_spans(block, np.array([0, len(block)]))
+            yield found, i, carried
+            data, starts, ends, _ = found
+            carried = min(RUN - 1, len(starts))
+            carry = np.append(data[starts[-carried] : ends[-1]], np.uint8(32)) if carried else carry[:0]
+            at = to
+        i += 1
+
+
+def buckets_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bucket of each run of 1, 2 and 3 words, and its text's place in the batch (rising within each array)."""
+    for (data, starts, ends, words), place, carried in pieces(texts):
+        text = place + np.repeat(np.arange(len(words)), words)
+        for n in range(1, RUN + 1):
+            low = max(0, carried - n + 1)
+            last = low + n - 1
+            first = slice(low, max(low, len(starts) - n + 1))
+            same = np.flatnonzero(text[first] == text[last:])
+            if len(same):
+                yield (span_checksums(data, starts[first][same], ends[last:][same]) % BUCKETS).astype(np.int64), text[last:][same]
+
+
+def words_of(texts: pa.Array) -> np.ndarray:
+    """How many words each text of a batch has."""
+    total = np.zeros(len(texts), np.int64)
+    for (_, _, _, words), place, carried in pieces(texts):
+        total[place : place + len(words)] += words - carried
+    return total
 
 
 def bucket_counts(rows: DataFrame, text: str) -> DataFrame:
@@ -161,7 +197,7 @@ def bucket_counts(rows: DataFrame, text: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for found, _, _ in buckets_of(batch.column(0)):
+            for found, _ in buckets_of(batch.column(0)):
                 total += np.bincount(found, minlength=BUCKETS)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": hit, "n": total[hit]}, pa.schema([("bucket", pa.int64()), ("n", pa.int64())]))
@@ -184,14 +220,15 @@ def with_weight(rows: DataFrame, text: str, gain: np.ndarray) -> DataFrame:
 
     @F.arrow_udf("struct<n_words:long,n_features:long,weight:long>")
     def look(texts: pa.Array) -> pa.Array:
-        features, weight, words = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), None
-        for found, text, words in buckets_of(texts):
-            features += np.bincount(text, minlength=len(texts))
+        features, weight = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for found, text in buckets_of(texts):
+            low, high = int(text[0]), int(text[-1]) + 1
+            features[low:high] += np.bincount(text - low, minlength=high - low)
             # Sums as whole numbers: cumulated, then differences at the texts' borders (places rise).
             total = np.concatenate([[0], np.cumsum(gain[found])])
-            border = np.searchsorted(text, np.arange(len(texts) + 1))
-            weight += total[border[1:]] - total[border[:-1]]
-        return pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(features), pa.array(weight)], ["n_words", "n_features", "weight"])
+            border = np.searchsorted(text, np.arange(low, high + 1))
+            weight[low:high] += total[border[1:]] - total[border[:-1]]
+        return pa.StructArray.from_arrays([pa.array(words_of(texts)), pa.array(features), pa.array(weight)], ["n_words", "n_features", "weight"])
 
     return rows.withColumn("found", look(whole(text)))
 
