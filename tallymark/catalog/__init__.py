@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("listings", "histories", "texts", "matching", "quality")
+MODULES = ("listings", "histories", "texts", "matching", "quality", "reevaluation")
 
 
 def load_all() -> None:

@@ -97,24 +97,33 @@ def match(
     vocabulary: Vocabulary | None = None,
     manual_profiles: DataFrame | None = None,
     layers: int = 4,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Score every posting against the profiles of its scope.
 
     `scope` names the columns postings and profiles share (JOIN-02); a single
     candidate is one profile per scope. `manual_profiles` feeds the semantic layer
-    where `profiles` carries a snapshot overlay.
+    where `profiles` carries a snapshot overlay. `only` (job_id, profile_id) names the
+    pairs to match: no other posting is prepared and no other text is compared.
     """
     vocabulary = vocabulary or Vocabulary()
     scope = tuple(scope)
+    if only is not None:
+        postings = postings.join(only, "job_id", "left_semi")
+        profiles = profiles.join(only, "profile_id", "left_semi")
     jobs = _prepare(postings, requirements, scope)
     pairs = jobs.join(_profile_side(profiles, scope), list(scope))
+    if only is not None:
+        pairs = pairs.join(only, ["job_id", "profile_id"], "left_semi")
 
     pool_of = constant_map(POOLS)
     items = jobs.select(*scope, "job_id", F.explode(_items()).alias("i")).select(
         *scope, "job_id", "i.category", "i.ordinal", "i.requirement", pool_of[F.col("i.category")].alias("pool")
     )
+    if only is not None:
+        items = items.join(only, "job_id")
     found = match_texts(items, profiles, manual_profiles, scope, vocabulary, semantic=layers >= 4)
-    joined = items.join(found, [*scope, "pool", "requirement"])
+    joined = items.join(found, [*scope, "pool", "requirement", *(["profile_id"] if only is not None else [])])
     gathered = joined.groupBy("job_id", "profile_id").agg(
         F.collect_list(
             F.struct(
@@ -170,13 +179,14 @@ def _profile_side(profiles: DataFrame, scope) -> DataFrame:
 
 
 def match_texts(items, profiles, manual_profiles, scope, vocabulary, semantic=True) -> DataFrame:
-    """Each distinct (scope, pool, requirement) text against the profiles of its scope."""
-    needs = spread(items.select(*scope, "pool", "requirement").distinct(), *scope, "pool", "requirement")
+    """Each distinct (scope, pool, requirement) text against the profiles of its scope, or the one its row names."""
+    named = [c for c in ("profile_id",) if c in items.columns]
+    needs = spread(items.select(*scope, "pool", "requirement", *named).distinct(), *scope, "pool", "requirement")
     one = F.array("requirement")
     features = lambda c: text_features(c, vocabulary, F.col("pool") == "role")
     needs = needs.withColumn("need", F.get(features(one), F.lit(0)))
     held = _listed(evidence_pools(profiles), scope).withColumn("held", features(F.col("items"))).drop("items")
-    rows = with_scan(needs.join(held, [*scope, "pool"]), "need", "held", vocabulary, "hit")
+    rows = with_scan(needs.join(held, [*scope, "pool", *named]), "need", "held", vocabulary, "hit")
     rows = rows.select(*scope, "pool", "requirement", "profile_id", "hit")
     if semantic:
         lists = semantic_pools(profiles if manual_profiles is None else manual_profiles)
