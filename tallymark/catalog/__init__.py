@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("listings", "histories", "texts", "matching", "quality", "reevaluation")
+MODULES = ("listings", "histories", "texts", "matching", "quality", "reevaluation", "fieldcases")
 
 
 def load_all() -> None:

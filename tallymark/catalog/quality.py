@@ -56,29 +56,6 @@ f AS (SELECT case_id, 'job.title' AS path, 'exact' AS status FROM v
   UNION ALL SELECT case_id, 'job.work_arrangement', CASE WHEN n > 2 THEN 'unexpected' WHEN d = CASE n WHEN 0 THEN 'hybrid' WHEN 1 THEN 'remote' ELSE 'onsite' END THEN 'exact' ELSE 'incorrect' END FROM v)"""
 
 
-@query("join_15_field_comparison", COMPARED + " SELECT case_id, path, status, CASE WHEN status = 'exact' THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM f")
-def join_15(spark, sf):
-    return comparisons(spark, sf).select("case_id", "path", "status", "score")
-
-
-@query("agg_12_status_histogram", COMPARED + """ SELECT path, count(*) FILTER (status = 'exact') AS exact, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'missing') AS missing,
-  count(*) FILTER (status = 'unexpected') AS unexpected, count(*) FILTER (status = 'incorrect') AS incorrect FROM f GROUP BY 1""")
-def agg_12(spark, sf):
-    return Q.status_histogram(comparisons(spark, sf), ("path",))
-
-
-@query("agg_13_agreement_sets", COMPARED + """ SELECT case_id, path, CASE WHEN grouping(case_id) = 0 THEN 'case' WHEN grouping(path) = 0 THEN 'field' ELSE 'overall' END AS level,
-  round(100 * avg(CASE WHEN status = 'exact' THEN 1.0 ELSE 0.0 END), 2) AS agreement, round(100 * avg(CASE WHEN path = 'job.title' THEN CASE WHEN status = 'exact' THEN 1.0 ELSE 0.0 END END), 2) AS sensitive_agreement, count(*) AS fields
-  FROM f GROUP BY GROUPING SETS ((case_id), (path), ())""")
-def agg_13(spark, sf):
-    return Q.agreement(comparisons(spark, sf))
-
-
-@query("flt_15_sensitive_fields", COMPARED + " SELECT case_id, status FROM f WHERE path = 'job.title'")
-def flt_15(spark, sf):
-    return comparisons(spark, sf).where(F.col("path").isin(*Q.SENSITIVE_FIELDS)).select("case_id", "status")
-
-
 def line_pairs(spark, sf):
     """Each turn's sentences as expected lines, the same without every third letter pair as found lines."""
     rows = fill_slots(table(spark, sf, "conversations"))
@@ -118,15 +95,6 @@ def resume_rows(spark, sf):
     return extract_documents(resumes(spark, sf))
 
 
-@query("join_19_evidence_coverage", """SELECT doc_id AS case_id, CAST(4 AS BIGINT) AS required, CAST(CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 4 END AS BIGINT) AS covered,
-  CASE WHEN doc_id % 4 = 0 THEN 50.0 ELSE 100.0 END::DOUBLE AS coverage_percent, CASE WHEN doc_id % 4 = 0 THEN 'identity.email,identity.full_name' ELSE '' END AS missing_fields FROM documents""")
-def join_19(spark, sf):
-    wanted = ("identity.full_name", "identity.email", "profile.education", "profile.skills")
-    expected = documents(spark, sf).select(F.col("doc_id").alias("case_id"), F.explode(F.array(*[F.lit(f) for f in wanted])).alias("field"), F.lit("x").alias("value"))
-    found = resume_rows(spark, sf).select(F.col("doc_id").alias("case_id"), F.explode("evidence").alias("e")).select("case_id", "e.*")
-    return Q.evidence_coverage(expected, found)
-
-
 @query("join_20_critical_and_forbidden", f"""{COMPARED}, j AS (SELECT case_id, bool_and(status = 'exact') AS ok FROM f WHERE path <> 'job.title' GROUP BY 1)
 SELECT j.case_id, ok AS passed, CAST(contains(lower(text), 'worthless') AS INTEGER) AS forbidden FROM j JOIN documents ON j.case_id = doc_id""")
 def join_20(spark, sf):
@@ -137,40 +105,6 @@ def join_20(spark, sf):
     return passed.join(hits, "case_id").select("case_id", "passed", F.size("hits").alias("forbidden"))
 
 
-def case_results(spark, sf, shift):
-    k = F.col("doc_id")
-    return documents(spark, sf).select(
-        k.alias("case_id"), F.round((k * 7 + shift) % 100 + 0.25, 2).alias("agreement"), ((k + shift) % 3 * 25.0).alias("coverage"),
-        ((k + shift) % 4).alias("under"), ((k * 3 + shift) % 5).alias("over"), ((k + shift) % 2).alias("critical_passed"), F.lit(1).cast("long").alias("critical_total"),
-        (k % 9 == shift).cast("long").alias("forbidden"), F.lit(4).cast("long").alias("required"), (k % 5).alias("covered"), (k % 10).cast("double").alias("latency_ms"),
-    )
-
-
-def _case_sql(shift):
-    return f"""SELECT doc_id AS case_id, (doc_id * 7 + {shift}) % 100 + 0.25 AS agreement, (doc_id + {shift}) % 3 * 25.0 AS coverage, (doc_id + {shift}) % 4 AS under, (doc_id * 3 + {shift}) % 5 AS over,
-  (doc_id + {shift}) % 2 AS critical_passed, CAST(doc_id % 9 = {shift} AS BIGINT) AS forbidden, doc_id % 5 AS covered, doc_id % 10 AS latency_ms FROM documents"""
-
-
-@query("agg_14_run_totals_and_gate", f"""WITH c AS ({_case_sql(1)}) SELECT count(*) AS cases, round(avg(agreement), 2)::DOUBLE AS agreement, round(100.0 * sum(covered) / (4 * count(*)), 2)::DOUBLE AS evidence_coverage, CAST(sum(under) AS BIGINT) AS under_extraction,
-  CAST(sum(over) AS BIGINT) AS over_extraction, CAST(sum(critical_passed) AS BIGINT) AS critical_passed, count(*) AS critical_total, CAST(sum(forbidden) AS BIGINT) AS forbidden_hits, round(avg(latency_ms), 2)::DOUBLE AS average_latency_ms,
-  concat_ws(',', CASE WHEN sum(forbidden) > 0 THEN 'forbidden_claims' END, CASE WHEN sum(critical_passed) <> count(*) THEN 'critical_claims_missed' END, CASE WHEN round(avg(agreement), 2) < 60 THEN 'agreement_below_minimum' END) AS failures FROM c""")
-def agg_14(spark, sf):
-    """AGG-14 and AGG-15."""
-    gate = Q.quality_gate(Q.run_totals(case_results(spark, sf, 1)), 60.0)
-    return gate.withColumn("failures", F.array_join("failures", ","))
-
-
-@query("join_17_run_comparison", f"""WITH a AS ({_case_sql(1)}), b AS ({_case_sql(2)}), d AS (SELECT a.case_id, round(b.agreement - a.agreement, 2)::DOUBLE AS agreement_delta, (b.coverage - a.coverage)::DOUBLE AS coverage_delta, b.under - a.under AS under_delta, b.over - a.over AS over_delta,
-  b.critical_passed - a.critical_passed AS critical_passed_delta, b.forbidden - a.forbidden AS forbidden_delta FROM a JOIN b USING (case_id)),
-r AS (SELECT *, concat_ws(',', CASE WHEN agreement_delta < 0 THEN 'agreement_decreased' END, CASE WHEN coverage_delta < 0 THEN 'evidence_coverage_decreased' END, CASE WHEN under_delta > 0 THEN 'under_extraction_increased' END,
-  CASE WHEN over_delta > 0 THEN 'over_extraction_increased' END, CASE WHEN critical_passed_delta < 0 THEN 'critical_claims_decreased' END, CASE WHEN forbidden_delta > 0 THEN 'forbidden_claims_increased' END) AS reasons FROM d)
-SELECT *, reasons = '' AND (agreement_delta > 0 OR coverage_delta > 0 OR under_delta < 0 OR over_delta < 0) AS improved FROM r""")
-def join_17(spark, sf):
-    """JOIN-17 and AGG-20."""
-    rows = Q.compare_runs(case_results(spark, sf, 1), case_results(spark, sf, 2))
-    return rows.withColumn("reasons", F.array_join("reasons", ","))
-
-
 @query("join_25_fallback_merge", """SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'primary_success' WHEN doc_id % 5 <> 0 THEN 'fallback_success' ELSE 'all_extractors_failed' END AS status,
   CASE WHEN doc_id % 3 <> 0 THEN 'first' WHEN doc_id % 5 <> 0 THEN 'second' END AS result, CAST(CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE 2 END AS INTEGER) AS attempts,
   CAST(CASE WHEN doc_id % 3 <> 0 THEN 0 WHEN doc_id % 5 <> 0 THEN 2 ELSE 3 END AS INTEGER) AS warnings FROM documents""")

@@ -107,15 +107,6 @@ def fn_09(spark, sf):
     return rows.select("conv_id", "turn", F.round(X.jaccard(F.col("l"), F.col("r")), 6).alias("jaccard"))
 
 
-@query("fn_10_text_similarity")
-def fn_10(spark, sf):
-    """Names of parts against the names of parts of the same brand and size."""
-    part = table(spark, sf, "part").select("p_brand", "p_size", "p_name").distinct()
-    names = part.join(part.withColumnRenamed("p_name", "other"), ["p_brand", "p_size"]).select("p_name", "other").distinct()
-    similarity = S.text_similarity(X.compare_text(F.col("p_name")), X.compare_text(F.col("other")))
-    return names.select("p_name", "other", F.round(similarity, 6).alias("similarity"))
-
-
 @query("fn_11_title_similarity", """WITH n AS (SELECT DISTINCT p_name AS a, p_name || ' for ' || lower(p_type) AS b FROM part UNION SELECT DISTINCT p_name, 'the ' || split_part(p_name, ' ', 2) || ' ' || p_type FROM part),
 t AS (SELECT a, b, lower(a) AS x, lower(b) AS y, list_distinct(regexp_extract_all(lower(a), '[a-z0-9+#.]+')) AS ta,
   list_filter(list_distinct(regexp_extract_all(lower(b), '[a-z0-9+#.]+')), lambda w: NOT list_contains(['for','the'], w)) AS tb FROM n)
