@@ -20,11 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import whole
+from .shared import each_text, whole
 
 END = "</w>"
 #: Stretches and words in a generation of a worker's memory, beside the one before: a bound of space, not of the work.
 STRETCHES, WORDS = 110_000, 160_000
+#: Tested pairs of tokens that are remembered.
+FITS = 250_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -84,7 +86,7 @@ class Bpe:
         The two are taken apart at their border in the reverse order of merging. As long as the tokens then at the
         border exist together, a merge of the two that ranks before what has been taken apart would have come first.
         """
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > FITS:
             self.fits.clear()
         a, b, bound, good = left, right, float("inf"), True
         while True:
@@ -198,9 +200,52 @@ class WordCodec(Bpe):
         return " ".join([self.names[i] for i in ids if i in self.names])
 
 
+class IdCodec(WordCodec):
+    """Ids only: what is remembered is a few bytes a word, within a smaller bound, since other stages share the worker."""
+
+    STRETCHES, WORDS = 60_000, 90_000
+
+    def word(self, word: str) -> bytes:
+        found = self.old_words.get(word)
+        if found is None:
+            found = np.array(self.encode_word(self.spelled(word)), np.int32).tobytes()
+        return self._kept(word, found, "words", self.WORDS)
+
+    def stretch(self, part: str) -> bytes:
+        found = self.old_stretches.get(part)
+        if found is None:
+            pieces, words = [], self.words
+            for at, bit in enumerate(self.cut.split(part) if "<|" in part else (part,)):
+                if at % 2:
+                    pieces.append(np.int32(self.special[bit]).tobytes())
+                else:
+                    for w in PIECES.findall(self.normalized(bit)):
+                        ids = words.get(w)
+                        pieces.append(self.word(w) if ids is None else ids)
+            found = b"".join(pieces)
+        return self._kept(part, found, "stretches", self.STRETCHES)
+
+    def _kept(self, text: str, found: bytes, memory: str, most: int) -> bytes:
+        if len(text) <= 64:
+            held = getattr(self, memory)
+            if len(held) >= most:
+                # The memory is emptied in place: the callers hold on to it.
+                setattr(self, f"old_{memory}", dict(held))
+                held.clear()
+            held[text] = found
+        return found
+
+    def encode(self, text: str) -> np.ndarray:
+        held, parts = self.stretches, [w for w in text.replace("\n", " ").split(" ") if w]
+        found = list(map(held.get, parts))
+        if None in found:
+            found = [self.stretch(p) if f is None else f for f, p in zip(found, parts, strict=True)]
+        return np.frombuffer(b"".join(found), np.int32)
+
+
 @lru_cache(maxsize=2)
-def codec(path: str) -> WordCodec:
-    return WordCodec(path)
+def codec(path: str, kind: type = WordCodec) -> WordCodec:
+    return kind(path)
 
 
 RESULT = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -230,9 +275,9 @@ def token_ids(rows: DataFrame, text: str, out: str, vocabulary: str) -> DataFram
 
     @F.arrow_udf("array<int>")
     def coded(texts: pa.Array) -> pa.Array:
-        bpe = codec(vocabulary)
-        lists = [np.array(bpe.encode(t), np.int32) for t in texts.to_pylist()]
+        bpe = codec(vocabulary, IdCodec)
+        lists = [bpe.encode(t) for t in each_text(texts)]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*lists, np.empty(0, np.int32)]).astype(np.int32)))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*lists, np.empty(0, np.int32)])))
 
     return rows.withColumn(out, coded(whole(text)))

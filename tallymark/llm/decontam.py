@@ -20,11 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, whole, written
+from .shared import each_text, fresh, whole, written
 
 SHINGLE, LEAST = 5, 0.8
 #: Characters of benchmark text that one pass over the documents holds in memory: the bound of what is broadcast.
-PASS_CHARS = 16_000_000
+PASS_CHARS = 4_000_000
 
 WORD = re.compile(r"\w+")
 
@@ -159,7 +159,7 @@ class Index:
         return [(i, *best[i]) for i in sorted(best)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def index(items: tuple[tuple, ...]) -> Index:
     return Index(items)
 
@@ -170,7 +170,7 @@ FOUND_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.flo
 
 def _shingled(texts: pa.Array) -> pa.Array:
     out = []
-    for t in texts.to_pylist():
+    for t in each_text(texts):
         words = words_of(t)
         size, row = item_shingles(words) if words else (0, [])
         name = np.uint64(xxhash.xxh64_intdigest(" ".join(words))).view(np.int64)
@@ -216,7 +216,7 @@ def with_matches(docs: DataFrame, text: str, items: tuple[tuple, ...], column: s
     def found(texts: pa.Array) -> pa.Array:
         look = index(held.value)
         names = ("item_id", "similarity", "first_word", "n_words")
-        return pa.array([[dict(zip(names, m, strict=True)) for m in look.matches(t)] for t in texts.to_pylist()], FOUND_ARROW)
+        return pa.array([[dict(zip(names, m, strict=True)) for m in look.matches(t)] for t in each_text(texts)], FOUND_ARROW)
 
     return docs.withColumn(column, found(whole(text)))
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .shared import whole
 
 # Names of HTML elements, and words that name page furniture in class, id or role.
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "select", "math", "canvas", "head")
+RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "select", "math", "canvas", "title")
 FURNITURE = ("nav", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "header")
 BLOCKS = (
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset",
@@ -33,18 +33,27 @@ MARKS = (
     "sponsor", "sponsored", "subscribe", "widget", "complementary", "header", "masthead",
 )
 
-COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.S)
-RAWS = re.compile(rf"<({'|'.join(RAW)})\b[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z)", re.S | re.I)
-TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s+[^\s"'>=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?|[^>])*?)/?>""")
-NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Class words that say what an element stands beside, not what it is.
+BESIDE = frozenset(("with", "has", "no", "without"))
+#: An element without an end tag ends where one of these begins, or where what holds it ends.
+ENDED_BY = {"p": frozenset(BLOCKS), "li": frozenset(("li",)), "dd": frozenset(("dd", "dt")), "dt": frozenset(("dd", "dt")), "tr": frozenset(("tr",)),
+            "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr"))}
+HOLDERS = frozenset(("ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot"))
+
+# Possessive throughout: no character is read by two alternatives, so that a cut or broken tag costs no second try.
+ATTRIBUTES = r"""(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+#: Comments and elements whose text is never shown, whichever begins first.
+UNSHOWN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^<>]*+>|<({'|'.join(RAW)})\b{ATTRIBUTES}>.*?(?:</\1\s*+>|(?=<body\b)|\Z)", re.S | re.I)
+TAG = re.compile(rf"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({ATTRIBUTES})>")
+NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WINDOW, LEAST_UNMARKED = 3, 80
 
 
 def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """((text, length that counts, inside the marked article) of each block, whether the page marks an article)."""
-    page = RAWS.sub(" ", COMMENT.sub("", page))
+    page = UNSHOWN.sub(lambda m: " " if m[1] else "", page)
     lines, parts, links = [], [], 0
-    hidden, hidden_depth, article, link, marked = None, 0, 0, 0, False
+    hidden, hidden_depth, held, article, link, marked = None, 0, 0, 0, 0, False
 
     def close():
         nonlocal parts, links
@@ -70,6 +79,11 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             parts.append(" ")
         if name in BLOCKS:
             close()
+        if hidden in ENDED_BY:
+            if name in HOLDERS:
+                held += -1 if closing else 1
+            if held <= 0 and (name in ENDED_BY[hidden] and not closing or held < 0 or hidden == "p" and name in BLOCKS and name != "p"):
+                hidden, link = None, 0  # its end tag was left out
         if name in ("article", "main"):
             hidden = None  # an article starts and ends in plain sight, whatever was left open before
             article, marked = max(0, article + (-1 if closing else 1)), True
@@ -81,20 +95,27 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                     hidden = None
                     link = 0
         elif not closing and name not in VOID and _is_furniture(name, m[3], article > 0):
-            hidden, hidden_depth = name, 1
+            hidden, hidden_depth, held = name, 1, 0
             lines.append(("", 0, article > 0))
     close()
     return lines, marked
 
 
 def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is page furniture; a header inside the article is not."""
+    """Whether an element is page furniture by its name or class; inside the article a header or an id is not."""
     if name in FURNITURE:
         return name != "header" or not inside
     if name in ("body", "html") or not attributes:
         return False
-    words = {w for g in NAMED.findall(attributes) for w in re.split(r"[^a-z0-9]+", "".join(g).lower())}
-    return bool(words & (MARK_SET - {"header"} if inside else MARK_SET))
+    marks = MARK_SET - {"header"} if inside else MARK_SET
+    for which, *value in NAMED.findall(attributes):
+        if inside and which.lower() == "id":
+            continue  # the name of a part of the article, for links to it
+        for token in "".join(value).lower().split():
+            words = set(re.split(r"[^a-z0-9]+", token))
+            if words & marks and not words & BESIDE:
+                return True
+    return False
 
 
 MARK_SET = frozenset(MARKS)

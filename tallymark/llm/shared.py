@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,13 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def each_text(texts: pa.Array) -> Iterator[str]:
+    """The texts of a batch one at a time, so that no second copy of the batch is held; then free memory goes back."""
+    for text in texts:
+        yield text.as_py()
+    pa.default_memory_pool().release_unused()
+
+
 def fresh(rows: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that clash with none of the rows' own (case is ignored)."""
     taken = {c.lower() for c in rows.columns}

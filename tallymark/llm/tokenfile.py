@@ -158,7 +158,7 @@ class Encoder:
         if (ids := self.old_words.get(word)) is not None:
             self.words[word] = ids
             return ids
-        if word.isascii() and "\n" not in word:
+        if word.isascii() and word.isprintable():
             spelled = word.replace(" ", self.letters[32])
         else:
             spelled = "".join(map(self.letters.__getitem__, word.encode()))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, whole, written
+from .shared import each_text, fresh, whole, written
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
@@ -120,7 +120,7 @@ def _counts(rows: DataFrame, found, schema: str = "part string, rows long") -> D
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in each_text(batch.column(0)):
                 total.update(found(text))
         yield pa.RecordBatch.from_pydict({"part": list(total), "rows": list(total.values())}, pa.schema([("part", pa.string()), ("rows", pa.int64())]))
 
@@ -132,7 +132,7 @@ def held_out(key: str) -> Column:
 
 
 def _fold_batch(texts: pa.Array) -> pa.Array:
-    return pa.array([fold(t) for t in texts.to_pylist()], pa.string())
+    return pa.array([fold(t) for t in each_text(texts)], pa.string())
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, settings: Settings = Settings()) -> Model:
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, settings: Setti
 
     @F.arrow_udf("array<double>")
     def features(texts: pa.Array) -> pa.Array:
-        return pa.array([list(shipped.features(t)) for t in texts.to_pylist()], pa.list_(pa.float64()))
+        return pa.array([list(shipped.features(t)) for t in each_text(texts)], pa.list_(pa.float64()))
 
     points = np.array([[1.0, *r["x"], r["toxic"] == 1] for r in sample.select("toxic", features("folded").alias("x")).collect()])
     model.coefficients = logistic(points[:, :3], points[:, 3], settings.ridge)
@@ -224,7 +224,7 @@ def with_score(docs: DataFrame, text: str, model: Model, column: str) -> DataFra
 
     @F.arrow_udf("double")
     def scores(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(t) for t in texts.to_pylist()], pa.float64())
+        return pa.array([model.score(t) for t in each_text(texts)], pa.float64())
 
     return docs.withColumn(column, scores(whole(text)))
 

@@ -1,6 +1,7 @@
 """The pipeline's stages against plain Python over the smallest tables, and the queries against their SQL."""
 
 import os
+import re
 import sys
 
 import duckdb
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import corpus_pipeline  # noqa: E402
-from tallymark.llm import catalog, decontam, simhash, toxicity  # noqa: E402
+from tallymark.llm import catalog, decontam, toxicity  # noqa: E402
 
 
 def test_stages(spark, sf):
@@ -23,7 +24,12 @@ def test_stages(spark, sf):
     for key, text in left.items():
         by_text[text] = max(key, by_text.get(text, key))
     left = {k: left[k] for k in sorted(by_text.values())}
-    prints = {k: simhash.fingerprint(t) for k, t in left.items()}
+    sets = {}
+    for key, text in left.items():
+        words = re.split("[ \t-\r]+", text.lower().strip(" \t\n\x0b\x0c\r")) if text.strip(" \t\n\x0b\x0c\r") else []
+        n = min(5, len(words))
+        sets[key] = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0
     component = {}
     for key in left:
         if key not in component:
@@ -31,7 +37,7 @@ def test_stages(spark, sf):
             while todo:
                 a = todo.pop()
                 for b in left:
-                    if b not in component and (prints[a] ^ prints[b]).bit_count() <= 2:
+                    if b not in component and near(a, b):
                         component[b] = key
                         todo.append(b)
     left = {k: t for k, t in left.items() if component[k] == k}

@@ -239,6 +239,38 @@ def test_pages(spark):
     assert got(htmltext.extract(rows.limit(0), "page_id", "url", "html")) == []
 
 
+def test_pages_with_left_out_and_broken_tags():
+    plain = lambda page: htmltext.main_text(page)
+    assert plain("<html><head><title>T</title><meta x><p>Body text here.<p>More.") == "Body text here.\n\nMore."
+    assert plain('<body><script>var a="<!--";</script><article><p>Hello there.</p></article>') == "Hello there."
+    assert plain('<body><article><p class="notice">Ad<p>Real one.</p><div>Two</div></article>') == "Real one.\n\nTwo"
+    assert plain('<article><ul><li class="ad">x<li>Keep<li class="share">y</ul><p>After</p></article>') == "Keep\n\nAfter"
+    assert plain('<article><ul><li class="ad">x<ul><li>in</ul><li>Keep</ul></article>') == "Keep"
+    assert plain('<article><table><tr><td class="ad">x<td>Keep</table>End</article>') == "Keep\n\nEnd"
+    long = ("long text " * 20).strip()
+    assert plain(f'<body><div class="content-with-sidebar"><p>{long}</p></div>') == long
+    assert plain('<article><section id="search"><p>Searching text.</p></section></article>') == "Searching text."
+    attributes = " ".join(f'k{i}="v"' for i in range(40))
+    assert plain(f"<article><p>x</p><a {attributes} ") == "x"
+    for page in ("<a " * 300_000, "<script " * 200_000, '<a x="' * 100_000, "<a x='\" " * 100_000, "<p " + "a=b " * 200_000, "<" * 500_000):
+        plain("<article>Kept</article>" + page)  # ends at once, however broken
+
+
+def test_ids_of_every_byte(spark):
+    library = Tokenizer.from_file(path := public_tokenizers.path("byte_bpe_50k.json"))
+    coder = tokenfile.Encoder(path)
+    texts = [f"a{chr(i)}b {chr(i)} {chr(i)}{chr(i)}word" for i in range(0x300)] + ["".join(map(chr, range(1, 128))), "\x00", "a\x00b\x1b \x7f"]
+    for t in texts:
+        assert coder.encode(t) == tokenfile.ids_as_bytes(library.encode(t, add_special_tokens=False).ids), t
+    words = Tokenizer.from_file(path := public_tokenizers.path("word_bpe_49k.json"))
+    ids = bpe.IdCodec(path)
+    ids.WORDS, ids.STRETCHES = 40, 30
+    draw = random.Random(6)
+    bits = ["a", "B", "é", " ", "\n", "\t", "'s", "1", "<|endoftext|>", "中", "\x00", "!!", "the", "ing", "İ", "\u0301"]
+    for t in [*texts, *("".join(draw.choices(bits, k=draw.randrange(30))) for _ in range(1_500))]:
+        assert ids.encode(t).tolist() == words.encode(t, add_special_tokens=False).ids, t
+
+
 def test_toxicity_on_held_out_rows(spark):
     draw = random.Random(2)
     word = lambda: "".join(draw.choices(["an", "er", "on", "th", "in", "es"], k=draw.randint(1, 4)))
