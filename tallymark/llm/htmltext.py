@@ -44,6 +44,8 @@ HOLDERS = frozenset(("ul", "ol", "menu", "dl", "table", "tbody", "thead", "tfoot
 ATTRIBUTES = r"""(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 #: Comments and elements whose text is never shown, whichever begins first.
 UNSHOWN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^<>]*+>|<({'|'.join(RAW)})\b{ATTRIBUTES}>.*?(?:</\1\s*+>|(?=<body\b)|\Z)", re.S | re.I)
+#: A tag that the page's end has cut off.
+CUT = re.compile(r"<[/a-zA-Z][^<>]*+\Z")
 TAG = re.compile(rf"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({ATTRIBUTES})>")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WINDOW, LEAST_UNMARKED = 3, 80
@@ -51,7 +53,7 @@ WINDOW, LEAST_UNMARKED = 3, 80
 
 def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """((text, length that counts, inside the marked article) of each block, whether the page marks an article)."""
-    page = UNSHOWN.sub(lambda m: " " if m[1] else "", page)
+    page = CUT.sub("", UNSHOWN.sub(lambda m: " " if m[1] else "", page))
     lines, parts, links = [], [], 0
     hidden, hidden_depth, held, article, link, marked = None, 0, 0, 0, 0, False
 
