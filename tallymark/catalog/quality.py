@@ -12,6 +12,7 @@ from ..operators import claims as K
 from ..operators import extractors as E
 from ..operators import listing as L
 from ..operators import quality as Q
+from ..operators.duplicates import with_keys
 from ..operators.spread import fill_slots
 from ..plans.discovery import duplicates_and_relevance
 from ..plans.resume import extract_documents
@@ -251,23 +252,38 @@ def src_08(spark, sf):
     return feeds.search_query(rows).select("c_custkey", F.array_join("target_roles", "|").alias("target_roles"))
 
 
-@query("discover_inbox_rows", """WITH e AS (SELECT *, 'Role ' || user_id AS title FROM events WHERE event_type <> 'error'),
-d AS (SELECT *, lag(event_id) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS a FROM e)
-SELECT event_type AS source_key, CASE WHEN a IS NULL THEN 'new' ELSE 'duplicate' END AS status, CASE WHEN event_type = 'click' THEN 'broad_match' ELSE 'outside' END AS relevance, count(*) AS n FROM d GROUP BY 1, 2, 3""")
+@query("discover_inbox_rows", """WITH e AS (SELECT *, 'https://b.example/' || CASE WHEN event_id % 2 = 0 THEN 'r' || user_id ELSE 'e' || event_id END AS u FROM events WHERE event_type <> 'error'),
+d AS (SELECT *, lag(event_id) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS a, lag(event_id) OVER (PARTITION BY u ORDER BY ts, event_id) AS b FROM e),
+j AS (SELECT d.*, c_custkey IS NOT NULL AND event_id % 2 = 0 AS same_url, c_custkey IS NOT NULL AS same_role FROM d LEFT JOIN customer ON c_custkey = user_id AND c_mktsegment = 'BUILDING')
+SELECT event_type AS source_key, CASE WHEN a IS NOT NULL OR b IS NOT NULL OR same_url THEN 'duplicate' ELSE 'new' END AS status, CASE WHEN event_type = 'click' THEN 'broad_match' ELSE 'outside' END AS relevance,
+  CASE WHEN a IS NOT NULL THEN 'provider_external_id' WHEN b IS NOT NULL THEN 'exact_url' ELSE '' END AS discovery_reason, CASE WHEN same_url THEN 'exact_url' WHEN same_role THEN 'same_role' ELSE '' END AS tracked_reason, count(*) AS n FROM j GROUP BY ALL
+UNION ALL SELECT event_type, 'rejected', 'text_too_short', '', '', count(*) FROM events WHERE event_type = 'error' GROUP BY 1""")
 def discover(spark, sf):
-    """SNK-02: validity, duplicates and relevance in one pass over the arrivals."""
-    rows = table(spark, sf, "events").where("event_type <> 'error'").select(
-        F.col("event_id").alias("opp_id"), F.col("ts").alias("discovered_at"), F.col("event_type").alias("provider"), F.col("user_id").cast("string").alias("external_id"),
-        F.concat(F.lit("https://b.example/"), F.col("event_id").cast("string")).alias("source_url"), F.concat(F.lit("Role "), F.col("user_id").cast("string")).alias("title_hint"),
+    """SNK-02: validity, duplicates of earlier discoveries and of tracked customers, and relevance of all arrivals; errors bring no text."""
+    event, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    broken = F.col("event_type") == "error"
+    rows = table(spark, sf, "events").select(
+        F.col("event_id").alias("opp_id"), F.col("ts").alias("discovered_at"), F.col("event_type").alias("provider"), user.alias("external_id"),
+        F.concat(F.lit("https://b.example/"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("r"), user)).otherwise(F.concat(F.lit("e"), event))).alias("source_url"),
+        F.concat(F.lit("Role "), user).alias("title_hint"), F.lit("Works").alias("company_hint"),
         F.col("event_type").alias("industry_hint"), F.lit("").alias("location_hint"), F.lit("").alias("arrangement_hint"), F.lit("").alias("employment_hint"),
-        F.concat_ws(" ", F.lit("A listing text of a fair length for number"), F.col("event_id").cast("string")).alias("raw_text"),
+        F.when(broken, "").otherwise(F.concat_ws(" ", F.lit("A listing text of a fair length for number"), event)).alias("raw_text"),
     )
     none = F.array().cast("array<string>")
     wanted = rows.select("provider").distinct().select(
         "provider", none.alias("target_roles"), F.array(F.lit("Click")).alias("target_industries"), none.alias("preferred_locations"), F.lit("flexible").alias("preferred_arrangement"), F.lit("").alias("preferred_employment"),
     )
-    kept, _ = duplicates_and_relevance(rows, wanted, ("provider",), ("discovered_at", "opp_id"), F.to_date("discovered_at"))
-    return kept.groupBy(F.col("provider").alias("source_key"), "status", "relevance").agg(F.count("*").alias("n"))
+    number = F.col("c_custkey").cast("string")
+    jobs = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(
+        F.col("c_custkey").alias("job_id"), F.concat(F.lit("Role "), number).alias("title"), F.lit("Works").alias("company"), F.lit("").alias("location"),
+        F.concat(F.lit("https://b.example/r"), number).alias("job_url"), F.lit("").alias("raw_text"),
+    )
+    tracked = with_keys(jobs)
+    history = tracked.select("job_id", "url_key", F.lit(None).cast("string").alias("text_key"))
+    kept, refused = duplicates_and_relevance(rows, wanted, ("provider",), ("discovered_at", "opp_id"), F.to_date("discovered_at"), tracked, history)
+    kept = kept.select("provider", "status", "relevance", F.coalesce("duplicate_reason", F.lit("")).alias("discovery_reason"), F.coalesce("tracked_reason", F.lit("")).alias("tracked_reason"))
+    refused = refused.select("provider", F.lit("rejected").alias("status"), F.col("reject_reason").alias("relevance"), F.lit("").alias("discovery_reason"), F.lit("").alias("tracked_reason"))
+    return kept.unionByName(refused).groupBy(F.col("provider").alias("source_key"), "status", "relevance", "discovery_reason", "tracked_reason").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- streams

@@ -14,7 +14,7 @@ from ..functions.numbers import half_even
 from ..operators import duplicates as D
 from ..operators import grounding as G
 from ..operators.discovery import validity
-from ..operators.spread import fill_slots
+from ..operators.spread import fill_slots, settle
 from ..operators.vocabulary import ENTRY_TERMS, Vocabulary, mentions
 from ..plans.intake import extract_listings
 from ..plans.pages import crawl, interpret_pages
@@ -343,17 +343,33 @@ def library(spark, sf):
     return D.with_keys(documents(spark, sf).join(pages, "doc_id", "left"), url="url", text="text", title="source", company="lang", location="lang")
 
 
-@query("join_09_tracked_duplicates", f"""WITH k AS (SELECT doc_id, lang AS company, source AS title, sha256({FOLD.format(c='text')}) AS text_key, lower(source) || '|' || lower(lang) AS role_key FROM documents WHERE n_chars < 200),
-a AS (SELECT l.doc_id AS candidate_id, r.doc_id AS job_id, 2 AS p FROM k l JOIN k r ON l.text_key = r.text_key AND l.doc_id <> r.doc_id
-  UNION ALL SELECT l.doc_id, r.doc_id, 1 FROM k l JOIN k r ON l.role_key = r.role_key AND l.doc_id <> r.doc_id)
-SELECT candidate_id, job_id, CASE max(p) WHEN 2 THEN 'exact_text' ELSE 'same_role' END AS reason, max(p) = 2 AS blocking FROM a GROUP BY 1, 2""")
+ADDRESS = """SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://([^/?#]*)', 1)) || '://' || lower(regexp_extract(url, '^([a-zA-Z]+)://([^/?#]*)', 2))
+    || CASE WHEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) IN ('', '/') THEN '/' ELSE regexp_replace(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g'), '/+$', '') END
+    || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&'), ''), '') AS u FROM pages"""
+
+
+@query("join_09_tracked_duplicates", f"""WITH RECURSIVE k AS (SELECT doc_id, source, lang, sha256({FOLD.format(c='text')}) AS t, source || '|' || lang AS r, u FROM documents LEFT JOIN ({ADDRESS}) ON page_id = doc_id),
+n AS (SELECT *, CASE WHEN u IS NULL THEN 0 ELSE count(*) OVER a - 1 END AS url_links, count(*) OVER b - 1 AS text_links, count(*) OVER c - 1 AS role_links,
+    CASE WHEN first_value(doc_id) OVER a = doc_id THEN nth_value(doc_id, 2) OVER a ELSE first_value(doc_id) OVER a END AS pu,
+    CASE WHEN first_value(doc_id) OVER b = doc_id THEN nth_value(doc_id, 2) OVER b ELSE first_value(doc_id) OVER b END AS pt,
+    CASE WHEN first_value(doc_id) OVER c = doc_id THEN nth_value(doc_id, 2) OVER c ELSE first_value(doc_id) OVER c END AS pr
+  FROM k WINDOW a AS (PARTITION BY u ORDER BY lang, source, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
+    b AS (PARTITION BY t ORDER BY lang, source, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), c AS (PARTITION BY r ORDER BY lang, source, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+-- Every document has a role, so that documents hang together as the roles do that share a text or an address.
+e AS (SELECT DISTINCT r AS x, min(r) OVER (PARTITION BY t) AS y FROM k UNION SELECT DISTINCT r, min(r) OVER (PARTITION BY u) FROM k WHERE u IS NOT NULL),
+reach(x, y) AS (SELECT x, x FROM e UNION SELECT reach.x, b FROM reach JOIN (SELECT x AS a, y AS b FROM e UNION SELECT y, x FROM e) ON reach.y = a),
+least_of AS (SELECT reach.x AS r, min(doc_id) AS component_id FROM reach JOIN k ON k.r = reach.y GROUP BY 1)
+SELECT doc_id AS candidate_id, url_links, text_links, role_links, CASE WHEN url_links > 0 THEN 'exact_url' WHEN text_links > 0 THEN 'exact_text' WHEN role_links > 0 THEN 'same_role' END AS reason,
+  url_links > 0 OR text_links > 0 AS blocking, CASE WHEN url_links > 0 THEN pu WHEN text_links > 0 THEN pt WHEN role_links > 0 THEN pr END AS first_job_id, component_id FROM n JOIN least_of USING (r)""")
 def join_09(spark, sf):
-    """Short listings, where roles repeat little: the operator lists candidate pairs by design."""
-    rows = D.with_keys(documents(spark, sf).where("n_chars < 200").withColumn("url", F.lit("")), url="url", text="text", title="source", company="lang", location="lang")
+    """Every document against all others by address, text and role: links by key, the strongest reason, the first of its class."""
+    rows = settle(library(spark, sf).select("doc_id", "source", "lang", "url_key", "text_key", "role_key"))
     mine = rows.select(F.col("doc_id").alias("candidate_id"), "url_key", "text_key", "role_key")
     tracked = rows.select(F.col("doc_id").alias("job_id"), F.col("source").alias("title"), F.col("lang").alias("company"), "url_key", "role_key")
     history = rows.select(F.col("doc_id").alias("job_id"), "url_key", "text_key")
-    return D.tracked_duplicates(mine, tracked, history).select("candidate_id", "job_id", "reason", "blocking")
+    found = D.tracked_classes(mine, D.key_classes(tracked, history), same=True)
+    groups = D.linked_groups(mine, "candidate_id", ("url_key", "text_key", "role_key"))
+    return found.join(groups, "candidate_id")
 
 
 @query("join_09_copy_groups", f"""SELECT sha256({FOLD.format(c='text')}) AS text_key, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1""")
@@ -398,6 +414,39 @@ def join_22(spark, sf):
     return rows.select("doc_id", "item_id", F.length(excerpt).alias("excerpt_chars"), digest(excerpt).alias("excerpt"))
 
 
+VERDICTS = f"""WITH d AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l, len(text) AS n FROM documents),
+  w AS (SELECT *, string_split(l[1], ' ') AS f, string_split(l[(len(l) + 1) // 2], ' ') AS m FROM d),
+  q AS (SELECT doc_id, text, CASE n % 4 WHEN 0 THEN l[1] WHEN 1 THEN l[1] || ' indeed' WHEN 2 THEN l[len(l)] ELSE '' END AS excerpt,
+    list_concat([array_to_string(f[2:4], ' '), array_to_string(m[2:4], ' ')], CASE WHEN n % 5 = 0 THEN ['zz not there'] ELSE [] END) AS claims FROM w),
+  c AS (SELECT doc_id, text, excerpt, list_distinct(list_filter(list_transform(claims, lambda x: {COMPACT.format(c='x')}), lambda x: x <> '')) AS cs,
+    {COMPACT.format(c='excerpt')} AS e, {FOLD.format(c='excerpt')} <> '' AND contains({FOLD.format(c='text')}, {FOLD.format(c='excerpt')}) AS verbatim FROM q),
+  s AS (SELECT *, len(list_filter(cs, lambda x: contains(e, x))) > 0 AS supports, trim(excerpt) <> '' AS cited FROM c),
+  o AS (SELECT *, len(cs) > 0 AND NOT (verbatim AND supports) AND (supports OR NOT cited) AS open FROM s),
+  lines AS (SELECT doc_id, cs, unnest(list_transform(string_split(text, chr(10)), lambda x: trim(x))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM o WHERE open),
+  marked AS (SELECT *, sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM lines),
+  blocks AS (SELECT doc_id, block, any_value(cs) AS cs, list(line ORDER BY i) AS ls, list({COMPACT.format(c='line')} ORDER BY i) AS co FROM marked WHERE line <> '' GROUP BY 1, 2),
+  spans AS (SELECT *, unnest(range(a, least(a + 8, len(ls) + 1))) AS b FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS a FROM blocks)),
+  tried AS (SELECT doc_id, block, a, b, array_to_string(ls[a:b], chr(10)) AS body, len(cs) AS total, len(list_filter(cs, lambda x: contains(array_to_string(co[a:b], ''), x))) AS n FROM spans),
+  best AS (SELECT doc_id, body FROM tried WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n = total DESC, n DESC, b - a, len(body), block, a) = 1)
+SELECT doc_id, CASE WHEN len(cs) = 0 THEN 'rejected' WHEN verbatim AND supports THEN 'kept' WHEN open AND body IS NOT NULL THEN 're_anchored' ELSE 'rejected' END AS verdict,
+  CASE WHEN len(cs) = 0 THEN 'no_claims' WHEN verbatim AND supports THEN '' WHEN NOT open THEN 'unsupported' WHEN body IS NULL THEN 'not_anchored' WHEN cited THEN 'not_verbatim' ELSE 'no_support' END AS reason,
+  sha256(CASE WHEN len(cs) > 0 AND verbatim AND supports THEN excerpt WHEN open THEN coalesce(body, '') ELSE '' END) AS anchored FROM o LEFT JOIN best USING (doc_id)"""
+
+
+@query("join_22_excerpt_verdicts", VERDICTS)
+def join_22_verdicts(spark, sf):
+    """Two claims of each document, from its first and its middle line, and an excerpt that holds them, is altered, is another line or missing."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = documents(spark, sf).select("doc_id", "text", F.length("text").alias("n"), lines.alias("l"))
+    at = lambda i: F.get(F.col("l"), i)
+    three = lambda line: F.array_join(F.slice(F.split(line, " "), 2, 3), " ")
+    first, middle, n = at(F.lit(0)), at(F.floor((F.size("l") + 1) / 2).cast("int") - 1), F.col("n")
+    excerpt = F.when(n % 4 == 0, first).when(n % 4 == 1, F.concat(first, F.lit(" indeed"))).when(n % 4 == 2, at(F.size("l") - 1)).otherwise("")
+    claims = F.array_compact(F.array(three(first), three(middle), F.when(n % 5 == 0, "zz not there")))
+    judged = G.judge_excerpts(rows.select("doc_id", "text", excerpt.alias("excerpt"), claims.alias("claims")), "text", "excerpt", "claims")
+    return judged.select("doc_id", "verdict", "reason", digest(F.col("anchored")).alias("anchored"))
+
+
 @query("join_22_cover_excerpts")
 def join_22_cover(spark, sf):
     pairs = G.shared_passages(documents(spark, sf), table(spark, sf, "benchmark"))

@@ -9,6 +9,7 @@ from ..functions.fingerprint import listing_text_sha256, role_sha256
 from ..functions.text import blank
 from ..functions.urls import normalize_url
 from .ordered import previous_by_key
+from .spread import settle
 
 # Strength of a reason, and whether it blocks.
 REASONS = {"exact_url": (3, True), "exact_text": (2, True), "same_role": (1, False)}
@@ -66,6 +67,77 @@ def duplicate_summary(pairs: DataFrame) -> DataFrame:
     )
 
 
+#: The key column of each reason.
+KEYS = {"exact_url": "url_key", "exact_text": "text_key", "same_role": "role_key"}
+
+
+def key_classes(tracked: DataFrame, history: DataFrame) -> DataFrame:
+    """Tracked records by key: one row per (reason, key) with its size and its first two records, never the members.
+
+    tracked: job_id, title, company, url_key, role_key; history: job_id, url_key, text_key of earlier extraction runs. A
+    record counts once in a class. Records are ordered by company, title and id; a hot key is combined before its shuffle.
+    """
+    named = tracked.select("job_id", F.lower("company").alias("company"), F.lower("title").alias("title"))
+    sides = [
+        tracked.select(F.lit("exact_url").alias("reason"), F.col("url_key").alias("key"), "job_id"),
+        history.select(F.lit("exact_url").alias("reason"), F.col("url_key").alias("key"), "job_id"),
+        history.select(F.lit("exact_text").alias("reason"), F.col("text_key").alias("key"), "job_id"),
+        tracked.select(F.lit("same_role").alias("reason"), F.col("role_key").alias("key"), "job_id"),
+    ]
+    rows = sides[0]
+    for side in sides[1:]:
+        rows = rows.unionByName(side)
+    members = rows.where("key IS NOT NULL AND key <> ''").distinct().join(named, "job_id").withColumn("member", F.struct("company", "title", "job_id"))
+    first = settle(members.groupBy("reason", "key").agg(F.count("*").alias("size"), F.min("member").alias("first")))
+    other = members.join(first.where("size > 1").select("reason", "key", "first"), ["reason", "key"]).where(F.col("member") != F.col("first"))
+    second = other.groupBy("reason", "key").agg(F.min("member").alias("second"))
+    return first.join(second, ["reason", "key"], "left")
+
+
+def tracked_classes(candidates: DataFrame, classes: DataFrame, same: bool = False) -> DataFrame:
+    """JOIN-09 and SRT-07 without pairs: per candidate the links by each key, the strongest reason and its first record.
+
+    candidates: candidate_id, url_key, text_key, role_key; `same` says that the candidates are the tracked records
+    themselves, so that none links to itself. One row per candidate: url_links, text_links, role_links, reason and
+    first_job_id (null without a link), blocking.
+    """
+    asked = F.array(*[F.struct(F.lit(r).alias("reason"), F.lit(REASONS[r][0]).alias("priority"), F.col(c).alias("key")) for r, c in KEYS.items()])
+    rows = candidates.select("candidate_id", F.explode(asked).alias("k")).select("candidate_id", "k.*").where("key IS NOT NULL AND key <> ''")
+    hit = rows.join(classes, ["reason", "key"])
+    own = F.col("first.job_id") == F.col("candidate_id") if same else F.lit(False)
+    hit = hit.withColumns({"links": F.col("size") - (1 if same else 0), "pick": F.when(own, F.col("second.job_id")).otherwise(F.col("first.job_id"))}).where("links > 0")
+    links = lambda r: F.coalesce(F.sum(F.when(F.col("reason") == r, F.col("links"))), F.lit(0))
+    best = F.max(F.struct("priority", "reason", "pick"))
+    found = hit.groupBy("candidate_id").agg(*[links(r).alias(c.replace("_key", "_links")) for r, c in KEYS.items()], best.alias("best"))
+    counts = [c.replace("_key", "_links") for c in KEYS.values()]
+    return candidates.select("candidate_id").join(found, "candidate_id", "left").select(
+        "candidate_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.col("best.reason").alias("reason"),
+        F.coalesce(F.col("best.priority") > 1, F.lit(False)).alias("blocking"), F.col("best.pick").alias("first_job_id"),
+    )
+
+
+def linked_groups(rows: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """key, component_id: the least key that can be reached over shared values of any of the columns.
+
+    The least label spreads over the groups of each column and then follows its own label, so that the rounds grow with
+    the logarithm of the longest chain in the usual case. A group is never expanded: its least label is an aggregate,
+    joined back. Every round is written to the shared folder. Null and empty values link nothing; keys are distinct.
+    """
+    values = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in columns])
+    links = settle(rows.select(F.col(key).alias("id"), F.explode(values).alias("v")).select("id", "v.*").where("value IS NOT NULL AND value <> ''"))
+    labels = settle(rows.select(F.col(key).alias("id"), F.col(key).alias("label")))
+    while True:
+        held = links.join(labels, "id")
+        least = held.groupBy("kind", "value").agg(F.min("label").alias("least"))
+        near = links.join(least, ["kind", "value"]).groupBy("id").agg(F.min("least").alias("near"))
+        moved = labels.join(near, "id", "left").select("id", F.col("label").alias("old"), F.coalesce("near", "label").alias("label"))
+        ahead = moved.select(F.col("id").alias("label"), F.col("label").alias("ahead"))
+        found = settle(moved.join(ahead, "label").select("id", "old", F.least("label", "ahead").alias("label")))
+        labels = found.select("id", "label")
+        if found.where("old <> label").isEmpty():
+            return labels.select(F.col("id").alias(key), F.col("label").alias("component_id"))
+
+
 def earlier_discovery(rows: DataFrame, order: tuple[str, ...], bucket: Column) -> DataFrame:
     """JOIN-10: the latest earlier row with the same listing id, else URL, else text.
 
