@@ -291,17 +291,49 @@ def workspace(spark, name):
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def event_stream(spark, sf):
-    return spark.readStream.schema(TABLES["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)
+DELIVERIES = 4
+
+
+def deliveries(rows, at, folder, step):
+    """The rows arrive in DELIVERIES parts by time, each a write of its own; after each `step` runs the stream again where it stopped.
+
+    The stream then goes over as many batches at least, and over restarts from its checkpoint.
+    """
+    low, high = rows.agg(F.min(at), F.max(at)).first()  # two numbers
+    part = F.least(F.floor((at - F.lit(low)) * DELIVERIES / F.lit(max(1, high - low + 1))), F.lit(DELIVERIES - 1))
+    for i in range(DELIVERIES):
+        rows.where(part == i).write.mode("append").parquet(folder)
+        result = step()
+    return result
+
+
+def day_number():
+    return F.unix_date(F.to_date("ts")).cast("long")
+
+
+def delivered_events(spark, sf, folder, sink):
+    """The event table as a stream of several deliveries; `sink(stream)` drains what has arrived."""
+    def step():
+        return sink(spark.readStream.schema(TABLES["events"]).parquet(f"{folder}/in"))
+
+    return deliveries(table(spark, sf, "events"), day_number(), f"{folder}/in", step)
+
+
+def drained(stream, folder, write):
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 @query("str_01_stale_marks", "SELECT user_id AS job_id, event_type AS reason, CAST(epoch_us(min(ts)) AS BIGINT) AS since FROM events GROUP BY 1, 2")
 def str_01(spark, sf):
     folder = workspace(spark, "stale")
-    changes = event_stream(spark, sf).select(F.col("user_id").alias("job_id"), F.col("event_type").alias("reason"), F.col("ts").alias("at"))
-    stream = changes.writeStream.foreachBatch(lambda rows, batch: S.mark_stale_batch(rows, batch, f"{folder}/out"))
-    stream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return S.stale_jobs(spark.read.parquet(f"{folder}/out")).withColumn("since", F.unix_micros("since"))
+
+    def sink(stream):
+        changes = stream.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("reason"), F.col("ts").alias("at"))
+        drained(changes, folder, lambda rows, batch: S.mark_stale_batch(rows, batch, f"{folder}/out"))
+        return S.stale_jobs(spark.read.parquet(f"{folder}/out")).withColumn("since", F.unix_micros("since"))
+
+    return delivered_events(spark, sf, folder, sink)
 
 
 @query("str_02_listing_lifecycle", """WITH s AS (SELECT DISTINCT event_type AS source_key, CAST(user_id AS VARCHAR) AS external_id, CAST(ts AS DATE) AS run_at FROM events),
@@ -310,37 +342,46 @@ life AS (SELECT source_key, external_id, min(run_at) AS first_at, max(run_at) AS
 SELECT life.source_key, external_id, date_diff('day', DATE '1970-01-01', first_at) AS first_at, date_diff('day', DATE '1970-01-01', last_at) AS last_at, coalesce(date_diff('day', DATE '1970-01-01', next_at), -1) AS closed_at
 FROM life JOIN t ON life.source_key = t.source_key AND last_at = t.run_at""")
 def str_02(spark, sf):
-    """The stream must end where the batch reconcile ends."""
+    """Snapshots over several batches, failed fetches among them; the stream must end where the batch reconcile ends."""
     folder = workspace(spark, "life")
     day = F.unix_date("run_at").cast("long").alias("at")
-    done = fetches(spark, sf).select("source_key", day, "status")
-    seen = sightings(spark, sf).select("source_key", "external_id", day).join(done.where("status = 'success'").drop("status"), ["source_key", "at"], "left_semi")
-    S.with_markers(seen, done).write.parquet(f"{folder}/feed")
-    feed_rows = spark.readStream.schema("source_key string, external_id string, at long, kind string").parquet(f"{folder}/feed")
-    return S.latest_states(S.run_available(S.lifecycle_stream(feed_rows), folder, "update"))
+    rows = S.snapshots(sightings(spark, sf).select("source_key", "external_id", day), fetches(spark, sf).select("source_key", day, "status"), buckets=4)
+
+    def step():
+        feed_rows = spark.readStream.schema("source_key string, bucket int, external_id string, at long, kind string").parquet(f"{folder}/feed")
+        return S.latest_states(S.run_available(S.lifecycle_stream(feed_rows), folder, "update"))
 
+    return deliveries(rows, F.col("at"), f"{folder}/feed", step)
 
-@query("str_03_first_seen", "SELECT DISTINCT event_type, user_id FROM events")
+
+@query("str_03_first_seen", "SELECT event_type, user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS first_at FROM events GROUP BY 1, 2")
 def str_03(spark, sf):
-    stream = S.first_seen_stream(event_stream(spark, sf), ["event_type", "user_id"], "ts", "40 days")
-    return S.run_available(stream.select("event_type", "user_id"), workspace(spark, "first"), "append").select("event_type", "user_id")
+    folder, keys = workspace(spark, "first"), ["event_type", "user_id"]
+
+    def sink(stream):
+        drained(stream, folder, lambda rows, batch: S.first_seen_batch(rows, batch, f"{folder}/out", keys, "ts", buckets=8))
+        schema = "event_type string, user_id long, first_at timestamp, bucket int, batch long"
+        return S.first_seen_table(spark, f"{folder}/out", schema).select(*keys, F.unix_micros("first_at").alias("first_at"))
+
+    return delivered_events(spark, sf, folder, sink)
 
 
 @query("str_04_period_counters", """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS period, event_type, count(*) AS n FROM events
 WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""")
 def str_04(spark, sf):
-    stream = S.counters_stream(event_stream(spark, sf), "ts", "1 hour", "1 day", "event_type")
-    rows = S.run_available(stream, workspace(spark, "count"), "append")
-    return rows.select(F.to_date("period").cast("string").alias("period"), "event_type", "n")
+    folder = workspace(spark, "count")
+
+    def sink(stream):
+        return S.run_available(S.counters_stream(stream, "ts", "1 hour", "1 day", "event_type"), folder, "append")
 
+    return delivered_events(spark, sf, folder, sink).select(F.to_date("period").cast("string").alias("period"), "event_type", "n")
 
-@query("snk_01_append_history", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_date, count(*) AS runs FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-03' GROUP BY 1")
+
+@query("snk_01_append_history", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_date, count(*) AS runs FROM events GROUP BY 1")
 def snk_01(spark, sf):
-    """Two runs appended to a history and read back."""
+    """Every day's runs appended to a history, all days in one partitioned write, and read back."""
     folder = workspace(spark, "history")
-    rows = table(spark, sf, "events")
-    for day in ("2024-01-01", "2024-01-02"):
-        sinks.append_history(rows.where(F.to_date("ts") == F.lit(day)), folder, day)
+    sinks.append_history(table(spark, sf, "events").withColumn("run_date", F.to_date("ts").cast("string")), folder)
     return spark.read.parquet(folder).groupBy(F.col("run_date").cast("string").alias("run_date")).agg(F.count("*").alias("runs"))
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def append_history(rows: DataFrame, path: str, run_date: str) -> None:
-    """SNK-01: add the rows of a run to an append-only history, one folder per run date."""
-    rows.withColumn("run_date", F.lit(run_date)).write.mode("append").partitionBy("run_date").parquet(path)
+def append_history(rows: DataFrame, path: str, run_date: str | None = None) -> None:
+    """SNK-01: add the rows of a run, or of several with their own run_date, to an append-only history, one folder per run date."""
+    rows = rows if run_date is None else rows.withColumn("run_date", F.lit(run_date))
+    rows.write.mode("append").partitionBy("run_date").parquet(path)
 
 
 def write_report(rows: DataFrame, path: str) -> None:

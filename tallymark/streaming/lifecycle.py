@@ -7,13 +7,31 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-CLOSE = "close"
+def first_seen_batch(arrivals: DataFrame, batch_id: int, path: str, keys: list[str], at: str, buckets: int) -> None:
+    """STR-03 as a foreachBatch sink: keys not in the table yet are added with their first arrival, and never forgotten.
+
+    The table is partitioned by a hash bucket of the key and the batch. A batch reads the buckets that its keys fall in,
+    without what it has written itself, so that a replayed batch finds and writes the same rows again.
+    """
+    spark = arrivals.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    news = arrivals.groupBy(*keys).agg(F.min(at).alias("first_at")).withColumns({"bucket": bucket, "batch": F.lit(batch_id).cast("long")})
+    held = first_seen_table(spark, path, news.schema)
+    # At most `buckets` numbers, so that the table's other partitions are not read.
+    touched = [r["bucket"] for r in news.select("bucket").distinct().collect()]
+    known = held.where(F.col("bucket").isin(touched) & (F.col("batch") != batch_id)).select(*keys, "bucket")
+    news = news.join(known, [*keys, "bucket"], "left_anti")
+    news.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
 
 
-def first_seen_stream(arrivals: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
-    """STR-03: the first arrival of each key; memory is bounded by the watermark."""
-    return arrivals.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+def first_seen_table(spark, path: str, schema) -> DataFrame:
+    """What `first_seen_batch` has written, or no rows."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def counters_stream(arrivals: DataFrame, at: str, delay: str, period: str, by: str) -> DataFrame:
@@ -27,40 +45,81 @@ def counters_batch(rows: DataFrame, at: str, period: str, by: str) -> DataFrame:
     return counted.select(F.col("window.start").alias("period"), by, "n")
 
 
-def listing_life(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """State of one listing over the fetches of its source: first and last sighting, closing.
+END = "end"
+LIFE = "source_key string, bucket int, external_id string, first_at long, last_at long, closed_at long"
+#: The state of a listing needs a store that keeps maps.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    A fetch that no longer holds a listing reaches it as a close row (see `with_markers`),
-    so absence is an event; a failed fetch sends none.
-    """
-    first, last, closed = state.get if state.exists else (-1, -1, -1)
-    rows = pd.concat(list(batches)).sort_values(["at", "kind"])
-    for at, kind in zip(rows["at"], rows["kind"]):
-        at = int(at)
-        if kind == "seen":
-            first = at if first < 0 else first
-            last, closed = at, -1
-        elif 0 <= last < at and closed < 0:
-            closed = at
-    state.update((first, last, closed))
-    yield pd.DataFrame(
-        {"source_key": [key[0]], "external_id": [key[1]], "first_at": [first], "last_at": [last], "closed_at": [closed]}
-    )
 
+class ListingLives(StatefulProcessor):
+    """State of a source's listings in one bucket: first and last sighting and closing of each; -1 stands for none.
 
-LIFE = "source_key string, external_id string, first_at long, last_at long, closed_at long"
+    An end row says that a fetch of the source is complete: listings last seen before it are closed. A failed fetch has no
+    end row and closes nothing. Only listings that change are given out.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.lives = handle.getMapState("lives", "external_id string", "first_at long, last_at long, closed_at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        seen: dict[int, set] = {}
+        ends = set()
+        for batch in rows:  # what is held is this bucket's part of one micro-batch
+            for at, kind, name in zip(batch["at"], batch["kind"], batch["external_id"]):
+                if kind == END:
+                    ends.add(int(at))
+                else:
+                    seen.setdefault(int(at), set()).add(name)
+        changed = {}
+        for at in sorted(ends | seen.keys()):
+            for name in seen.get(at, ()):
+                first, last, _ = self.lives.getValue((name,)) if self.lives.containsKey((name,)) else (at, at, -1)
+                self._put(changed, name, (min(first, at), max(last, at), -1))
+            if at in ends:
+                late = [(k[0], v) for k, v in self.lives.iterator() if v[1] < at and v[2] < 0]
+                for name, (first, last, _) in late:
+                    self._put(changed, name, (first, last, at))
+        values = list(changed.items())
+        yield pd.DataFrame(
+            {
+                "source_key": [key[0]] * len(values), "bucket": [key[1]] * len(values), "external_id": [n for n, _ in values],
+                **{c: [v[i] for _, v in values] for i, c in enumerate(("first_at", "last_at", "closed_at"))},
+            }
+        ).astype({"bucket": "int32"})
+
+    def _put(self, changed: dict, name: str, life: tuple) -> None:
+        self.lives.updateValue((name,), life)
+        changed[name] = life
+
+    def close(self) -> None:
+        pass
 
 
 def lifecycle_stream(events: DataFrame) -> DataFrame:
-    """STR-02: updates of listing state; -1 stands for none.
+    """STR-02: one row per change of a listing's state. events: as `snapshots` gives them.
 
-    events: source_key, external_id, at (long), kind seen|close
+    State is kept by source and bucket, so that a source with most of the listings is many keys.
     """
-    return events.groupBy("source_key", "external_id").applyInPandasWithState(
-        listing_life, LIFE, "first_at long, last_at long, closed_at long", "update", "NoTimeout"
+    events.sparkSession.conf.set(*STATE_STORE)
+    return events.groupBy("source_key", "bucket").transformWithStateInPandas(
+        statefulProcessor=ListingLives(), outputStructType=LIFE, outputMode="Update", timeMode="None"
     )
 
 
+def snapshots(sightings: DataFrame, fetches: DataFrame, buckets: int) -> DataFrame:
+    """Complete fetches as rows: source_key, bucket, external_id, at, kind (seen, or end once for each bucket).
+
+    sightings: source_key, external_id, at; fetches: source_key, at, status. What a failed fetch has seen is left out.
+    """
+    done = fetches.where("status = 'success'").select("source_key", "at").distinct()
+    seen = sightings.select("source_key", "external_id", "at").distinct().join(done, ["source_key", "at"], "left_semi")
+    bucket = F.pmod(F.xxhash64("external_id"), F.lit(buckets)).cast("int")
+    columns = ("source_key", "bucket", "external_id", "at", "kind")
+    ends = done.select("source_key", "at", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
+    ends = ends.withColumns({"external_id": F.lit(None).cast("string"), "kind": F.lit(END)})
+    return seen.withColumns({"bucket": bucket, "kind": F.lit("seen")}).select(*columns).unionByName(ends.select(*columns))
+
+
 def latest_states(updates: DataFrame) -> DataFrame:
     """The last update of each listing, over the batches a sink has written."""
     row = F.struct("first_at", "last_at", "closed_at")
@@ -69,25 +128,6 @@ def latest_states(updates: DataFrame) -> DataFrame:
     )
 
 
-def with_markers(sightings: DataFrame, fetches: DataFrame) -> DataFrame:
-    """Turn absence into rows: a close row at the fetch that follows each sighting of a listing.
-
-    sightings: source_key, external_id, at; fetches: source_key, at, status. Only the next
-    successful fetch can close a listing, so each sighting brings at most one marker.
-    """
-    from pyspark.sql import Window as W
-
-    done = fetches.where("status = 'success'").select("source_key", "at").distinct()
-    following = done.withColumn("next_at", F.lead("at").over(W.partitionBy("source_key").orderBy("at")))
-    seen = sightings.select("source_key", "external_id", "at").distinct()
-    closes = (
-        seen.join(following, ["source_key", "at"]).where(F.col("next_at").isNotNull())
-        .select("source_key", "external_id", F.col("next_at").alias("at"))
-        .join(seen, ["source_key", "external_id", "at"], "left_anti")
-    )
-    return seen.withColumn("kind", F.lit("seen")).unionByName(closes.withColumn("kind", F.lit(CLOSE)))
-
-
 def mark_stale_batch(changes: DataFrame, batch_id: int, path: str) -> None:
     """STR-01 as a foreachBatch sink: reasons per job, written under the batch id.
 
