@@ -419,11 +419,11 @@ def join_11(spark, sf):
     return D.relevance(opportunities, wanted, ("searcher",)).select("opp_id", "relevance")
 
 
-@query("flt_11_gap_eligibility", """SELECT l_orderkey, l_linenumber, l_partkey, kind FROM (SELECT *, (['role','required_skill','experience','industry','location','preferred_skill'])[l_linenumber % 6 + 1] AS kind FROM lineitem WHERE l_quantity < 20)
+@query("flt_11_gap_eligibility", """SELECT l_orderkey, l_linenumber, l_partkey, kind FROM (SELECT *, (['role','required_skill','experience','industry','location','preferred_skill'])[l_linenumber % 6 + 1] AS kind FROM lineitem)
 WHERE kind IN ('role','required_skill','preferred_skill','required_education','preferred_education','industry')""")
 def flt_11(spark, sf):
     label = pick(("Role: x", "Need", "Experience: 3 years", "Industry: x", "Location: x", "Nice"), F.col("l_linenumber"))
-    rows = table(spark, sf, "lineitem").where("l_quantity < 20").withColumn("requirement", label)
+    rows = table(spark, sf, "lineitem").withColumn("requirement", label)
     kind = gap_kind(F.col("requirement"), F.array(F.lit("Need")), F.array(F.lit("Nice")))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", kind.alias("kind")).where(F.col("kind").isin(*ELIGIBLE))
 

@@ -210,17 +210,23 @@ def src_02(spark, sf):
 
 
 def feed(spark, sf):
-    """One payload per day and event type, as a board would send it."""
+    """Payloads as boards would send them: one page an hour and event type. Some listings have no title, some pages are cut short."""
     rows = table(spark, sf, "events")
+    title = F.when(F.col("user_id") % 50 == 7, "").otherwise(F.concat(F.lit("Role "), F.col("user_id").cast("string")))
     listing = F.struct(
-        F.col("user_id").cast("string").alias("id"), F.concat(F.lit("Role "), F.col("user_id").cast("string")).alias("title"),
+        F.col("user_id").cast("string").alias("id"), title.alias("title"),
         F.concat(F.lit("https://b.example/"), F.col("event_id").cast("string")).alias("absolute_url"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("updated_at"),
         F.lit("<p>About <b>us</b></p><ul><li>one<li>two</ul>").alias("content"), F.struct(F.lit("Boston").alias("name")).alias("location"),
         F.array(F.struct(F.col("event_type").alias("name"))).alias("departments"), F.array().cast("array<struct<name:string>>").alias("offices"),
     )
-    # A payload holds one source's listings of one day.
-    days = rows.groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("source_key")).agg(F.collect_list(listing).alias("jobs"), F.min("ts").alias("ts"))
-    return days.select(F.datediff("day", F.lit("2024-01-01").cast("date")).alias("run_id"), "source_key", F.lit("success").alias("status"), F.to_json(F.struct("jobs")).alias("payload"), "ts")
+    # A page holds one source's listings of one hour.
+    pages = rows.groupBy(F.to_date("ts").alias("day"), F.hour("ts").alias("page"), F.col("event_type").alias("source_key")).agg(F.collect_list(listing).alias("jobs"), F.min("ts").alias("ts"))
+    payload = F.to_json(F.struct("jobs"))
+    cut = (F.col("source_key") == "view") & (F.col("page") == 23)
+    return pages.select(
+        F.datediff("day", F.lit("2024-01-01").cast("date")).alias("run_id"), "source_key", F.lit("success").alias("status"),
+        F.when(cut, F.substring(payload, F.lit(1), F.length(payload) - 3)).otherwise(payload).alias("payload"), "ts",
+    )
 
 
 def boards(spark, sf):
@@ -228,16 +234,19 @@ def boards(spark, sf):
     config = names.select(
         F.ascii("key").alias("position"), "key", F.upper("key").alias("label"), F.concat(F.lit("t-"), "key").alias("token"), F.lit("Web").alias("industry"), (F.col("key") != "error").alias("enabled"),
     )
-    return feeds.approved_boards(config, 5)
+    return feeds.approved_boards(config)
 
 
-@query("src_04_feed_flatten", """WITH e AS (SELECT *, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS run_id FROM events WHERE event_type <> 'error'),
-r AS (SELECT *, row_number() OVER (PARTITION BY run_id, event_type ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%S') DESC, event_type || ':' || user_id DESC, event_id) AS rn FROM e)
-SELECT run_id, event_type AS source_key, count(*) AS listings, min(sha256('Role ' || user_id || chr(10) || upper(event_type) || chr(10) || 'Boston' || chr(10) || 'Departments: ' || event_type || chr(10) || chr(10) || 'About us' || chr(10) || chr(10) || '- one' || chr(10) || '- two')) AS text_hash
-FROM r WHERE rn <= 50 GROUP BY 1, 2""")
+@query("src_04_feed_flatten", """WITH e AS (SELECT *, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS run_id, hour(ts) AS page, CASE WHEN event_type = 'error' THEN 'board_not_approved' WHEN event_type = 'view' AND hour(ts) = 23 THEN 'not_json' END AS whole FROM events),
+r AS (SELECT run_id, event_type, whole AS reason, count(DISTINCT page) AS n FROM e WHERE whole IS NOT NULL GROUP BY ALL UNION ALL SELECT run_id, event_type, 'incomplete', count(*) FROM e WHERE whole IS NULL AND user_id % 50 = 7 GROUP BY ALL)
+SELECT run_id, event_type AS source_key, 'listed' AS outcome, count(*) AS n, min(sha256('Role ' || user_id || chr(10) || upper(event_type) || chr(10) || 'Boston' || chr(10) || 'Departments: ' || event_type || chr(10) || chr(10) || 'About us' || chr(10) || chr(10) || '- one' || chr(10) || '- two')) AS text_hash
+FROM e WHERE whole IS NULL AND user_id % 50 <> 7 GROUP BY 1, 2 UNION ALL SELECT run_id, event_type, reason, n, '' FROM r""")
 def src_04(spark, sf):
-    rows, _ = feeds.flatten_feed(feed(spark, sf), boards(spark, sf), 50)
-    return rows.groupBy(F.col("run_id").cast("long").alias("run_id"), "source_key").agg(F.count("*").alias("listings"), F.min(F.sha2("raw_text", 256)).alias("text_hash"))
+    """All listings of all pages, and every page and listing that is refused with its reason."""
+    rows, _, refused = feeds.flatten_feed(feed(spark, sf), boards(spark, sf))
+    run = F.col("run_id").cast("long").alias("run_id")
+    listed = rows.groupBy(run, "source_key").agg(F.lit("listed").alias("outcome"), F.count("*").alias("n"), F.min(F.sha2("raw_text", 256)).alias("text_hash"))
+    return listed.unionByName(refused.groupBy(run, "source_key", F.col("reason").alias("outcome")).agg(F.count("*").alias("n"), F.lit("").alias("text_hash")))
 
 
 @query("src_06_approved_boards", "SELECT DISTINCT event_type AS key, 't-' || event_type AS token FROM events WHERE event_type <> 'error'")
