@@ -17,7 +17,7 @@ from ..operators.spread import fill_slots
 from ..plans.discovery import duplicates_and_relevance
 from ..plans.resume import extract_documents
 from ..session import checkpoint_dir
-from ..sources import feeds, sinks
+from ..sources import cases, feeds, sinks
 from ..sources.tables import TABLES, table
 from ..streaming import lifecycle as S
 from .histories import claims, fetches, sightings
@@ -254,6 +254,41 @@ def src_06(spark, sf):
     return boards(spark, sf).select("key", "token")
 
 
+def case_folders(spark, sf):
+    """The benchmark's items as case folders: the text in one file, its record in another."""
+    folder = workspace(spark, "cases")
+    rows = table(spark, sf, "benchmark").select(F.concat(F.lit("case-"), F.col("item_id").cast("string")).alias("case_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("folder", F.col("case_id"))
+    rows.select("folder", "text").write.partitionBy("folder").text(folder)
+    rows.select("folder", "case_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("title")).write.mode("append").partitionBy("folder").json(folder)
+    return folder
+
+
+def read_cases(spark, folder):
+    return cases.case_folder(spark, folder, "case_id string, title string", "*.txt", "*.json")
+
+
+@query("src_03_case_folders", "SELECT 'case-' || item_id AS case_id, split_part(text, ' ', 1) AS title, sha256(trim(text)) AS text_sha256 FROM benchmark")
+def src_03(spark, sf):
+    return read_cases(spark, case_folders(spark, sf)).select("case_id", "title", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("flt_14_selected_cases", "SELECT 'case-' || item_id AS case_id, split_part(text, ' ', 1) AS title FROM benchmark WHERE len(text) > (SELECT avg(len(text)) FROM benchmark)")
+def flt_14(spark, sf):
+    """The cases with texts above the mean, asked for by a table of ids."""
+    found = read_cases(spark, case_folders(spark, sf))
+    mean = table(spark, sf, "benchmark").agg(F.avg(F.length("text")).alias("mean"))
+    asked = table(spark, sf, "benchmark").join(F.broadcast(mean), F.length("text") > F.col("mean"))  # one row
+    asked = asked.select(F.concat(F.lit("case-"), F.col("item_id").cast("string")).alias("case_id"))
+    return cases.select_cases(found, asked).select("case_id", "title")
+
+
+@query("src_07_text_files", "SELECT 'case-' || item_id AS case_id, sha256(trim(array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), chr(10)))) AS text_sha256, CAST(0 AS INTEGER) AS warnings FROM benchmark")
+def src_07(spark, sf):
+    rows = cases.text_documents(spark, case_folders(spark, sf))
+    return rows.select(F.col("folder").alias("case_id"), F.sha2("text", 256).alias("text_sha256"), F.size("warnings").alias("warnings"))
+
+
 @query("src_08_search_query", "SELECT c_custkey, c_name || '|' || c_mktsegment AS target_roles FROM customer")
 def src_08(spark, sf):
     lines = F.concat_ws("\n", F.lit(""), F.concat(F.lit("  "), "c_name"), F.lit(" "), "c_mktsegment")
