@@ -17,11 +17,12 @@ from ..operators.spread import fill_slots
 from ..plans.discovery import duplicates_and_relevance
 from ..plans.resume import extract_documents
 from ..session import checkpoint_dir
-from ..sources import cases, feeds, sinks
+from ..sources import cases, feeds, providers, sinks
 from ..sources.tables import TABLES, table
 from ..streaming import lifecycle as S
 from .histories import claims, fetches, sightings
 from .registry import query
+from .views import postings
 from .texts import ADVERTS, CHAIN, FOLD, adverts, documents, resumes
 
 KINDS = {"job.title": "text", "job.employment_type": "typed", "job.work_arrangement": "typed"}
@@ -135,6 +136,36 @@ def udf_01(spark, sf):
     return rows.select("doc_id", "result.words", F.coalesce("error_category", F.lit("")).alias("error_category"))
 
 
+def _events_provider(search):
+    """Opportunities of the events of the asked sources; those of errors bring neither id nor text."""
+    spark, sf = search.sparkSession, search.first()["folder"]
+    asked = search.select(F.explode("sources").alias("event_type")).distinct()
+    broken, event = F.col("event_type") == "error", F.col("event_id").cast("string")
+    return table(spark, sf, "events").join(asked, "event_type").select(
+        F.when(broken, "").otherwise(event).alias("external_id"), F.when(F.col("value") > 90, "no address").when(broken, "").otherwise(F.concat(F.lit(" https://b.example/"), event)).alias("source_url"),
+        F.concat(F.lit("Role "), F.col("user_id").cast("string")).alias("title_hint"), F.concat_ws(" ", F.lit("A listing text of a fair length for number"), event).alias("raw_text"),
+    )
+
+
+@query("udf_02_registered_provider", """SELECT 'events' AS provider, 'v1' AS provider_version, coalesce(reason, '') AS reject_reason, count(*) AS n, count(DISTINCT title) AS titles FROM (
+  SELECT CASE WHEN value > 90 THEN 'invalid_url' WHEN event_type = 'error' THEN 'no_identifier' END AS reason, 'Role ' || user_id AS title FROM events WHERE event_type IN ('view', 'click', 'error')) GROUP BY 3""")
+def udf_02(spark, sf):
+    """UDF-02: a provider run by its key; rows that break the contract keep their place with a reason."""
+    providers.register_provider("events", "Events", "v1", _events_provider)
+    search = spark.createDataFrame([(sf, ["view", "click", "error"])], "folder string, sources array<string>")
+    rows = providers.discover_with("events", search)
+    return rows.groupBy("provider", "provider_version", F.coalesce("reject_reason", F.lit("")).alias("reject_reason")).agg(F.count("*").alias("n"), F.count_distinct("title_hint").alias("titles"))
+
+
+@query("udf_03_registered_verifier", """SELECT o_orderkey AS job_id, CASE WHEN o_totalprice <= 1000 THEN 'input' ELSE '' END AS error_category, CASE WHEN o_totalprice <= 1000 THEN 'failed' ELSE 'needs_review' END AS status,
+  CASE WHEN o_totalprice <= 1000 THEN 'unknown' ELSE 'low' END AS confidence, CASE WHEN o_totalprice <= 1000 THEN '' ELSE 'https://jobs.example.com/' || o_orderkey END AS final_url, 'unverified' AS detected_listing_status FROM orders JOIN customer ON o_custkey = c_custkey""")
+def udf_03(spark, sf):
+    """UDF-03: a verifier run by its version over all postings."""
+    providers.register_verifier("url-readiness-1", providers.url_readiness)
+    rows = providers.verify_with("url-readiness-1", postings(spark, sf).select("job_id", "job_url", "title", "company"))
+    return rows.select("job_id", F.coalesce("error_category", F.lit("")).alias("error_category"), "status", "confidence", "final_url", "detected_listing_status")
+
+
 @query("prj_10_default_merge", """SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS INTEGER), 0) AS k, 'unknown' AS status FROM events""")
 def prj_10(spark, sf):
     rows = table(spark, sf, "events").withColumn("p", F.from_json("props", "k int, status string"))
