@@ -267,42 +267,41 @@ def flt_09(spark, sf):
     )
 
 
-# ---------------------------------------------------------------- sorts, top-k reports of 25 rows
+# ---------------------------------------------------------------- sorts: every row with its rank
 @query("srt_01_match_high", f"""WITH {POSTINGS}, {PREDICTIONS}
-SELECT job_id, score, coverage, classification FROM shown WHERE NOT blind
-ORDER BY classification <> 'DISQUALIFIED' DESC, has_requirements DESC, score DESC, coverage DESC, created_at DESC, job_id""")
+SELECT job_id, score, coverage, classification,
+  row_number() OVER (ORDER BY classification <> 'DISQUALIFIED' DESC, has_requirements DESC, score DESC, coverage DESC, created_at DESC, job_id) AS rank FROM shown WHERE NOT blind""")
 def srt_01(spark, sf):
     rows = shown(spark, sf).where(~F.col("blind"))
-    return L.sort_rows(rows, "match_high", False).select("job_id", "score", "coverage", "classification")
+    return L.ranked_rows(rows, "match_high", False).select("job_id", "score", "coverage", "classification", "rank")
 
 
 @query("srt_02_match_low", f"""WITH {POSTINGS}, {PREDICTIONS}
-SELECT job_id, score, company FROM shown ORDER BY blind, NOT has_requirements, score, lower(company), job_id""")
+SELECT job_id, score, company, row_number() OVER (ORDER BY blind, NOT has_requirements, score, lower(company), job_id) AS rank FROM shown""")
 def srt_02(spark, sf):
-    return L.sort_rows(shown(spark, sf), "match_low", False).select("job_id", "score", "company")
+    return L.ranked_rows(shown(spark, sf), "match_low", False).select("job_id", "score", "company", "rank")
 
 
 @query("srt_03_nearest_deadline", f"""WITH {POSTINGS}
-SELECT job_id, company, CAST(application_deadline AS VARCHAR) AS application_deadline FROM postings
-ORDER BY postings.application_deadline ASC NULLS LAST, lower(company), job_id""")
+SELECT job_id, company, CAST(application_deadline AS VARCHAR) AS application_deadline, row_number() OVER (ORDER BY postings.application_deadline ASC NULLS LAST, lower(company), job_id) AS rank FROM postings""")
 def srt_03(spark, sf):
-    rows = L.sort_rows(postings(spark, sf), "deadline")
-    return rows.select("job_id", "company", F.col("application_deadline").cast("string").alias("application_deadline"))
+    rows = L.ranked_rows(postings(spark, sf), "deadline")
+    return rows.select("job_id", "company", F.col("application_deadline").cast("string").alias("application_deadline"), "rank")
 
 
-@query("srt_04_company", f"WITH {POSTINGS} SELECT job_id, company, title FROM postings ORDER BY lower(company), lower(title), job_id")
+@query("srt_04_company", f"WITH {POSTINGS} SELECT job_id, company, title, row_number() OVER (ORDER BY lower(company), lower(title), job_id) AS rank FROM postings")
 def srt_04(spark, sf):
-    return L.sort_rows(postings(spark, sf), "company").select("job_id", "company", "title")
+    return L.ranked_rows(postings(spark, sf), "company").select("job_id", "company", "title", "rank")
 
 
 @query("srt_05_newest_with_blind_reset", f"""WITH {POSTINGS}, {PREDICTIONS}
-SELECT 'newest' AS sorted_by, job_id FROM (SELECT job_id FROM shown ORDER BY created_at DESC, job_id)
-UNION ALL SELECT 'reset', job_id FROM (SELECT job_id FROM shown ORDER BY lower(company), lower(title), job_id)""")
+SELECT 'newest' AS sorted_by, job_id, row_number() OVER (ORDER BY created_at DESC, job_id) AS rank FROM shown
+UNION ALL SELECT 'reset', job_id, row_number() OVER (ORDER BY lower(company), lower(title), job_id) FROM shown""")
 def srt_05(spark, sf):
     rows = shown(spark, sf)
-    newest = L.sort_rows(rows, "newest").select(F.lit("newest").alias("sorted_by"), "job_id")
+    newest = L.ranked_rows(rows, "newest").select(F.lit("newest").alias("sorted_by"), "job_id", "rank")
     # Blind rows are present, so the score order falls back to company order.
-    reset = L.sort_rows(rows, "match_high").select(F.lit("reset").alias("sorted_by"), "job_id")
+    reset = L.ranked_rows(rows, "match_high").select(F.lit("reset").alias("sorted_by"), "job_id", "rank")
     return newest.unionByName(reset)
 
 
@@ -377,10 +376,10 @@ def flt_08(spark, sf):
     return result
 
 
-@query("srt_06_report_order", f"""WITH {CAL} SELECT job_id, company, change_status FROM cal3
-ORDER BY NOT needs_attention, change_status <> 'REGRESSED', lower(company), lower(title), job_id""")
+@query("srt_06_report_order", f"""WITH {CAL} SELECT job_id, company, change_status,
+  row_number() OVER (ORDER BY NOT needs_attention, change_status <> 'REGRESSED', lower(company), lower(title), job_id) AS rank FROM cal3""")
 def srt_06(spark, sf):
-    return C.report_order(calibrated(spark, sf)).select("job_id", "company", "change_status")
+    return C.report_order(calibrated(spark, sf)).select("job_id", "company", "change_status", "rank")
 
 
 @query("agg_06_calibration_summary", f"""WITH {CAL}, s AS (

@@ -137,10 +137,11 @@ def matched(spark, sf, layers=4):
 
 @query("mat_ranked_dashboard")
 def ranked(spark, sf):
-    """All postings of all orders scored by all four layers, best 100 pairs first (SRT-01)."""
+    """All postings of all orders scored by all four layers, every pair with its rank (SRT-01)."""
     rows = matched(spark, sf).join(jobs(spark, sf)[0].select("job_id", "created_at"), "job_id")
-    rows = L.sort_rows(rows.withColumn("blind", F.lit(False)), "match_high", False)
-    return rows.limit(100).select("job_id", "profile_id", "score", "coverage", "classification", "track")
+    rows = rows.select("job_id", "profile_id", "score", "coverage", "classification", "track", "has_requirements", "created_at", F.lit(False).alias("blind"))
+    ranked_pairs = L.ranked_rows(rows, "match_high", False)
+    return ranked_pairs.select("rank", "job_id", "profile_id", "score", "coverage", "classification", "track")
 
 
 def _summary(rows):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_even, percent
 from .listing import PREDICTED_RATING, agreement_status, choose
+from .ordered import global_rank
 from .scoring import MODELS, classify
 
 RATING_ORDER = {"not_eligible": 0, "weak": 1, "possible": 2, "good": 3, "strong": 4}
@@ -57,10 +58,9 @@ def report_filter(rows: DataFrame, name: str) -> DataFrame:
 
 
 def report_order(rows: DataFrame) -> DataFrame:
-    """SRT-06."""
-    return rows.orderBy(
-        ~F.col("needs_attention"), F.col("change_status") != "REGRESSED", F.lower("company"), F.lower("title"), "job_id"
-    )
+    """SRT-06: all rows with their rank in the report, by ranges of it."""
+    order = [~F.col("needs_attention"), F.col("change_status") != "REGRESSED", F.lower("company"), F.lower("title"), F.col("job_id")]
+    return global_rank(rows, [F.asc(c) for c in order], "rank")
 
 
 def calibration_summary(rows: DataFrame) -> DataFrame:

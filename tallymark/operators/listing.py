@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank
+from .ordered import global_rank
 
 VERIFICATION_MAX_AGE_DAYS = 7
 DUE_SOON_DAYS = 7
@@ -304,20 +305,30 @@ def mask_blind(scored: DataFrame, labels: DataFrame, holdout: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- sorts
-def sort_rows(rows: DataFrame, order: str, reset_for_blind: bool = True) -> DataFrame:
+def sort_order(rows: DataFrame, order: str, reset_for_blind: bool = True) -> list[Column]:
     """SRT-01..05. Score orders fall back to company order while blind rows are present."""
-    ids = [c for c in ("job_id", "profile_id") if c in rows.columns]
+    ids = [F.asc(c) for c in ("job_id", "profile_id") if c in rows.columns]
     if order in ("match_high", "match_low") and reset_for_blind and not rows.where("blind").isEmpty():
         order = "company"
-    if order == "match_high":
-        return rows.orderBy(
+    by = {
+        "match_high": [
             F.desc(~F.col("blind")), F.desc(F.col("classification") != "DISQUALIFIED"), F.desc("has_requirements"),
-            F.desc("score"), F.desc("coverage"), F.desc("created_at"), *ids,
-        )
-    if order == "match_low":
-        return rows.orderBy("blind", ~F.col("has_requirements"), "score", F.lower("company"), *ids)
-    if order == "deadline":
-        return rows.orderBy(F.asc_nulls_last("application_deadline"), F.lower("company"), *ids)
-    if order == "company":
-        return rows.orderBy(F.lower("company"), F.lower("title"), *ids)
-    return rows.orderBy(F.desc("created_at"), *ids)
+            F.desc("score"), F.desc("coverage"), F.desc("created_at"),
+        ],
+        "match_low": [F.asc("blind"), F.asc(~F.col("has_requirements")), F.asc("score"), F.asc(F.lower("company"))],
+        "deadline": [F.asc_nulls_last("application_deadline"), F.asc(F.lower("company"))],
+        "company": [F.asc(F.lower("company")), F.asc(F.lower("title"))],
+        "newest": [F.desc("created_at")],
+    }
+    # Built only where asked for: the rows of one order need not have the columns of another.
+    return [*by[order], *ids]
+
+
+def sort_rows(rows: DataFrame, order: str, reset_for_blind: bool = True) -> DataFrame:
+    """The rows in their order, for a screen of them; see `ranked_rows` for all."""
+    return rows.orderBy(*sort_order(rows, order, reset_for_blind))
+
+
+def ranked_rows(rows: DataFrame, order: str, reset_for_blind: bool = True) -> DataFrame:
+    """All rows with their place in the order, by ranges of it, so that no task sorts or counts them all."""
+    return global_rank(rows, sort_order(rows, order, reset_for_blind), "rank")
