@@ -203,7 +203,7 @@ class WordCodec(Bpe):
 class IdCodec(WordCodec):
     """Ids only: what is remembered is a few bytes a word, within a smaller bound, since other stages share the worker."""
 
-    STRETCHES, WORDS = 60_000, 90_000
+    STRETCHES, WORDS = 30_000, 50_000
 
     def word(self, word: str) -> bytes:
         found = self.old_words.get(word)
