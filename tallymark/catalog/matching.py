@@ -407,13 +407,13 @@ def join_11(spark, sf):
         .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     )
     opportunities = rows.select(
-        F.col("o_orderkey").alias("opp_id"), (F.col("c_nationkey") % 5).alias("searcher"), F.col("c_mktsegment").alias("title_hint"), F.col("c_mktsegment").alias("industry_hint"),
+        F.col("o_orderkey").alias("opp_id"), F.col("c_nationkey").alias("searcher"), F.col("c_mktsegment").alias("title_hint"), F.col("c_mktsegment").alias("industry_hint"),
         F.col("n_name").alias("location_hint"), pick(ARRANGEMENTS, F.col("o_orderkey")).alias("arrangement_hint"), pick(("full_time", "part_time", "contract"), F.col("o_orderkey")).alias("employment_hint"),
     )
-    n = F.col("n_nationkey")
+    n = F.col("n_nationkey") % 5
     none = F.array().cast("array<string>")
-    wanted = table(spark, sf, "nation").where("n_nationkey < 5").select(
-        n.alias("searcher"), F.when(n == 0, F.array(F.lit("Building!"))).when(n == 1, F.array(F.lit("Machinery and tools"))).otherwise(none).alias("target_roles"),
+    wanted = table(spark, sf, "nation").select(
+        F.col("n_nationkey").alias("searcher"), F.when(n == 0, F.array(F.lit("Building!"))).when(n == 1, F.array(F.lit("Machinery and tools"))).otherwise(none).alias("target_roles"),
         F.when(n == 2, F.array(F.lit("house"))).otherwise(none).alias("target_industries"), none.alias("preferred_locations"),
         F.when(n == 3, "remote").otherwise("flexible").alias("preferred_arrangement"), F.when(n == 3, "full_time").otherwise("").alias("preferred_employment"),
     )
