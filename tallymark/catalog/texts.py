@@ -183,8 +183,18 @@ ADVERTS = "adverts AS (SELECT doc_id, text || chr(10) || ([" + ", ".join(
 ) + f"])[doc_id % {len(FACTS)} + 1] AS raw_text FROM documents)"
 
 
-@query("fn_18_labelled_values", f"""WITH {ADVERTS} SELECT doc_id, CASE WHEN doc_id % 7 = 4 THEN 'Lead Analyst' ELSE '' END AS title,
-  CASE WHEN doc_id % 7 = 4 THEN 'Example Works' ELSE '' END AS company, CASE WHEN doc_id % 7 = 4 THEN 'Springfield' ELSE '' END AS location FROM adverts""")
+#: Lines of an advert without bullets and runs of spaces, and their heading keys, in SQL.
+LINES = """lines AS (SELECT doc_id, list_filter(list_transform(string_split(raw_text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '^[\\s\\-–—•*▪◦]+', ''), '\\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM adverts),
+keyed AS (SELECT *, list_transform(l, lambda x: trim(regexp_replace(regexp_replace(lower(x), ':+$', ''), '[^a-z0-9'' -]+', '', 'g'))) AS k FROM lines)"""
+
+
+def _labelled(labels) -> str:
+    pattern = f"(?i)^(?:{'|'.join(labels)})\\s*[:\\-]\\s*(.+)$"
+    return f"coalesce(trim(regexp_extract(list_filter(l, lambda x: regexp_matches(x, '{pattern}'))[1], '{pattern}', 1)), '')"
+
+
+@query("fn_18_labelled_values", f"""WITH {ADVERTS}, {LINES}
+SELECT doc_id, {_labelled(T.TITLE_LABELS)} AS title, {_labelled(T.COMPANY_LABELS)} AS company, {_labelled(T.LOCATION_LABELS)} AS location FROM lines""")
 def fn_18(spark, sf):
     rows = adverts(spark, sf).withColumn("lines", T.clean_lines(F.col("raw_text")))
     value = lambda labels: T.labeled_value(F.col("lines"), labels)
@@ -200,8 +210,11 @@ def fn_19(spark, sf):
     )
 
 
-@query("fn_20_deadlines", f"""WITH {ADVERTS} SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rolling' WHEN 2 THEN 'confirmed' WHEN 3 THEN 'not_stated' ELSE 'unknown' END AS status,
-  CASE doc_id % 7 WHEN 0 THEN '2026-03-03' WHEN 2 THEN '2026-04-05' END AS deadline FROM adverts""")
+@query("fn_20_deadlines", f"""WITH {ADVERTS}, d AS (SELECT doc_id, raw_text, trim(regexp_extract(raw_text, '{T.LABELED_DEADLINE}', 1)) AS stated FROM adverts),
+p AS (SELECT *, CAST(try_strptime(stated, ['%Y-%m-%d', '%m/%d/%Y', '%m-%d-%Y', '%B %d, %Y', '%b %d, %Y', '%B %d %Y', '%b %d %Y']) AS DATE) AS day FROM d),
+s AS (SELECT *, CASE WHEN regexp_matches(raw_text, '{T.ROLLING}') THEN 'rolling' WHEN regexp_matches(raw_text, '{T.LABELED_DEADLINE}') THEN CASE WHEN day IS NOT NULL THEN 'confirmed' ELSE 'unknown' END
+  WHEN regexp_matches(raw_text, '{T.NO_DEADLINE}') THEN 'not_stated' ELSE 'unknown' END AS status FROM p)
+SELECT doc_id, status, CASE WHEN status = 'confirmed' THEN CAST(day AS VARCHAR) END AS deadline FROM s""")
 def fn_20(spark, sf):
     rows = adverts(spark, sf).withColumn("d", T.deadline(F.col("raw_text")))
     return rows.select("doc_id", "d.status", F.col("d.date").cast("string").alias("deadline"))
@@ -292,8 +305,15 @@ def intake(spark, sf):
     )
 
 
-@query("win_11_intake_sections", f"""WITH {ADVERTS} SELECT doc_id, CASE WHEN doc_id % 7 = 5 THEN 'Bachelor degree in science|must be a U.S. citizen' ELSE '' END AS required_skills,
-  CASE WHEN doc_id % 7 = 6 THEN 'French' ELSE '' END AS preferred_skills FROM adverts""")
+def _section(name: str) -> str:
+    """Lines after the first heading of a group up to the next heading of any, 20 at most."""
+    quoted = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+    at = lambda group, after: f"list_min(list_filter(range(1, len(k) + 1), lambda i: i > {after} AND list_contains({quoted(group)}, k[i])))"
+    start = at(T.SECTION_HEADINGS[name], 0)
+    return f"coalesce(array_to_string(l[{start} + 1:least(coalesce({at(T.ALL_HEADINGS, start)}, len(k) + 1) - 1, {start} + {T.SECTION_LINES})], '|'), '')"
+
+
+@query("win_11_intake_sections", f"""WITH {ADVERTS}, {LINES} SELECT doc_id, {_section('required_skills')} AS required_skills, {_section('preferred_skills')} AS preferred_skills FROM keyed""")
 def win_11(spark, sf):
     rows = adverts(spark, sf).withColumn("lines", T.clean_lines(F.col("raw_text")))
     rows = rows.withColumn("keys", F.transform("lines", T.heading_key))
