@@ -1,9 +1,10 @@
 """MAT-1..4: the explainable four-layer matcher.
 
-Flow: requirement items are matched once per distinct text and profile, joined
-back to the (posting, profile) pairs and gathered into one row per pair. From
-there all four layers are column expressions on that row. A pair's arrays are as
-long as one posting's own requirement lists.
+Flow: requirement items are matched once per distinct text and profile and brought
+back to the (posting, profile) pairs, one row per pair: the matches of texts that many
+postings ask for are looked up by place in an array of the profile's row, those of
+the rest are joined and gathered. From there all four layers are column expressions on
+that row. A pair's arrays are as long as one posting's own requirement lists.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ from ..operators.scoring import (
     deal_breaker_hits, denies_sponsorship, experience_match, needs_sponsorship, searchable_text, two_part,
     weighted_score,
 )
+from ..operators.ordered import top_k
 from ..operators.rowmatch import text_features, vector_features, with_scan, with_semantic_scan
-from ..operators.spread import fence, spread
+from ..operators.spread import fence, kept, spread
 from ..operators.vocabulary import ENTRY_TERMS, SOFTWARE_TERMS, Vocabulary, mentions
 
 MATCHER_VERSION = "tallymark-matcher-1"
+# How many texts of a scope are looked up by place instead of joined, and how many postings must ask for each.
+COMMON_TEXTS, COMMON_USES = 256, 20
 TRANSFERABLE_ROLE, SOFTWARE_ROLE = 0.70, 0.80
 DIRECT_INDUSTRY, RELATED_INDUSTRY, DIRECT_ROLE = 0.85, 0.55, 0.85
 PRIORITY, ADJACENT, OUTSIDE = "PRIORITY ROLE", "ADJACENT OPPORTUNITY", "OUTSIDE PRIORITY"
@@ -111,37 +115,87 @@ def match(
     if only is not None:
         postings = postings.join(only, "job_id", "left_semi")
         profiles = profiles.join(only, "profile_id", "left_semi")
-    jobs = _prepare(postings, requirements, scope)
-    pairs = jobs.join(_profile_side(profiles, scope), list(scope))
-    if only is not None:
-        pairs = pairs.join(only, ["job_id", "profile_id"], "left_semi")
-
-    pool_of = constant_map(POOLS)
-    items = jobs.select(*scope, "job_id", F.explode(_items()).alias("i")).select(
-        *scope, "job_id", "i.category", "i.ordinal", "i.requirement", pool_of[F.col("i.category")].alias("pool")
-    )
+    jobs = _prepare(postings, requirements, scope).withColumn("asked", _items())
+    items = _exploded(jobs, scope)
     if only is not None:
         items = items.join(only, "job_id")
     found = match_texts(items, profiles, manual_profiles, scope, vocabulary, semantic=layers >= 4)
-    joined = items.join(found, [*scope, "pool", "requirement", *(["profile_id"] if only is not None else [])])
-    gathered = joined.groupBy("job_id", "profile_id").agg(
-        F.collect_list(
-            F.struct(
-                "category",
-                "ordinal",
-                "requirement",
-                F.coalesce("match_type", F.lit("missing")).alias("match_type"),
-                F.coalesce("evidence", F.lit("")).alias("evidence"),
-                F.coalesce("concept", F.lit("")).alias("concept"),
-                F.coalesce("strength", F.lit(0.0)).alias("strength"),
-                "semantic",
-            )
-        ).alias("found")
-    )
-    rows = pairs.join(gathered, ["job_id", "profile_id"], "left")
+    common = kept(_common_texts(_exploded(jobs, scope), scope), "common_texts")
+    found = kept(found.join(common, [*scope, "pool", "requirement"], "left"), "texts_matched")
+
+    # Common texts: their matches travel with the profile and are looked up by place, so no row per item is shuffled.
+    places = kept(common.groupBy(*scope).agg(F.map_from_entries(F.collect_list(
+        F.struct(_text_key(F.col("pool"), F.col("requirement")).alias("key"), F.col("place").alias("value"))
+    )).alias("places")), "places")
+    by_place = found.where("place IS NOT NULL").groupBy(*scope, "profile_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("place", _hit().alias("hit")))).alias("hits")
+    )
+    sides = _profile_side(profiles, scope).join(by_place, [*scope, "profile_id"], "left")
+    at = F.sequence(F.lit(0), F.lit(COMMON_TEXTS - 1))
+    sides = kept(sides.withColumn("hits", F.transform(at, lambda i: F.try_element_at("hits", i))), "profile_sides")
+    jobs = jobs.join(places, list(scope), "left").withColumn("asked", F.transform("asked", lambda x: F.struct(
+        x["category"], x["ordinal"], x["requirement"],
+        F.try_element_at("places", _text_key(_pool_of(x["category"]), x["requirement"])).alias("place"),
+    ))).drop("places")
+    rows = jobs.join(sides, list(scope))
+    if only is not None:
+        rows = rows.join(only, ["job_id", "profile_id"], "left_semi")
+    looked_up = F.transform("asked", lambda x: F.struct(x.alias("x"), F.get("hits", x["place"]).alias("hit")))
+    rows = rows.withColumn("found", F.transform(
+        F.filter(looked_up, lambda y: y["hit"].isNotNull()),
+        lambda y: F.struct(
+            *[y["x"][c].alias(c) for c in ("category", "ordinal", "requirement")],
+            *[y["hit"][c].alias(c) for c in ("match_type", "evidence", "concept", "strength", "semantic")],
+        ),
+    )).drop("hits")
+
+    # Texts that few postings ask for: one row per item and profile, gathered again.
+    rare = found.where("place IS NULL").drop("place")
+    if not rare.isEmpty():
+        joined = items.join(rare, [*scope, "pool", "requirement", *(["profile_id"] if only is not None else [])])
+        gathered = joined.groupBy("job_id", "profile_id").agg(
+            F.collect_list(F.struct("category", "ordinal", "requirement", _hit().alias("hit"))).alias("rare")
+        )
+        gathered = gathered.withColumn("rare", F.transform("rare", lambda x: F.struct(
+            x["category"], x["ordinal"], x["requirement"], *[x["hit"][c].alias(c) for c in ("match_type", "evidence", "concept", "strength", "semantic")],
+        )))
+        rows = rows.join(gathered, ["job_id", "profile_id"], "left")
+        rows = rows.withColumn("found", F.concat("found", F.coalesce("rare", F.slice("found", 1, 0)))).drop("rare")
     return fence(_score(_categories(rows), layers), "pairs_scored")
 
 
+def _exploded(jobs: DataFrame, scope) -> DataFrame:
+    """One row per item that a posting asks for."""
+    items = jobs.select(*scope, "job_id", F.explode("asked").alias("i"))
+    return items.select(
+        *scope, "job_id", "i.category", "i.ordinal", "i.requirement", _pool_of(F.col("i.category")).alias("pool")
+    )
+
+
+def _pool_of(category: Column) -> Column:
+    return constant_map(POOLS)[category]
+
+
+def _text_key(pool: Column, requirement: Column) -> Column:
+    """A text and its pool as one string; no pool's name holds a colon."""
+    return F.concat(pool, F.lit(":"), requirement)
+
+
+def _common_texts(items: DataFrame, scope) -> DataFrame:
+    """The texts of a scope that most postings ask for, at most COMMON_TEXTS, with their places from 0."""
+    uses = items.where(F.col("requirement").isNotNull()).groupBy(*scope, "pool", "requirement").agg(F.count("*").alias("uses"))
+    order = [F.desc("uses"), F.col("pool"), F.col("requirement")]
+    best = top_k(uses.where(F.col("uses") >= COMMON_USES), list(scope), order, COMMON_TEXTS, "place")
+    return best.select(*scope, "pool", "requirement", (F.col("place") - 1).alias("place"))
+
+
+def _hit() -> Column:
+    return F.struct(
+        F.coalesce("match_type", F.lit("missing")).alias("match_type"), F.coalesce("evidence", F.lit("")).alias("evidence"),
+        F.coalesce("concept", F.lit("")).alias("concept"), F.coalesce("strength", F.lit(0.0)).alias("strength"), F.col("semantic"),
+    )
+
+
 def _prepare(postings: DataFrame, requirements: DataFrame, scope) -> DataFrame:
     """One row per posting with everything that does not depend on a profile."""
     facts = has_content(requirements)

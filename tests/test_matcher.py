@@ -1,4 +1,5 @@
 import random
+import re
 
 from people import POSTINGS, PROFILES, REQUIREMENTS, posting, profile, requirement
 from pyspark.sql import functions as F
@@ -93,3 +94,25 @@ def test_matcher_does_not_depend_on_partitioning(spark):
     keep = lambda rows: sorted((r["job_id"], r["score"], r["track"]) for r in rows.collect())
     once = keep(run(spark, reqs))
     assert once == keep(run(spark, list(reversed(reqs))))
+
+
+def test_common_texts_are_looked_up_and_rare_ones_joined_with_the_same_result(spark, monkeypatch):
+    from tallymark.plans import matcher
+
+    lists = (["CAD", "Python"], ["testing", None, "V&V"], ["CAD", "latte art", "CAD"], [])
+    reqs = [requirement(i, industry="MedTech", required_skills=lists[i % 4], preferred_skills=lists[i % 3]) for i in range(1, 9)]
+    rows = []
+    for texts, uses in ((matcher.COMMON_TEXTS, 1), (2, 1), (matcher.COMMON_TEXTS, 10**6)):
+        monkeypatch.setattr(matcher, "COMMON_TEXTS", texts)
+        monkeypatch.setattr(matcher, "COMMON_USES", uses)
+        rows.append(sorted(run(spark, reqs).toJSON().collect()))
+    assert len(rows[0]) == 8 and rows[0] == rows[1] == rows[2]
+
+
+def test_no_row_per_item_and_pair_is_shuffled_for_common_texts(spark, monkeypatch):
+    from tallymark.plans import matcher
+
+    monkeypatch.setattr(matcher, "COMMON_USES", 1, raising=False)
+    rows = run(spark, [requirement(i, industry="MedTech", required_skills=["CAD", "Python"]) for i in range(1, 5)])
+    # Before, items and pairs were both dealt out by posting and profile.
+    assert not re.search(r"hashpartitioning\(job_id#\d+L?, profile_id#", rows._jdf.queryExecution().executedPlan().toString())
