@@ -11,13 +11,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import global_rank
 from .shared import each_text, whole, written
 
 MEASURES = (
@@ -79,9 +81,9 @@ def _densest(flags: list[bool]) -> float:
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the fit. `rows`: labelled rows it is fitted on; `pairs`: preference pairs; `cut`: score of the quantile."""
+    """`pairs`: at least so many preference pairs, if there are as many; more where a kind has more rows, so that none is
+    left out. `cut`: score of the quantile."""
 
-    rows: int = 12_000
     pairs: int = 60_000
     ridge: float = 1e-3
     cut: float = 0.3
@@ -112,26 +114,81 @@ def bradley_terry(points: np.ndarray, good: np.ndarray, settings: Settings) -> n
     shifting the bad rows against the good ones by one more, so that no pair comes twice.
     """
     up, down = points[good], points[~good]
-    weights = np.zeros(points.shape[1])
-    if not len(up) or not len(down):
-        return weights
-    n = min(settings.pairs, len(up) * len(down))
+    n = pair_count(len(up), len(down), settings)
     i = np.arange(n)
-    most = max(len(up), len(down))
+    most = max(len(up), len(down), 1)
     turn = i // most
-    a, b = (i % len(up), (i + turn) % len(down)) if len(up) == most else ((i + turn) % len(up), i % len(down))
-    gap = up[a] - down[b]
-    for _ in range(60):
-        lost = 1 / (1 + np.exp(np.clip(gap @ weights, -30, 30)))
-        slope = gap.T @ lost / n - settings.ridge * weights
-        bend = (gap * (lost * (1 - lost))[:, None]).T @ gap / n + settings.ridge * np.eye(len(weights))
-        step = np.linalg.solve(bend, slope)
+    many, few = i % most, (i + turn) % max(1, min(len(up), len(down)))
+    gap = (up[many] - down[few] if len(up) == most else up[few] - down[many]) if n else points[:0]
+    return newton(lambda weights: pulls(gap, weights), n, points.shape[1], settings)
+
+
+def pair_count(good: int, bad: int, settings: Settings) -> int:
+    return min(max(settings.pairs, good, bad), good * bad)
+
+
+def pulls(gap: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over pairs of the slope and of the bend of the loss."""
+    lost = 1 / (1 + np.exp(np.clip(gap @ weights, -30, 30)))
+    return gap.T @ lost, (gap * (lost * (1 - lost))[:, None]).T @ gap
+
+
+def newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], n: int, width: int, settings: Settings) -> np.ndarray:
+    """The weights at which the slope of the mean loss over `n` pairs is 0; without a pair all are 0."""
+    weights = np.zeros(width)
+    for _ in range(60 if n else 0):
+        slope, bend = sums(weights)
+        step = np.linalg.solve(bend / n + settings.ridge * np.eye(width), slope / n - settings.ridge * weights)
         weights = weights + step
         if np.abs(step).max() < 1e-8:
             break
     return weights
 
 
+def dealt_pairs(rows: DataFrame, good: int, bad: int, settings: Settings) -> DataFrame:
+    """`gap` of every pair of `bradley_terry`, dealt by joins on places: rows are (k, good, x), in the order of a hash of k."""
+    n, most, fewest = pair_count(good, bad, settings), max(good, bad), min(good, bad)
+    order = [F.xxhash64("k"), F.asc("k")]
+    side = lambda kind: global_rank(rows.where(F.col("good") == kind), order, "place").select((F.col("place") - 1).alias("at"), "x")
+    many, few = side(good == most), side(good != most)
+    turns = F.explode(F.sequence(F.lit(0), F.lit((n - 1) // most)))
+    many = many.select("at", "x", turns.alias("turn")).where(F.col("turn") * most + F.col("at") < n)
+    met = many.withColumn("at", (F.col("turn") * most + F.col("at") + F.col("turn")) % fewest).join(few.toDF("at", "y"), "at")
+    sign = 1.0 if good == most else -1.0
+    return met.select(F.zip_with("x", "y", lambda a, b: (a - b) * sign).alias("gap"))
+
+
+def fitted(gaps: DataFrame, n: int, settings: Settings) -> np.ndarray:
+    """Newton steps over written pairs: each task sums its own, and one number for each sum reaches the driver."""
+    width = len(MEASURES)
+
+    def sums(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(width + width * width)
+            for batch in batches:
+                gap = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                slope, bend = pulls(gap, weights)
+                total += np.concatenate([slope, bend.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["at", "value"])
+
+        rows = gaps.mapInArrow(part, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+        total = np.zeros(width + width * width)
+        for r in rows:
+            total[r["at"]] = r["value"]
+        return total[:width], total[width:].reshape(width, width)
+
+    return newton(sums, n, width, settings)
+
+
+def quantile(rows: DataFrame, count: int, share: float) -> float:
+    """The quantile of `strength` over all rows, between its two neighbours by rank."""
+    at = share * (count - 1)
+    low = math.floor(at)
+    near = global_rank(rows, [F.asc("strength"), F.asc("k")], "place").where(F.col("place").isin(low + 1, low + 2))
+    values = sorted(r["strength"] for r in near.select("strength").collect())
+    return values[0] + (values[-1] - values[0]) * (at - low)
+
+
 def measured(texts: pa.Array) -> pa.Array:
     return pa.array([measures(t) for t in each_text(texts)], pa.list_(pa.float64()))
 
@@ -140,47 +197,51 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, settings: Settings = Settings()) -> Model:
-    """Learn from labelled rows that are not held out.
+def fit(points: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
+    """Learn from all labelled rows that are not held out; `points` are (k, x), the measures of every document.
 
-    The rows are a sample of at most about `settings.rows`, chosen by a hash of the key; of several labels of a key the
-    smallest counts, null labels and keys count for nothing. With labels of one kind only, or none, all weights are 0
-    and every text has the score of the cut.
+    Of several labels of a key the smallest counts, of several texts the one with the least measures; null labels and
+    keys count for nothing. With labels of one kind only, or none, all weights are 0 and every text has the score of the cut.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = min(1.0, settings.rows / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    chosen = chosen.select(F.col("doc_id").alias("label_key"), "quality")
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("k") == F.col("label_key"))
-    measure = F.arrow_udf(measured, "array<double>")
-    sample = written(rows.select("k", "quality", measure(whole("t")).alias("x")), "preferences")
-    # Numbers of a bounded sample: what reaches the driver is rows * measures.
-    found = sample.dropDuplicates(["k"]).orderBy(F.xxhash64("k"), "k").collect()
-    if not found:
+    known = known.groupBy(F.col("doc_id").alias("k")).agg((F.min("quality") > 0).alias("good"))
+    rows = written(points.join(known, "k").groupBy("k", "good").agg(F.min("x").alias("x")), "preferences")
+    width = range(len(MEASURES))
+    at = lambda i: F.get("x", F.lit(i))
+    totals = rows.agg(F.count("*"), F.count_if("good"), *[F.avg(at(i)) for i in width], *[F.stddev_pop(at(i)) for i in width]).head()
+    count, good = totals[0], totals[1]
+    if not count:
         return Model(cut=settings.cut)
-    points, good = np.array([r["x"] for r in found]), np.array([r["quality"] > 0 for r in found])
-    middle, spread = points.mean(axis=0), points.std(axis=0)
+    middle, spread = np.array(totals[2:2 + len(width)]), np.array(totals[2 + len(width):])
     spread[spread < 1e-9] = 1.0
-    plain = (points - middle) / spread
-    weights = bradley_terry(plain, good, settings)
-    strengths = plain @ weights
-    bar = float(np.quantile(strengths, (~good).mean())) if good.any() and not good.all() else 0.0
-    return Model(tuple(weights.tolist()), tuple(middle.tolist()), tuple(spread.tolist()), bar, settings.cut)
+    model = Model(middle=tuple(middle.tolist()), spread=tuple(spread.tolist()), cut=settings.cut)
+    if not 0 < good < count:
+        return model
+    plain = F.array(*[(at(i) - float(middle[i])) / float(spread[i]) for i in width])
+    gaps = written(dealt_pairs(rows.select("k", "good", plain.alias("x")), good, count - good, settings), "gaps")
+    model = replace(model, weights=tuple(fitted(gaps, pair_count(good, count - good, settings), settings).tolist()))
+    strengths = rows.select("k", _rowwise(model.strengths)("x").alias("strength"))
+    return replace(model, bar=quantile(strengths, count, (count - good) / count))
+
+
+def _rowwise(of):
+    """A column of numbers from a column of measures."""
+
+    @F.arrow_udf("double")
+    def numbers(x: pa.Array) -> pa.Array:
+        return pa.array(of(x.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(MEASURES))))
+
+    return numbers
 
 
 def score_all(docs: DataFrame, labels: DataFrame, key: str, text: str, settings: Settings = Settings()) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted.
+    """One row per document: doc_id, held_out, score, predicted. Texts are measured once, for the fit and the scores.
 
     Null texts count as empty; repeated rows repeat; a null key is not held out; other columns are ignored, whatever
     their names; an empty table gives no rows.
     """
-    model = fit(docs, labels, key, text, settings)
-
-    @F.arrow_udf("double")
-    def scores(texts: pa.Array) -> pa.Array:
-        points = np.array([measures(t) for t in each_text(texts)]).reshape(-1, len(MEASURES))
-        return pa.array(model.scores(points))
-
-    scored = docs.select(F.col(key).alias("doc_id"), scores(whole(text)).alias("score"))
+    measure = F.arrow_udf(measured, "array<double>")
+    points = written(docs.select(F.col(key).alias("k"), measure(whole(text)).alias("x")), "measures")
+    model = fit(points, labels, settings)
+    scored = points.select(F.col("k").alias("doc_id"), _rowwise(model.scores)("x").alias("score"))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= settings.cut).cast("int").alias("predicted"))

@@ -180,3 +180,24 @@ def test_pairs_order_planted_strengths():
     found = preference.bradley_terry(points, good, preference.Settings())
     assert found[0] > 0.8 and found[1] < -0.4 and abs(found[2]) < 0.3
     assert not preference.bradley_terry(points, np.ones(800, bool), preference.Settings()).any()
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    rng = np.random.default_rng(7)
+    n = 400
+    points = rng.normal(size=(n, len(preference.MEASURES)))
+    good = points[:, 0] + rng.normal(size=n) > -0.8
+    keys = [k for k in range(3000) if zlib.crc32(str(k).encode()) % 5][:n]
+    table = spark.createDataFrame([(k, x.tolist()) for k, x in zip(keys, points)], "k long, x array<double>")
+    marks = spark.createDataFrame([(k, int(g)) for k, g in zip(keys, good)], "doc_id long, quality int")
+    settings = preference.Settings(pairs=50)
+    model = preference.fit(table, marks, settings)
+    # All 400 rows, in pairs, give the weights; before, pairs and rows were both bounded.
+    assert preference.pair_count(int(good.sum()), int(n - good.sum()), settings) >= good.sum()
+    assert np.allclose(model.middle, points.mean(axis=0)) and np.allclose(model.spread, points.std(axis=0))
+    hashes = {r["k"]: r["h"] for r in table.selectExpr("k", "xxhash64(k) AS h").collect()}
+    order = sorted(range(n), key=lambda i: (hashes[keys[i]], keys[i]))
+    plain = ((points - points.mean(axis=0)) / points.std(axis=0))[order]
+    weights = preference.bradley_terry(plain, good[order], settings)
+    assert np.allclose(model.weights, weights)
+    assert np.isclose(model.bar, np.quantile(plain @ weights, (~good).mean()))
