@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tallymark.llm import decontam, htmltext, jaccard, pii
@@ -121,3 +122,20 @@ def test_a_linked_paragraph_of_the_article_stays():
     assert htmltext.main_text(page) == "First words of the text.\n\nA linked source\n\nAnother\n\nLast words."
     plain = "<body><p><a href=x>Home of all the links</a></p><p>" + "Words of an unmarked page. " * 8 + "</p></body>"
     assert "Home" not in htmltext.main_text(plain)
+
+
+def test_sketches_keep_every_pair_of_enough_likeness_and_part_most_others():
+    draw = np.random.default_rng(3)
+    shut = 0
+    for _ in range(400):
+        n = int(draw.integers(1, 400))
+        a = np.unique(draw.integers(0, 2**63, n, dtype=np.uint64))
+        kept = a[draw.random(len(a)) < draw.choice([0.05, 0.8, 0.9, 0.95])]
+        b = np.unique(np.concatenate([kept, draw.integers(0, 2**63, int(draw.integers(0, n // 10 + 2)), dtype=np.uint64)]))
+        both, differ = len(np.intersect1d(a, b)), sum(int(x).bit_count() for x in (jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64))
+        assert differ <= len(a) + len(b) - 2 * both
+        if both * 5 >= (len(a) + len(b) - both) * 4:
+            assert differ * 9 <= len(a) + len(b)
+        else:
+            shut += differ * 9 > len(a) + len(b)
+    assert shut > 100
