@@ -46,11 +46,21 @@ def kept(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+#: Parts a slot that rows are dealt to where a scan does not fill the slots.
+WAVES = 3
+
+
 def fill_slots(rows: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than there are task slots.
+    """Spread a scan whose rows lie in fewer splits than there are task slots, or mostly in a few of them.
 
-    Long texts are CPU-bound, and a file with one row group is one split. A scan of many
-    splits is left alone, so large inputs are never shuffled by this.
+    Long texts are CPU-bound, and a row group is read by the one split that holds its middle, however many splits its file
+    has: a table of one row group is one task. The rows of each split are counted first, which reads no column, and a scan
+    whose largest split has more than a slot's share is dealt out by hash. Other scans are left alone.
     """
     slots = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(slots) if rows.rdd.getNumPartitions() < slots else rows
+    splits = rows.rdd.getNumPartitions()
+    held = rows.groupBy("_metadata.file_path", "_metadata.file_block_start").agg(F.count(F.lit(1)).alias("n"))
+    total, most = held.agg(F.sum("n"), F.max("n")).first()  # two numbers
+    if not total or most * slots <= total * 1.5:
+        return rows
+    return rows.repartition(max(splits, WAVES * slots), F.xxhash64(*rows.columns))

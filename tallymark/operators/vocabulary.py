@@ -7,6 +7,7 @@ themselves data.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -251,10 +252,7 @@ class Vocabulary:
 
     @staticmethod
     def _tags(norm, phrases, whole_words) -> Column:
-        hits = [
-            F.when(norm.rlike(phrase_pattern([fold_literal(p) for p in aliases], whole_words)), F.lit(name))
-            for name, aliases in phrases.items()
-        ]
+        hits = [F.when(_any_phrase(norm, aliases, whole_words), F.lit(name)) for name, aliases in phrases.items()]
         return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
     def relation_rows(self, role: bool) -> list[tuple[str, str, float]]:
@@ -282,9 +280,19 @@ class Vocabulary:
         return F.coalesce(labels[family], family)
 
 
+def _any_phrase(norm: Column, phrases, whole_words: bool = False) -> Column:
+    """`phrase_pattern` of any phrase in an FN-01 text. A pattern is tried on texts that contain its phrase only."""
+    tests = []
+    for phrase in dict.fromkeys(fold_literal(p) for p in phrases):
+        held = F.contains(norm, F.lit(phrase))
+        bounded = whole_words or len(phrase) <= 3
+        tests.append(held & norm.rlike(phrase_pattern([phrase], whole_words)) if bounded else held)
+    return functools.reduce(Column.__or__, tests, F.lit(False))
+
+
 def mentions(norm: Column, terms) -> Column:
     """JOIN-06: any fixed term contained in an FN-01 text."""
-    return norm.rlike("|".join(fold_literal(t) for t in terms))
+    return functools.reduce(Column.__or__, [F.contains(norm, F.lit(fold_literal(t))) for t in terms], F.lit(False))
 
 
 def symmetric_relations(relations: DataFrame) -> DataFrame:
