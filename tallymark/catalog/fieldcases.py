@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as X
 from ..operators import quality as Q
-from ..operators.spread import settle
+from ..operators.spread import fill_slots, settle
 from ..sources.tables import table
 from .registry import query
 
@@ -54,20 +54,21 @@ def record(words: Column) -> Column:
     return F.to_json(F.struct(part("job").alias("job"), part("requirements").alias("requirements")))
 
 
-def cases(spark, sf) -> DataFrame:
-    """case_id, run, n_chars, expected and actual records, for each document and both extractions."""
+def cases(spark, sf, only: tuple[str, ...] = tuple(RUNS)) -> DataFrame:
+    """case_id, run, n_chars, expected and actual records, for each document and the asked-for extractions."""
     words = F.filter(F.split(F.lower(X.blank(F.col("text"))), "[^a-z]+"), lambda x: x != "")
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "n_chars", words.alias("w"))
-    runs = F.array(*[F.struct(F.lit(run).alias("run"), F.lit(n).alias("without")) for run, n in RUNS.items()])
+    rows = fill_slots(table(spark, sf, "documents")).select(F.col("doc_id").alias("case_id"), "n_chars", words.alias("w"))
+    runs = F.array(*[F.struct(F.lit(run).alias("run"), F.lit(RUNS[run]).alias("without")) for run in only])
     rows = rows.select("case_id", "n_chars", "w", F.explode(runs).alias("r"))
     kept = F.filter("w", lambda x: F.length(x) != F.col("r.without"))
     actual = F.replace(record(kept), F.lit('"industry_tags"'), F.lit('"industry"'))
     return rows.select("case_id", "r.run", "n_chars", record(F.col("w")).alias("expected"), actual.alias("actual"))
 
 
-def compared(spark, sf) -> DataFrame:
-    keyed = cases(spark, sf).select(F.struct("case_id", "run", "n_chars").alias("k"), "expected", "actual")
-    return Q.compare_records(Q.record_fields(keyed, "k", "expected", "actual")).select("k.*", *[c for c in _COLUMNS])
+def compared(spark, sf, only: tuple[str, ...] = tuple(RUNS), kinds: dict[str, str] = Q.FIELD_KINDS) -> DataFrame:
+    """The compared fields. A query that gives out one extraction or some fields names them: no others are read or compared."""
+    keyed = cases(spark, sf, only).select(F.struct("case_id", "run", "n_chars").alias("k"), "expected", "actual")
+    return Q.compare_records(Q.record_fields(keyed, "k", "expected", "actual", kinds)).select("k.*", *[c for c in _COLUMNS])
 
 
 _COLUMNS = ("path", "kind", "status", "score", "matches", "missing_items", "unexpected_items", "expected_blank", "actual_blank", "actual_text")
@@ -153,7 +154,7 @@ def join_15(spark, sf):
 @query("join_16_field_lists", COMPARED + " SELECT case_id, run, path, status, round(score, 6)::DOUBLE AS score, CAST(matched AS INTEGER) AS matched, CAST(missing AS INTEGER) AS missing, CAST(unexpected AS INTEGER) AS unexpected FROM cmp WHERE kind = 'list'")
 def join_16_fields(spark, sf):
     """JOIN-16 on the list fields: pairs matched one to one, and what is left on either side."""
-    return compared(spark, sf).where("kind = 'list'").select(
+    return compared(spark, sf, kinds={p: k for p, k in Q.FIELD_KINDS.items() if k == "list"}).select(
         "case_id", "run", "path", "status", F.round("score", 6).alias("score"), F.size("matches").alias("matched"),
         F.size("missing_items").alias("missing"), F.size("unexpected_items").alias("unexpected"),
     )
@@ -168,35 +169,35 @@ def agg_12(spark, sf):
   {_MEAN.format(where='TRUE')} AS agreement, {_MEAN.format(where=f'path IN ({_SENSITIVE})')} AS sensitive_agreement, count(*) AS fields
   FROM cmp WHERE run = 'a' GROUP BY GROUPING SETS ((case_id), (path), ())""")
 def agg_13(spark, sf):
-    rows = Q.agreement(compared(spark, sf).where("run = 'a'").withColumn("score", F.round("score", 6).cast(EXACT_SCORE)))
+    rows = Q.agreement(compared(spark, sf, ("a",)).withColumn("score", F.round("score", 6).cast(EXACT_SCORE)))
     return rows.withColumns({c: F.col(c).cast("double") for c in ("agreement", "sensitive_agreement")})
 
 
 @query("flt_15_sensitive_fields", COMPARED + f" SELECT case_id, run, path, status FROM cmp WHERE path IN ({_SENSITIVE})")
 def flt_15(spark, sf):
-    return compared(spark, sf).where(F.col("path").isin(*Q.SENSITIVE_FIELDS)).select("case_id", "run", "path", "status")
+    return compared(spark, sf, kinds={p: Q.FIELD_KINDS[p] for p in Q.SENSITIVE_FIELDS}).select("case_id", "run", "path", "status")
 
 
 @query("join_19_evidence_coverage", COMPARED + """ SELECT case_id, count(*) AS required, count(*) FILTER (NOT no_a) AS covered, coalesce(string_agg(path, ',' ORDER BY path) FILTER (no_a), '') AS missing_fields,
   round(100.0 * count(*) FILTER (NOT no_a) / count(*), 2) AS coverage_percent FROM cmp WHERE run = 'a' AND NOT no_e GROUP BY 1""")
 def join_19(spark, sf):
     """Fields with an expected value, and those of them that the extraction can cite a text for."""
-    rows = compared(spark, sf).where("run = 'a'")
+    rows = compared(spark, sf, ("a",))
     expected = rows.select("case_id", F.col("path").alias("field"), F.when(~F.col("expected_blank"), "x").alias("value"))
     cited = rows.select("case_id", F.col("path").alias("field"), F.col("actual_text").alias("source_text"))
     return Q.evidence_coverage(expected, cited)
 
 
-def summaries(spark, sf) -> DataFrame:
+def summaries(spark, sf, only: tuple[str, ...] = tuple(RUNS)) -> DataFrame:
     """A line per case and run with what the gate and the comparison of runs read."""
-    rows = settle(compared(spark, sf).select("case_id", "run", "n_chars", "path", F.round("score", 6).cast(EXACT_SCORE).alias("score"), "status", "expected_blank", "actual_blank"))
+    rows = settle(compared(spark, sf, only).select("case_id", "run", "n_chars", "path", F.round("score", 6).cast(EXACT_SCORE).alias("score"), "status", "expected_blank", "actual_blank"))
     per_case = Q.case_summary(rows, ("case_id", "run", "n_chars"))
     wanted = rows.where(F.col("path").isin(*CRITICAL)).select("case_id", "run", "path")
     keyed = rows.select(F.struct("case_id", "run").alias("k"), "path", "score")
     passed = Q.critical_claims(wanted.select(F.struct("case_id", "run").alias("k"), "path"), keyed, "k").groupBy("k.case_id", "k.run").agg(
         F.count_if("passed").alias("critical_passed"), F.count("*").alias("critical_total")
     )
-    records = cases(spark, sf).select(F.struct("case_id", "run").alias("k"), F.array(*[F.lit(f) for f in FORBIDDEN]).alias("forbidden"), F.col("actual").alias("serialised"))
+    records = cases(spark, sf, only).select(F.struct("case_id", "run").alias("k"), F.array(*[F.lit(f) for f in FORBIDDEN]).alias("forbidden"), F.col("actual").alias("serialised"))
     hits = Q.forbidden_hits(records.select("k", "forbidden"), records.select("k", "serialised"), "k").select("k.*", F.size("hits").cast("long").alias("forbidden"))
     return per_case.join(passed, ["case_id", "run"]).join(hits, ["case_id", "run"])
 
@@ -214,7 +215,7 @@ SUMMARIES = COMPARED + f""", said AS (SELECT case_id, run, string_agg(array_to_s
   concat_ws(',', CASE WHEN sum(forbidden) > 0 THEN 'forbidden_claims' END, CASE WHEN sum(critical_passed) <> sum(critical_total) THEN 'critical_claims_missed' END, CASE WHEN round(avg(agreement), 2) < 60 THEN 'agreement_below_minimum' END) AS failures FROM f WHERE run = 'a'""")
 def agg_14(spark, sf):
     """AGG-14 and AGG-15 over the first run; a case's size stands for its time."""
-    rows = summaries(spark, sf).where("run = 'a'").withColumn("latency_ms", F.col("n_chars").cast("double"))
+    rows = summaries(spark, sf, ("a",)).withColumn("latency_ms", F.col("n_chars").cast("double"))
     totals = Q.run_totals(rows).withColumn("agreement", F.col("agreement").cast("double"))
     return Q.quality_gate(totals, 60.0).withColumn("failures", F.array_join("failures", ","))
 

@@ -65,3 +65,23 @@ def test_tags_are_those_of_the_patterns(spark):
 def test_family_patterns_are_tried_on_texts_that_hold_a_phrase_only(spark):
     rows = spark.createDataFrame([("",)], "t string").select(Vocabulary().family_tags(F.col("t")).alias("f"))
     assert "Contains" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_named_fields_and_extractions_only_are_compared(spark, sf):
+    from tallymark.catalog import fieldcases as C
+    from tallymark.operators import quality as Q
+
+    def rows(frame):
+        return sorted(map(repr, frame.select("case_id", "run", "path", "status", "score", "matches").collect()))
+
+    some = {p: Q.FIELD_KINDS[p] for p in ("job.title", "requirements.required_skills", "job.deadline_status")}
+    whole = C.compared(spark, sf)
+    assert rows(C.compared(spark, sf, ("a",), some)) == rows(whole.where("run = 'a'").where(F.col("path").isin(*some)))
+    plan = C.flt_15(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "requirement_notes AS path" not in plan and "path,requirements.requirement_notes" not in plan
+
+
+def test_records_of_one_row_group_are_compared_by_many_tasks(spark, sf):
+    from tallymark.catalog import fieldcases as C
+
+    assert C.cases(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
