@@ -85,3 +85,47 @@ def test_records_of_one_row_group_are_compared_by_many_tasks(spark, sf):
     from tallymark.catalog import fieldcases as C
 
     assert C.cases(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+class CountedState:
+    """A map state that counts what it is asked."""
+
+    def __init__(self):
+        self.held, self.asked = {}, 0
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self.held
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self.held[key] = value
+
+    def iterator(self):
+        self.asked += 1 + len(self.held)
+        return iter(list(self.held.items()))
+
+
+def test_listing_state_is_asked_once_for_each_listing_however_many_days_a_batch_has():
+    import pandas as pd
+
+    from tallymark.streaming.lifecycle import END, ListingLives
+
+    lives = ListingLives()
+    lives.lives = state = CountedState()
+    days, names = 60, [f"n{i}" for i in range(30)]
+    seen = {(d, n) for d in range(days) for i, n in enumerate(names) if (d * 7 + i * 5) % 11 < 6 or i == 0}
+    ends = {d for d in range(days) if d % 5}
+    for low, high in ((0, 40), (40, 60)):
+        rows = [(d, "seen", n) for d, n in sorted(seen) if low <= d < high] + [(d, END, None) for d in sorted(ends) if low <= d < high]
+        list(lives.handleInputRows(("s", 0), iter([pd.DataFrame(rows, columns=["at", "kind", "external_id"])]), None))
+    want = {}
+    for name in names:
+        last = max(d for d, n in seen if n == name)
+        want[(name,)] = (min(d for d, n in seen if n == name), last, min((d for d in ends if d > last), default=-1))
+    assert state.held == want
+    assert state.asked <= 2 * (1 + 2 * len(names))
