@@ -337,7 +337,7 @@ def discover(spark, sf):
     """SNK-02: validity, duplicates of earlier discoveries and of tracked customers, and relevance of all arrivals; errors bring no text."""
     event, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
     broken = F.col("event_type") == "error"
-    rows = table(spark, sf, "events").select(
+    rows = fill_slots(table(spark, sf, "events")).select(
         F.col("event_id").alias("opp_id"), F.col("ts").alias("discovered_at"), F.col("event_type").alias("provider"), user.alias("external_id"),
         F.concat(F.lit("https://b.example/"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("r"), user)).otherwise(F.concat(F.lit("e"), event))).alias("source_url"),
         F.concat(F.lit("Role "), user).alias("title_hint"), F.lit("Works").alias("company_hint"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank, strip
+from .text import blank, strip, with_value
 
 # Query keys that only track the click (besides every utm_* key).
 TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "msclkid")
@@ -70,28 +70,40 @@ def normalized_query(query: Column) -> Column:
     )
 
 
+#: Addresses that are their own key: lower-case scheme and host, no port, query, fragment, empty path step or last slash.
+OWN_KEY = "\\Ahttps?://[a-z0-9.-]+(?:/[A-Za-z0-9._~%+,;=-]+)+\\z"
+
+
 def normalize_url(c: Column) -> Column:
-    """FN-15: one key for URLs that differ in tracking, case of host, port or slashes only."""
-    url = strip(blank(c))
-    scheme, host, port = scheme_of(url), host_of(url), port_of(url)
-    default_port = (
-        (port == "")
-        | ((scheme == "http") & (port == "80"))
-        | ((scheme == "https") & (port == "443"))
-    )
-    netloc = F.when(default_port, host).otherwise(F.concat(host, F.lit(":"), port))
-    path = F.regexp_replace(path_of(url), "/{2,}", "/")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    path = F.when(path != "/", F.regexp_replace(path, "/+$", "")).otherwise(path)
-    query = normalized_query(_part(url, QUERY))
-    return F.when(url == "", F.lit("")).otherwise(
-        F.concat(
-            F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
-            F.when(netloc != "", F.concat(F.lit("//"), netloc)).otherwise(F.lit("")),
+    """FN-15: one key for URLs that differ in tracking, case of host, port or slashes only.
+
+    Most addresses are their own key by one pattern; each part of the others is read once.
+    """
+
+    def key(p: Column) -> Column:
+        default_port = (
+            (p["port"] == "")
+            | ((p["scheme"] == "http") & (p["port"] == "80"))
+            | ((p["scheme"] == "https") & (p["port"] == "443"))
+        )
+        netloc = F.when(default_port, p["host"]).otherwise(F.concat(p["host"], F.lit(":"), p["port"]))
+        path = F.when(p["path"] == "", F.lit("/")).when(p["path"] != "/", F.regexp_replace(p["path"], "/+$", "")).otherwise(p["path"])
+        query = F.when(p["query"] == "", "").otherwise(normalized_query(p["query"]))
+        return F.concat(
+            F.when(p["scheme"] != "", F.concat(p["scheme"], F.lit(":"))).otherwise(F.lit("")),
+            with_value(netloc, lambda n: F.when(n != "", F.concat(F.lit("//"), n)).otherwise(F.lit(""))),
             path,
-            F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
+            with_value(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit(""))),
         )
-    )
+
+    def read(url: Column) -> Column:
+        parts = F.struct(
+            scheme_of(url).alias("scheme"), host_of(url).alias("host"), port_of(url).alias("port"),
+            F.regexp_replace(path_of(url), "/{2,}", "/").alias("path"), _part(url, QUERY).alias("query"),
+        )
+        return F.when(url == "", F.lit("")).otherwise(with_value(parts, key))
+
+    return F.when(blank(c).rlike(OWN_KEY), c).otherwise(with_value(strip(blank(c)), read))
 
 
 # Paths of careers home and search pages.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, strip, words_only
+from ..functions.text import blank, strip, with_value, words_only
 from ..functions.urls import valid_listing_url
 from .ordered import top_k
 
@@ -31,9 +31,8 @@ def require_valid(rows: DataFrame) -> DataFrame:
     return checked.where(F.coalesce(guard.cast("boolean"), F.lit(True))).drop("reject_reason")
 
 
-def phrase_overlap(text: Column, phrase: Column) -> Column:
-    """Either normalised phrase inside the other, neither blank."""
-    a, b = words_only(text), words_only(phrase)
+def _overlap(a: Column, b: Column) -> Column:
+    """Either folded phrase inside the other, neither blank."""
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
@@ -41,23 +40,28 @@ def relevance(rows: DataFrame, preferences: DataFrame, on: tuple[str, ...]) -> D
     """JOIN-11: broad_match / unknown / outside, against the preferences of each row's searcher.
 
     preferences: on..., target_roles, target_industries, preferred_locations (arrays),
-    preferred_arrangement, preferred_employment.
+    preferred_arrangement, preferred_employment. Phrases are folded once for each searcher, hints once for each row.
     """
-    joined = rows.join(preferences, list(on))
     empty = F.array().cast("array<string>")
-    any_of = lambda hint, wanted: F.exists(
-        F.coalesce(F.col(wanted), empty), lambda p: phrase_overlap(F.col(hint), p)
-    )
-    some = lambda c: F.size(F.coalesce(F.col(c), empty)) > 0
-    arrangement = words_only(F.col("preferred_arrangement"))
-    employment = words_only(F.col("preferred_employment"))
-    role = any_of("title_hint", "target_roles")
-    industry = any_of("industry_hint", "target_industries")
-    place = any_of("location_hint", "preferred_locations")
-    desk = arrangement.isin("", "flexible") | phrase_overlap(F.col("arrangement_hint"), arrangement)
-    hours = (employment == "") | phrase_overlap(F.col("employment_hint"), employment)
-    primary = some("target_roles") | some("target_industries")
-    anything = primary | some("preferred_locations") | ~arrangement.isin("", "flexible") | (employment != "")
+    lists = {"title": "target_roles", "industry": "target_industries", "location": "preferred_locations"}
+    held = preferences.select(
+        *on,
+        *[F.filter(F.transform(F.coalesce(F.col(c), empty), words_only), lambda p: p != "").alias(f"_{c}") for c in lists.values()],
+        *[(F.size(F.coalesce(F.col(c), empty)) > 0).alias(f"_has_{c}") for c in lists.values()],
+        words_only(F.col("preferred_arrangement")).alias("_arrangement"), words_only(F.col("preferred_employment")).alias("_employment"),
+    )
+    hits = rows.join(held, list(on))
+    any_of = lambda hint, wanted: with_value(words_only(F.col(hint)), lambda h: F.exists(wanted, lambda p: _overlap(h, p)))
+    for hint, wanted in lists.items():
+        hits = hits.withColumn(f"_{hint}", (F.size(f"_{wanted}") > 0) & any_of(f"{hint}_hint", f"_{wanted}"))
+    flexible = F.col("_arrangement").isin("", "flexible")
+    hits = hits.withColumns({
+        "_desk": flexible | _overlap(words_only(F.col("arrangement_hint")), F.col("_arrangement")),
+        "_hours": (F.col("_employment") == "") | _overlap(words_only(F.col("employment_hint")), F.col("_employment")),
+    })
+    role, industry, place, desk, hours = (F.col(c) for c in ("_title", "_industry", "_location", "_desk", "_hours"))
+    primary = F.col("_has_target_roles") | F.col("_has_target_industries")
+    anything = primary | F.col("_has_preferred_locations") | ~flexible | (F.col("_employment") != "")
     label = (
         F.when(role | industry, "broad_match")
         .when(~anything, "unknown")
@@ -69,11 +73,11 @@ def relevance(rows: DataFrame, preferences: DataFrame, on: tuple[str, ...]) -> D
             F.when(role, "title"),
             F.when(industry, "industry"),
             F.when(place, "location"),
-            F.when(~arrangement.isin("", "flexible") & desk, "arrangement"),
-            F.when((employment != "") & hours, "employment"),
+            F.when(~flexible & desk, "arrangement"),
+            F.when((F.col("_employment") != "") & hours, "employment"),
         )
     )
-    return joined.withColumns({"relevance": label, "relevance_reasons": reasons}).select(
+    return hits.withColumns({"relevance": label, "relevance_reasons": reasons}).select(
         *rows.columns, "relevance", "relevance_reasons"
     )
 

@@ -9,6 +9,7 @@ from ..functions.fingerprint import listing_text_sha256, role_sha256
 from ..functions.urls import normalize_url
 from ..operators.discovery import relevance, validity
 from ..operators.duplicates import earlier_discovery, key_classes, tracked_classes
+from ..operators.spread import fence, kept
 
 
 def duplicates_and_relevance(
@@ -21,12 +22,13 @@ def duplicates_and_relevance(
     columns of `tracked_classes`); a tracked record of the same role is named, but does not block. `tracked` and `history`
     are those of `key_classes`; the rows then also carry title_hint, company_hint and location_hint.
     """
-    checked = validity(rows)
-    refused = checked.where(F.col("reject_reason").isNotNull())
-    url = normalize_url(F.col("source_url"))
-    keyed = checked.where(F.col("reject_reason").isNull()).drop("reject_reason").withColumns(
-        {"url_key": F.when(url != "", url), "text_key": listing_text_sha256(F.col("raw_text"))}
-    )
+    checked = fence(validity(rows), "rows_checked")
+    refused = F.col("reject_reason").isNotNull()
+    keys = {"url_key": F.nullif(normalize_url(F.col("source_url")), F.lit("")), "text_key": listing_text_sha256(F.col("raw_text"))}
+    # Every lookup below reads the keys: they are made once for each row.
+    checked = kept(checked.withColumns({name: F.when(~refused, key) for name, key in keys.items()}), "checked")
+    keyed = checked.where(~refused).drop("reject_reason")
+    refused = checked.where(refused).drop(*keys)
     linked = earlier_discovery(keyed, order, bucket)
     blocked = F.col("duplicate_of").isNotNull()
     if tracked is not None:
