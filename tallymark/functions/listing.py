@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import LINE_END, WHITE, blank
+from .text import LINE_END, SPACES, WHITE_CHARS, blank
 
 # Field labels and section headings of listings.
 TITLE_LABELS = ("job title", "position title", "role title", "position")
@@ -103,8 +103,8 @@ def first_of(patterns, text: Column, default: str = "unknown") -> Column:
 
 
 def clean_line(line: Column) -> Column:
-    bare = F.regexp_replace(line, f"^[{WHITE}\\-–—•*▪◦]+", "")
-    return F.trim(F.regexp_replace(bare, f"[{WHITE}]+", " "))
+    bare = F.ltrim(line, F.lit(WHITE_CHARS + "-–—•*▪◦"))
+    return F.trim(F.regexp_replace(bare, SPACES, " "))
 
 
 def clean_lines(text: Column) -> Column:
@@ -285,7 +285,7 @@ PAGE_DATE_FORMATS = (
 
 def page_date(raw: Column) -> Column:
     """A date as written on a page: ISO start, or one of six written forms."""
-    value = F.trim(F.regexp_replace(blank(raw), f"[{WHITE}]+", " "))
+    value = F.trim(F.regexp_replace(blank(raw), SPACES, " "))
     iso = F.when(value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_date(F.substring(value, 1, 10), "yyyy-MM-dd"))
     plain = F.regexp_replace(value, "(?i)(?<=[0-9])(st|nd|rd|th)\\b", "")
     plain = F.regexp_replace(F.regexp_replace(plain, "[,.]", ""), "(?i)\\bSept ", "Sep ")

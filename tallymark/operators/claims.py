@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, first_seen, split_lines, squeeze
+from ..functions.text import blank, first_seen, split_lines, squeeze, with_value
 from .ordered import earliest_by_key, latest_by_key, next_by_key
 
 SCALARS = (
@@ -188,21 +188,22 @@ def extraction_claims(extractions: DataFrame) -> DataFrame:
     extractions: review_id, identity struct, profile struct as produced by the resume plan.
     """
     none = F.array().cast("array<string>")
+    no_entry = [F.lit("").alias("heading"), F.lit("").alias("subheading"), F.lit("").alias("dates"), none.alias("details")]
 
     def claim(key, path, section, kind, position, text=None, entry=None) -> Column:
-        get = lambda f: squeeze(entry[f]) if entry is not None else F.lit("")
-        details = (
-            F.filter(F.transform(entry["details"], squeeze), lambda x: x != "") if entry is not None else none
-        )
-        value = squeeze(text) if text is not None else F.lit("")
-        spoken = F.array_join(
-            F.filter(F.concat(F.array(get("heading"), get("subheading"), get("dates")), details), lambda x: x != ""), "\n"
-        )
-        return F.struct(
+        what = [
             key.alias("claim_key"), F.lit(path).alias("field_path"), F.lit(section).alias("section"),
-            F.lit(kind).alias("claim_type"), position.cast("int").alias("position"), value.alias("text"),
-            get("heading").alias("heading"), get("subheading").alias("subheading"), get("dates").alias("dates"),
-            details.alias("details"), (value if entry is None else spoken).alias("fallback"),
+            F.lit(kind).alias("claim_type"), position.cast("int").alias("position"),
+        ]
+        if entry is None:
+            return with_value(squeeze(text), lambda v: F.struct(*what, v.alias("text"), *no_entry, v.alias("fallback")))
+        names = ("heading", "subheading", "dates")
+        details = F.filter(F.transform(entry["details"], squeeze), lambda x: x != "")
+        spoken = lambda e: F.array_join(F.filter(F.concat(F.array(*[e[n] for n in names]), e["details"]), lambda x: x != ""), "\n")
+        tidy = F.struct(*[squeeze(entry[n]).alias(n) for n in names], details.alias("details"))
+        return with_value(
+            tidy,
+            lambda e: F.struct(*what, F.lit("").alias("text"), *[e[n].alias(n) for n in (*names, "details")], spoken(e).alias("fallback")),
         )
 
     parts = [

@@ -13,7 +13,7 @@ def plan_of(rows):
 def test_parts_of_an_address_are_read_once(spark):
     urls = ["https://a.example/b", "HTTP://User@A.example:80//x//y/?b=2&utm_x=1&a=1#f", " https://h:8443 ", "", None, "//h/p/", "x?q=é"]
     rows = spark.createDataFrame([(u,) for u in urls], "u string").select(U.normalize_url(F.col("u")).alias("key"))
-    assert plan_of(rows).count("regexp_extract") <= 12
+    assert plan_of(rows).count("regexp_extract") <= 15
     assert [r["key"] for r in rows.collect()] == [
         "https://a.example/b", "http://a.example/x/y?a=1&b=2", "https://h:8443/", "", "", "//h/p", "x?q=%C3%A9"
     ]
@@ -27,3 +27,27 @@ def test_strip_takes_the_white_space_of_the_pattern(spark):
     assert stripped.where("s <> p").count() == 0
     assert stripped.where(F.col("q") != F.trim(F.regexp_replace("p", f"[{X.WHITE}]+", " "))).count() == 0
     assert "regexp" not in plan_of(rows.select(X.strip(F.col("t"))))
+
+
+def test_an_entry_reads_its_lines_for_a_date_only_where_its_head_has_none(spark):
+    from tallymark.plans.resume import read_entry
+
+    blocks = [
+        ["Analyst | Works, May 2020", "Boston | Fall 2019", "June 2018 did this", "May 2020"], ["Analyst", "Works | 2019 - present", "did that"],
+        ["Analyst", "went on in lower case", "since May 2021"], ["Only"], ["2019", "X"],
+    ]
+    rows = spark.createDataFrame([(b,) for b in blocks], "b array<string>").select(read_entry(F.col("b")).alias("e"))
+    assert plan_of(rows).count("(?:19|20)") <= 8
+    got = [(r["e"]["heading"], r["e"]["subheading"], r["e"]["dates"], r["e"]["details"]) for r in rows.collect()]
+    assert got == [
+        ("Analyst", "Works", "May 2020", ["Boston | Fall 2019", "June 2018 did this"]), ("Analyst", "Works", "2019 - present", ["did that"]),
+        ("Analyst", "", "May 2021", ["went on in lower case", "since May 2021"]), ("Only", "", "", []), ("2019", "X", "2019", []),
+    ]
+
+
+def test_headings_are_found_behind_marks_and_long_lines_are_none(spark):
+    from tallymark.plans.resume import HEADINGS, numbered_lines
+
+    lines = [m.format(h) for h in HEADINGS for m in ("{}", "• {}:", "  {} ____", "({})", "{}" + "." * 90)] + ["Licenses & Certifications", "x" * 50, "skills " * 9]
+    text = spark.createDataFrame([("\n".join(lines),)], "t string").select(numbered_lines(F.col("t")).alias("l")).first()["l"]
+    assert sum(x["section"] is not None for x in text) == 5 * len(HEADINGS) + 1
