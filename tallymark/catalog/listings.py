@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import calibration as C
 from ..operators import listing as L
 from ..operators.scoring import classify
+from ..operators.spread import kept
 from ..sources.tables import table
 from .registry import query
 from .views import AS_OF, CALIBRATION, POSTINGS, PREDICTIONS, VALIDATION, postings, predictions
@@ -298,8 +299,9 @@ def srt_04(spark, sf):
 SELECT 'newest' AS sorted_by, job_id, row_number() OVER (ORDER BY created_at DESC, job_id) AS rank FROM shown
 UNION ALL SELECT 'reset', job_id, row_number() OVER (ORDER BY lower(company), lower(title), job_id) FROM shown""")
 def srt_05(spark, sf):
-    rows = shown(spark, sf)
-    newest = L.ranked_rows(rows, "newest").select(F.lit("newest").alias("sorted_by"), "job_id", "rank")
+    # Both orders, and whether a row is blind, are read from what was joined once.
+    rows = kept(shown(spark, sf).select("job_id", "created_at", "company", "title", "blind", "classification", "has_requirements", "score", "coverage"), "shown")
+    newest = L.ranked_rows(rows.select("job_id", "created_at"), "newest").select(F.lit("newest").alias("sorted_by"), "job_id", "rank")
     # Blind rows are present, so the score order falls back to company order.
     reset = L.ranked_rows(rows, "match_high").select(F.lit("reset").alias("sorted_by"), "job_id", "rank")
     return newest.unionByName(reset)

@@ -51,3 +51,13 @@ def test_headings_are_found_behind_marks_and_long_lines_are_none(spark):
     lines = [m.format(h) for h in HEADINGS for m in ("{}", "• {}:", "  {} ____", "({})", "{}" + "." * 90)] + ["Licenses & Certifications", "x" * 50, "skills " * 9]
     text = spark.createDataFrame([("\n".join(lines),)], "t string").select(numbered_lines(F.col("t")).alias("l")).first()["l"]
     assert sum(x["section"] is not None for x in text) == 5 * len(HEADINGS) + 1
+
+
+def test_both_orders_of_the_postings_are_ranked_from_one_written_join(spark, sf, monkeypatch):
+    from tallymark.catalog import listings
+    from tallymark.operators import listing as L
+
+    plans, rank = [], L.global_rank
+    monkeypatch.setattr(L, "global_rank", lambda rows, *rest: plans.append(plan_of(rows)) or rank(rows, *rest))
+    listings.srt_05(spark, sf)
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
