@@ -1,5 +1,6 @@
 """Costly parts of a row are worked out once, however often their values are used."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallymark.functions import text as X
@@ -61,3 +62,18 @@ def test_both_orders_of_the_postings_are_ranked_from_one_written_join(spark, sf,
     monkeypatch.setattr(L, "global_rank", lambda rows, *rest: plans.append(plan_of(rows)) or rank(rows, *rest))
     listings.srt_05(spark, sf)
     assert len(plans) == 2 and not any("Join" in p for p in plans)
+
+
+def test_lists_of_a_day_are_gathered_before_they_are_compared_and_matched(spark, sf, monkeypatch):
+    from tallymark.catalog import reevaluation
+
+    plans = []
+
+    def stop(postings, asked, profiles):
+        plans.extend([plan_of(asked), plan_of(profiles)])
+        raise StopIteration
+
+    monkeypatch.setattr(reevaluation.R, "fingerprinted_pairs", stop)
+    with pytest.raises(StopIteration):
+        reevaluation.two_runs(spark, sf)
+    assert plans and not any("Aggregate" in p for p in plans)
