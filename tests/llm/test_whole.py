@@ -139,3 +139,20 @@ def test_sketches_keep_every_pair_of_enough_likeness_and_part_most_others():
         else:
             shut += differ * 9 > len(a) + len(b)
     assert shut > 100
+
+
+def test_a_hot_list_makes_a_pair_once_not_in_every_list_its_members_share(spark, monkeypatch):
+    """Sixteen sets near LEAST but apart share 60 common shingles in a row: a pair comes from the first of them alone."""
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    shared = list(range(100, 160))
+    nodes = [(i, 200, [0] * (jaccard.SKETCH // 64), [], shared) for i in range(1, 17)]
+    kind = "f long, n int, sketch array<long>, rare array<long>, common array<long>"
+    seen = {}
+    monkeypatch.setattr(jaccard, "verified", lambda rows, text, pairs: seen.setdefault("pairs", pairs).limit(0))
+    keep = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda rows, name: seen.setdefault(name, keep(rows, name)))
+    jaccard.links(spark.range(0), "id", spark.createDataFrame(nodes, kind))
+    hot, apart, tried = (seen[k] for k in ("hot", "apart", "tried"))
+    assert apart.count() + tried.count() == 16 * 15 // 2
+    joined = hot.alias("x").join(hot.alias("y"), "s").where("x.f > y.f AND NOT x.before <=> y.before")
+    assert hot.count() == 16 * 60 and hot.where("before IS NULL").select("s").distinct().count() == 1 and joined.count() == 0
