@@ -40,3 +40,18 @@ def contained_pairs(
     right = contained.withColumn("_gram", key).where(F.col("_gram").isNotNull())
     joined = left.join(right, [*on, "_gram"])
     return joined.where(F.contains(F.col(container_text), F.col(contained_text))).drop("_gram")
+
+
+def piecewise_pairs(containers: DataFrame, contained: DataFrame, container_text: str, contained_text: str, piece: int) -> DataFrame:
+    """Pairs with contains(container_text, contained_text), one row per pair of rows, for contained texts of 2 * piece - 1 or more.
+
+    Containers are cut into pieces from their start; a contained text is looked up by each of its first `piece` runs. Of
+    the places where a pair meets, only the first whole piece of the first occurrence counts.
+    """
+    pieces = F.regexp_extract_all(F.col(container_text), F.lit(f"(?s).{{{piece}}}"), F.lit(0))
+    left = containers.select("*", F.posexplode(pieces).alias("_at", "_gram"))
+    runs = F.transform(F.sequence(F.lit(0), F.lit(piece - 1)), lambda i: F.substring(F.col(contained_text), i + 1, F.lit(piece)))
+    right = contained.select("*", F.posexplode(runs).alias("_off", "_gram"))
+    first = F.instr(F.col(container_text), F.col(contained_text))
+    joined = left.join(right, "_gram").where((first > 0) & (first - 1 + F.col("_off") == F.col("_at") * piece))
+    return joined.drop("_gram", "_at", "_off")

@@ -129,3 +129,23 @@ def test_listing_state_is_asked_once_for_each_listing_however_many_days_a_batch_
         want[(name,)] = (min(d for d, n in seen if n == name), last, min((d for d in ends if d > last), default=-1))
     assert state.held == want
     assert state.asked <= 2 * (1 + 2 * len(names))
+
+
+def test_a_text_has_a_key_for_every_piece_and_pairs_equal_brute_force(spark):
+    """Passages of every length, over few letters, in texts that repeat and overlap them, rows and passages repeated."""
+    import random
+
+    from tallymark.operators.containment import piecewise_pairs
+    from tallymark.operators.grounding import shared_passages
+
+    roll = random.Random(5)
+    texts = ["".join(roll.choice("abß漢") for _ in range(roll.randrange(120))) for _ in range(40)] + ["ab" * 60, "ab" * 60, "", None]
+    passages = [t[i : i + roll.randrange(1, 60)] for t in texts[:20] for i in (0, 7, 30)] + ["ab" * 20, "ab" * 20, "漢", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    fold = lambda t: (t or "").replace("ß", "ss")
+    want = sorted((d, i) for d, t in enumerate(texts) for i, p in enumerate(passages) if p and fold(p) in fold(t))
+    assert sorted(tuple(r) for r in shared_passages(docs, items).collect()) == want and len(want) > 200
+    # A text of 120 characters has a key for each of its seven whole pieces, not one for each place.
+    plan = piecewise_pairs(docs.withColumnRenamed("text", "t"), items.withColumnRenamed("text", "p"), "t", "p", 16)
+    assert "(?s).{16}" in plan._jdf.queryExecution().optimizedPlan().toString()
