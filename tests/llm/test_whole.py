@@ -64,6 +64,16 @@ def test_near_copies_by_row(spark):
     assert jaccard.keep_one(docs.limit(0), "doc_id", "text").collect() == []
 
 
+def test_rows_with_their_nulls_in_other_columns_are_judged_each_for_itself(spark):
+    """A text was lost with a row of the same key that holds the same word in another column."""
+    rows = [(1, None, "x", None), (1, "x", None, [None, "a"]), (2, None, "y", None), (3, "z", None, ["a", None]), (3, "z", None, [None, "a"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, tags array<string>")
+    held = sorted((tuple(r)[:3] for r in jaccard.keep_one(docs, "doc_id", "text").collect()), key=str)
+    assert held == [(1, "x", None), (1, None, "x"), (3, "z", None)]
+    mapped = spark.createDataFrame([(1, "one two", {"a": None}), (2, "one two", {}), (3, None, None)], "doc_id long, text string, more map<string,string>")
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(mapped, "doc_id", "text").collect()) == [1, 3]
+
+
 def question(seed, n=50):
     roll = random.Random(seed)
     return [f"q{roll.randrange(3000)}" for _ in range(n)]
