@@ -20,7 +20,7 @@ from ..operators.evidence import FixedTags, TableTags, best_evidence, pool
 from ..operators.ordered import top_k
 from ..operators.rowmatch import text_features, with_scan
 from ..operators.semantic import best_semantic, similar_texts
-from ..operators.spread import fence, spread
+from ..operators.spread import fence, kept, spread
 from ..operators.vocabulary import Vocabulary, symmetric_relations, tag_with_table
 from ..plans.matcher import evidence_rows, match
 from ..sources.tables import table
@@ -130,16 +130,18 @@ def profiles(spark, sf):
     )
 
 
-def matched(spark, sf, layers=4):
+def matched(spark, sf, layers=4, carry=()):
     posting, requirement = jobs(spark, sf)
-    return match(posting, requirement, profiles(spark, sf), layers=layers)
+    return match(posting, requirement, profiles(spark, sf), layers=layers, carry=carry)
 
 
 @query("mat_ranked_dashboard")
 def ranked(spark, sf):
     """All postings of all orders scored by all four layers, every pair with its rank (SRT-01)."""
-    rows = matched(spark, sf).join(jobs(spark, sf)[0].select("job_id", "created_at"), "job_id")
+    rows = matched(spark, sf, carry=("created_at",))
     rows = rows.select("job_id", "profile_id", "score", "coverage", "classification", "track", "has_requirements", "created_at", F.lit(False).alias("blind"))
+    # Ranges are sampled before rows are dealt out: the pairs are scored once for both.
+    rows = kept(rows, "scored")
     ranked_pairs = L.ranked_rows(rows, "match_high", False)
     return ranked_pairs.select("rank", "job_id", "profile_id", "score", "coverage", "classification", "track")
 

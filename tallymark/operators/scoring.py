@@ -59,15 +59,24 @@ def classify(score: Column, coverage: Column, blocked: Column) -> Column:
     return result.otherwise("WEAK MATCH")
 
 
-def weighted_score(parts: dict[str, tuple[Column, Column]], weights: dict[str, int]) -> tuple[Column, Column]:
-    """AGG-02 across category columns: key -> (fraction, available). Returns score and coverage."""
+def weighed_sums(parts: dict[str, tuple[Column, Column]], weights: dict[str, int]) -> tuple[Column, Column]:
+    """AGG-02 across category columns: key -> (fraction, available). Returns the available and the earned weight."""
     total = earned = F.lit(0.0)
     for key, (fraction, available) in parts.items():
         bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction))
         total = total + F.when(available, F.lit(float(weights[key]))).otherwise(0.0)
         earned = earned + F.when(available, weights[key] * bounded).otherwise(0.0)
-    score = F.when(total > 0, half_even(100 * earned / total)).otherwise(F.lit(0))
-    return score, half_even(total)
+    return total, earned
+
+
+def score_of_sums(total: Column, earned: Column) -> tuple[Column, Column]:
+    """Score and coverage of the two sums."""
+    return F.when(total > 0, half_even(100 * earned / total)).otherwise(F.lit(0)), half_even(total)
+
+
+def weighted_score(parts: dict[str, tuple[Column, Column]], weights: dict[str, int]) -> tuple[Column, Column]:
+    """AGG-02 in one step: score and coverage."""
+    return score_of_sums(*weighed_sums(parts, weights))
 
 
 def weighted_score_rows(rows: DataFrame, keys, weight="weight", earned="earned", available="available") -> DataFrame:

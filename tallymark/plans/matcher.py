@@ -5,10 +5,17 @@ back to the (posting, profile) pairs, one row per pair: the matches of texts tha
 postings ask for are looked up by place in an array of the profile's row, those of
 the rest are joined and gathered. From there all four layers are column expressions on
 that row. A pair's arrays are as long as one posting's own requirement lists.
+
+Scores, coverage and tracks are worked out from numbers (`_facts_by_place`, `_facts_of_items`), the lists of evidence
+beside them, so that a query that asks for no evidence builds none. Evidence goes by labels: postings that ask for a
+skill which reads like the label of another category are scored by their lists of evidence instead.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +23,9 @@ from ..functions.numbers import half_even
 from ..functions.text import blank, constant_map, normalize_text, split_evidence
 from ..operators.listing import choose, has_content
 from ..operators.scoring import (
-    ARRANGEMENT_LABELS, BASE_WEIGHTS, CATEGORIES, EMPLOYMENT_LABELS, MODEL_A, arrangement_match, classify,
-    deal_breaker_hits, denies_sponsorship, experience_match, needs_sponsorship, searchable_text, two_part,
-    weighted_score,
+    ARRANGEMENT_LABELS, BASE_WEIGHTS, CATEGORIES, EMPLOYMENT_LABELS, MODEL_A, PROFILE_YEARS, arrangement_match, classify,
+    denies_sponsorship, experience_match, needs_sponsorship, searchable_text, two_part,
+    weighed_sums, score_of_sums,
 )
 from ..operators.ordered import top_k
 from ..operators.rowmatch import text_features, vector_features, with_scan, with_semantic_scan
@@ -28,9 +35,15 @@ from ..operators.vocabulary import ENTRY_TERMS, SOFTWARE_TERMS, Vocabulary, ment
 MATCHER_VERSION = "tallymark-matcher-1"
 # How many texts of a scope are looked up by place instead of joined, and how many postings must ask for each.
 COMMON_TEXTS, COMMON_USES = 256, 20
+# A map is searched from its first key to its last: the places of a scope's texts are dealt to so many maps by hash.
+SLOTS = 64
 TRANSFERABLE_ROLE, SOFTWARE_ROLE = 0.70, 0.80
 DIRECT_INDUSTRY, RELATED_INDUSTRY, DIRECT_ROLE = 0.85, 0.55, 0.85
 PRIORITY, ADJACENT, OUTSIDE = "PRIORITY ROLE", "ADJACENT OPPORTUNITY", "OUTSIDE PRIORITY"
+# Beginnings of the labels of evidence that is no skill.
+LABELS = ("Role:", "Required education:", "Preferred education:", "Experience:", "Industry:", "Location:", "Work arrangement:", "Employment type:")
+# A match as a number: missing, missing with semantic credit to offer, related, direct.
+GAP, OFFERED, NEAR, SAME = 0, 1, 2, 3
 
 _ITEM = (
     "struct<category:string,ordinal:int,requirement:string,match_type:string,evidence:string,concept:string,"
@@ -44,6 +57,9 @@ POOLS = {
     "required_education": "education", "preferred_education": "education",
     "industry": "industry", "location": "location",
 }
+# Categories of which the strongest item counts, and those of which all do.
+SINGLE = {"role": "role", "school_required": "required_education", "school_preferred": "preferred_education", "industry": "industry", "location": "location"}
+LISTS = {"required": "required_skills", "preferred": "preferred_skills"}
 
 
 def _joined(*lists: Column) -> Column:
@@ -71,6 +87,16 @@ def semantic_pools(profiles: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
     return profiles, {**pools, "industry": _joined(F.col("target_industries"), school, context)}
 
 
+def _requirements() -> dict[str, Column]:
+    """The requirement texts of a posting row by category."""
+    present = lambda *cs: F.filter(F.array(*[blank(c) for c in cs]), lambda x: x != "")
+    lists = {c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in POOLS if c not in ("role", "industry", "location")}
+    return {
+        "role": present(F.col("role_family"), F.col("title")), **lists,
+        "industry": present(F.col("industry")), "location": present(F.col("location")),
+    }
+
+
 def _items() -> Column:
     """Requirement items of a posting row as array<struct<category, ordinal, requirement>>."""
 
@@ -80,17 +106,7 @@ def _items() -> Column:
             lambda x, i: F.struct(F.lit(category).alias("category"), i.alias("ordinal"), x.alias("requirement")),
         )
 
-    present = lambda *cs: F.filter(F.array(*[blank(c) for c in cs]), lambda x: x != "")
-    lists = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
-    return F.concat(
-        each("role", present(F.col("role_family"), F.col("title"))),
-        each("required_skills", lists("required_skills")),
-        each("preferred_skills", lists("preferred_skills")),
-        each("required_education", lists("required_education")),
-        each("preferred_education", lists("preferred_education")),
-        each("industry", present(F.col("industry"))),
-        each("location", present(F.col("location"))),
-    )
+    return F.concat(*[each(category, values) for category, values in _requirements().items()])
 
 
 def match(
@@ -102,20 +118,24 @@ def match(
     manual_profiles: DataFrame | None = None,
     layers: int = 4,
     only: DataFrame | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Score every posting against the profiles of its scope.
 
     `scope` names the columns postings and profiles share (JOIN-02); a single
     candidate is one profile per scope. `manual_profiles` feeds the semantic layer
     where `profiles` carries a snapshot overlay. `only` (job_id, profile_id) names the
-    pairs to match: no other posting is prepared and no other text is compared.
+    pairs to match: no other posting is prepared and no other text is compared. `carry` names columns of the postings
+    that go on to their results.
     """
     vocabulary = vocabulary or Vocabulary()
     scope = tuple(scope)
     if only is not None:
         postings = postings.join(only, "job_id", "left_semi")
         profiles = profiles.join(only, "profile_id", "left_semi")
-    jobs = _prepare(postings, requirements, scope).withColumn("asked", _items())
+    # Read by the two phases of matching and the pairs; by the texts, their uses and the pairs.
+    profiles = kept(profiles, "profiles")
+    jobs = kept(_prepare(postings, requirements, scope, carry).withColumn("asked", _items()), "jobs")
     items = _exploded(jobs, scope)
     if only is not None:
         items = items.join(only, "job_id")
@@ -124,33 +144,41 @@ def match(
     found = kept(found.join(common, [*scope, "pool", "requirement"], "left"), "texts_matched")
 
     # Common texts: their matches travel with the profile and are looked up by place, so no row per item is shuffled.
-    places = kept(common.groupBy(*scope).agg(F.map_from_entries(F.collect_list(
-        F.struct(_text_key(F.col("pool"), F.col("requirement")).alias("key"), F.col("place").alias("value"))
-    )).alias("places")), "places")
+    places = common.select(*scope, "place", _text_key(F.col("pool"), F.col("requirement")).alias("key"))
+    places = places.groupBy(*scope, _slot(F.col("key")).alias("slot")).agg(F.map_from_entries(F.collect_list(F.struct("key", "place"))).alias("keys"))
+    places = places.groupBy(*scope).agg(F.map_from_entries(F.collect_list(F.struct("slot", "keys"))).alias("slots"))
+    slots = F.sequence(F.lit(0), F.lit(SLOTS - 1))
+    places = kept(places.select(*scope, F.transform(slots, lambda i: F.try_element_at("slots", i)).alias("places")), "places")
     by_place = found.where("place IS NOT NULL").groupBy(*scope, "profile_id").agg(
         F.map_from_entries(F.collect_list(F.struct("place", _hit().alias("hit")))).alias("hits")
     )
     sides = _profile_side(profiles, scope).join(by_place, [*scope, "profile_id"], "left")
-    at = F.sequence(F.lit(0), F.lit(COMMON_TEXTS - 1))
-    sides = kept(sides.withColumn("hits", F.transform(at, lambda i: F.try_element_at("hits", i))), "profile_sides")
-    jobs = jobs.join(places, list(scope), "left").withColumn("asked", F.transform("asked", lambda x: F.struct(
-        x["category"], x["ordinal"], x["requirement"],
-        F.try_element_at("places", _text_key(_pool_of(x["category"]), x["requirement"])).alias("place"),
-    ))).drop("places")
-    rows = jobs.join(sides, list(scope))
-    if only is not None:
-        rows = rows.join(only, ["job_id", "profile_id"], "left_semi")
-    looked_up = F.transform("asked", lambda x: F.struct(x.alias("x"), F.get("hits", x["place"]).alias("hit")))
-    rows = rows.withColumn("found", F.transform(
-        F.filter(looked_up, lambda y: y["hit"].isNotNull()),
-        lambda y: F.struct(
-            *[y["x"][c].alias(c) for c in ("category", "ordinal", "requirement")],
-            *[y["hit"][c].alias(c) for c in ("match_type", "evidence", "concept", "strength", "semantic")],
-        ),
-    )).drop("hits")
+    at = F.sequence(F.lit(0), F.array_max(F.map_keys("hits")))
+    sides = sides.withColumn("hits", F.transform(at, lambda i: F.try_element_at("hits", i)))
+    sides = kept(sides.withColumns({
+        "codes": F.transform("hits", _code), "strengths": F.transform("hits", lambda h: h["strength"]), "credits": F.transform("hits", _credit),
+    }), "profile_sides")
+    jobs = jobs.join(places, list(scope), "left")
+    place_of = lambda x: _place(_text_key(_pool_of(x["category"]), x["requirement"]))
+    placed = ~F.exists("asked", lambda x: x["requirement"].isNotNull() & place_of(x).isNull())
+    spots = {f"{name}_at": _places_of(category) for name, category in {**SINGLE, **LISTS}.items()}
+
+    def paired(some: DataFrame) -> DataFrame:
+        asked = F.transform("asked", lambda x: F.struct(x["category"], x["ordinal"], x["requirement"], place_of(x).alias("place")))
+        rows = some.withColumn("asked", asked).drop("places").join(sides, list(scope))
+        if only is not None:
+            rows = rows.join(only, ["job_id", "profile_id"], "left_semi")
+        looked_up = F.transform("asked", lambda x: F.struct(x.alias("x"), F.get("hits", x["place"]).alias("hit")))
+        return rows.withColumn("found", F.transform(
+            F.filter(looked_up, lambda y: y["hit"].isNotNull()),
+            lambda y: F.struct(
+                *[y["x"][c].alias(c) for c in ("category", "ordinal", "requirement")],
+                *[y["hit"][c].alias(c) for c in ("match_type", "evidence", "concept", "strength", "semantic")],
+            ),
+        ))
 
     # Texts that few postings ask for: one row per item and profile, gathered again.
-    rare = found.where("place IS NULL").drop("place")
+    rare, gathered = found.where("place IS NULL").drop("place"), None
     if not rare.isEmpty():
         joined = items.join(rare, [*scope, "pool", "requirement", *(["profile_id"] if only is not None else [])])
         gathered = joined.groupBy("job_id", "profile_id").agg(
@@ -159,9 +187,33 @@ def match(
         gathered = gathered.withColumn("rare", F.transform("rare", lambda x: F.struct(
             x["category"], x["ordinal"], x["requirement"], *[x["hit"][c].alias(c) for c in ("match_type", "evidence", "concept", "strength", "semantic")],
         )))
+
+    def completed(some: DataFrame) -> DataFrame:
+        rows = paired(some)
+        if gathered is None:
+            return rows
         rows = rows.join(gathered, ["job_id", "profile_id"], "left")
-        rows = rows.withColumn("found", F.concat("found", F.coalesce("rare", F.slice("found", 1, 0)))).drop("rare")
-    return fence(_score(_categories(rows), layers), "pairs_scored")
+        none = F.array().cast(f"array<{_ITEM}>")
+        return rows.withColumn("found", F.concat(F.coalesce("found", none), F.coalesce("rare", none))).drop("rare")
+
+    plain = jobs.where("NOT odd")
+    common_only = plain if gathered is None else plain.where(placed)
+    parts = [_score(_categories(_facts_by_place(paired(common_only.withColumns(spots)))), layers, carry)]
+    if gathered is not None:
+        parts.append(_score(_categories(_facts_of_items(completed(plain.where(~placed)))), layers, carry))
+    odd = jobs.where("odd")
+    if not odd.isEmpty():
+        parts.append(_score(_categories(_facts_of_items(completed(odd))), layers, carry, by_label=True))
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
+    return fence(scored, "pairs_scored")
+
+
+def _places_of(category: str) -> Column:
+    """The places of a posting's texts of one category, in their order."""
+    key = lambda x: F.concat(F.lit(f"{POOLS[category]}:"), x)
+    return F.filter(F.transform(_requirements()[category], lambda x: _place(key(x))), lambda p: p.isNotNull())
 
 
 def _exploded(jobs: DataFrame, scope) -> DataFrame:
@@ -181,6 +233,15 @@ def _text_key(pool: Column, requirement: Column) -> Column:
     return F.concat(pool, F.lit(":"), requirement)
 
 
+def _slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+
+
+def _place(key: Column) -> Column:
+    """The place of a text's key, NULL for none."""
+    return F.try_element_at(F.get("places", _slot(key)), key)
+
+
 def _common_texts(items: DataFrame, scope) -> DataFrame:
     """The texts of a scope that most postings ask for, at most COMMON_TEXTS, with their places from 0."""
     uses = items.where(F.col("requirement").isNotNull()).groupBy(*scope, "pool", "requirement").agg(F.count("*").alias("uses"))
@@ -196,7 +257,55 @@ def _hit() -> Column:
     )
 
 
-def _prepare(postings: DataFrame, requirements: DataFrame, scope) -> DataFrame:
+def _code(hit: Column) -> Column:
+    """What a match is, as a number."""
+    gap = F.when(hit["semantic"].isNotNull(), OFFERED).otherwise(GAP)
+    return F.when(hit["match_type"] == "direct", SAME).when(hit["match_type"] == "related", NEAR).otherwise(gap).cast("byte")
+
+
+def _credit(hit: Column) -> Column:
+    """The strength of a match once semantic credit is given."""
+    return F.when((hit["match_type"] == "missing") & hit["semantic"].isNotNull(), hit["semantic"]["strength"]).otherwise(hit["strength"])
+
+
+def _facts_by_place(rows: DataFrame) -> DataFrame:
+    """The numbers of a pair's matches, where all its texts have a place: the strongest of one category, sums of the lists."""
+    strength = lambda p: F.get("strengths", p)
+    best = lambda at: F.aggregate(
+        at, F.lit(None).cast("int"), lambda b, p: F.when(b.isNull() | (strength(p) > strength(b)), p).otherwise(b)
+    )
+    total = lambda at, values: F.aggregate(at, F.lit(0.0), lambda t, p: t + F.get(values, p))
+    rows = rows.withColumns({f"{k}_place": best(F.col(f"{k}_at")) for k in SINGLE})
+    facts = {}
+    for k in SINGLE:
+        facts |= {f"{k}_{name}": F.get(values, F.col(f"{k}_place")) for name, values in (("code", "codes"), ("strength", "strengths"), ("credit", "credits"))}
+    for k in LISTS:
+        at = F.col(f"{k}_at")
+        facts |= {
+            f"{k}_n": F.size(at), f"{k}_sum": total(at, "strengths"), f"{k}_credit": total(at, "credits"),
+            f"{k}_offer": F.exists(at, lambda p: F.get("codes", p) == OFFERED),
+        }
+    return rows.withColumns(facts)
+
+
+def _facts_of_items(rows: DataFrame) -> DataFrame:
+    """The same from the matches themselves."""
+    first = {k: F.struct(_code(x).alias("code"), x["strength"].alias("strength"), _credit(x).alias("credit"))
+             for k, x in ((k, F.col(f"_{k}")) for k in SINGLE)}
+    rows = rows.withColumns({f"_{k}": _first_best(_of(c)) for k, c in SINGLE.items()} | {f"_{k}": _of(c) for k, c in LISTS.items()})
+    facts = {}
+    for k, x in first.items():
+        facts |= {f"{k}_{name}": F.when(F.col(f"_{k}").isNotNull(), x[name]) for name in ("code", "strength", "credit")}
+    for k in LISTS:
+        x = F.col(f"_{k}")
+        facts |= {
+            f"{k}_n": F.size(x), f"{k}_sum": F.aggregate(x, F.lit(0.0), lambda t, y: t + y["strength"]),
+            f"{k}_credit": F.aggregate(x, F.lit(0.0), lambda t, y: t + _credit(y)), f"{k}_offer": F.exists(x, lambda y: _code(y) == OFFERED),
+        }
+    return rows.withColumns(facts).drop(*[f"_{k}" for k in (*SINGLE, *LISTS)])
+
+
+def _prepare(postings: DataFrame, requirements: DataFrame, scope, carry=()) -> DataFrame:
     """One row per posting with everything that does not depend on a profile."""
     facts = has_content(requirements)
     jobs = postings.join(facts, "job_id", "left")
@@ -206,16 +315,26 @@ def _prepare(postings: DataFrame, requirements: DataFrame, scope) -> DataFrame:
         F.array_join("hard_disqualifiers", "\n"), F.col("work_authorization"),
     )
     role_text = normalize_text(F.concat_ws("\n", blank(F.col("role_family")), F.col("title")))
+    none = F.array().cast("array<string>")
+    skills = F.concat(F.coalesce("required_skills", none), F.coalesce("preferred_skills", none))
+    label = lambda x: F.coalesce(reduce(or_, [x.startswith(p) for p in LABELS]), F.lit(False))
     return jobs.select(
-        *scope, "job_id", blank(F.col("title")).alias("title"), blank(F.col("location")).alias("location"),
+        *scope, "job_id", *[F.col(c).alias(f"_carry_{c}") for c in carry], F.exists(skills, label).alias("odd"), blank(F.col("title")).alias("title"), blank(F.col("location")).alias("location"),
         F.coalesce("employment_type", F.lit("unknown")).alias("employment_type"),
         F.coalesce("work_arrangement", F.lit("unknown")).alias("work_arrangement"),
         F.coalesce("has_content", F.lit(False)).alias("has_requirements"),
         F.coalesce("experience_range", F.lit("Not specified")).alias("experience_range"),
         blank(F.col("role_family")).alias("role_family"), blank(F.col("industry")).alias("industry"),
         F.coalesce("seniority_level", F.lit("unknown")).alias("seniority_level"), "min_years",
+        # The fraction for a profile of each level, and of no known level.
+        F.array(*[
+            experience_match(F.col("min_years"), F.coalesce("seniority_level", F.lit("unknown")), F.lit(level))["fraction"] for level in (*PROFILE_YEARS, "")
+        ]).alias("experience_fractions"),
         "required_skills", "preferred_skills", "required_education", "preferred_education", "hard_disqualifiers",
         blank(F.col("work_authorization")).alias("job_authorization"),
+        denies_sponsorship(blank(F.col("work_authorization"))).alias("denies_sponsorship"),
+        (normalize_text(blank(F.col("work_authorization"))) != "").alias("states_authorization"),
+        F.contains(normalize_text(blank(F.col("location"))), F.lit("remote")).alias("remote_job"),
         text.alias("norm_text"),
         mentions(role_text, ENTRY_TERMS).alias("entry_role"),
         mentions(role_text, SOFTWARE_TERMS).alias("software_role"),
@@ -223,9 +342,17 @@ def _prepare(postings: DataFrame, requirements: DataFrame, scope) -> DataFrame:
 
 
 def _profile_side(profiles: DataFrame, scope) -> DataFrame:
+    texts = F.array().cast("array<string>")
+    breakers = F.transform(F.coalesce("deal_breakers", texts), lambda b: F.struct(b.alias("text"), normalize_text(b).alias("norm")))
     return profiles.select(
-        *scope, "profile_id", "experience_level", "preferred_arrangement", "preferred_employment",
-        "preferred_locations", "deal_breakers", blank(F.col("work_authorization")).alias("work_authorization"),
+        *scope, "profile_id", "experience_level",
+        F.coalesce(F.array_position(F.array(*[F.lit(x) for x in (*PROFILE_YEARS, "")]), F.col("experience_level")), F.lit(0)).cast("int").alias("level_place"),
+        "preferred_arrangement", "preferred_employment",
+        F.filter(breakers, lambda b: b["norm"] != "").alias("breakers"),
+        needs_sponsorship(blank(F.col("work_authorization"))).alias("needs_sponsorship"),
+        F.get(
+            F.filter(F.coalesce("preferred_locations", texts), lambda p: F.contains(normalize_text(p), F.lit("remote"))), F.lit(0)
+        ).alias("remote_place"),
         (F.size(F.coalesce("target_roles", F.array())) > 0).alias("has_targets"),
         (F.size(F.coalesce("target_industries", F.array())) > 0).alias("has_industries"),
         (F.size(F.coalesce("preferred_locations", F.array())) > 0).alias("has_locations"),
@@ -312,29 +439,18 @@ def _categories(rows: DataFrame) -> DataFrame:
             "location_item": _first_best(_of("location")),
         }
     )
-    mean = lambda c: F.when(
-        F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda t, x: t + x["strength"]) / F.size(c)
-    ).otherwise(0.0)
-    remote_place = F.get(
-        F.filter(
-            F.coalesce("preferred_locations", F.array().cast("array<string>")),
-            lambda p: F.contains(normalize_text(p), F.lit("remote")),
-        ),
-        F.lit(0),
-    )
-    remote = (
-        (F.col("location_item.match_type") == "missing")
-        & F.contains(normalize_text(F.col("location")), F.lit("remote"))
-        & remote_place.isNotNull()
-    )
+    mean = lambda k: F.when(F.col(f"{k}_n") > 0, F.col(f"{k}_sum") / F.col(f"{k}_n")).otherwise(0.0)
+    remote_place = F.col("remote_place")
+    remote = (F.col("location_code") <= OFFERED) & F.col("remote_job") & remote_place.isNotNull()
     years = experience_match(F.col("min_years"), F.col("seniority_level"), F.col("experience_level"))
     desk = arrangement_match(F.col("work_arrangement"), F.col("preferred_arrangement"))
     rows = rows.withColumns(
         {
-            "role_on": F.col("has_targets") & F.col("role_item").isNotNull(),
+            "role_on": F.col("has_targets") & F.col("role_code").isNotNull(),
+            "role_shown": F.col("has_targets") & F.col("role_code").isNotNull(),
             "industry_on": F.col("has_industries") & (F.col("industry") != ""),
             "location_on": F.col("has_locations") & (F.col("location") != ""),
-            "location_strength": F.when(remote, 1.0).otherwise(F.coalesce("location_item.strength", F.lit(0.0))),
+            "place_strength": F.when(remote, 1.0).otherwise(F.coalesce("location_strength", F.lit(0.0))),
             "location_match": F.when(
                 remote,
                 _entry(F.concat(F.lit("Location: "), F.col("location")), F.lit("direct"), remote_place,
@@ -343,7 +459,7 @@ def _categories(rows: DataFrame) -> DataFrame:
             "arrangement_on": desk["available"],
             "arrangement_strength": desk["strength"],
             "experience_on": years["available"],
-            "experience_fraction": years["fraction"],
+            "experience_fraction": F.element_at("experience_fractions", F.when(F.col("level_place") > 0, F.col("level_place")).otherwise(len(PROFILE_YEARS) + 1)),
             "employment_on": F.col("employment_type") != "unknown",
             "employment_strength": F.when(
                 F.col("preferred_employment") == F.col("employment_type"), 1.0
@@ -351,21 +467,21 @@ def _categories(rows: DataFrame) -> DataFrame:
         }
     )
     education, education_on = two_part(
-        F.coalesce("school_required.strength", F.lit(0.0)), F.col("school_required").isNotNull(),
-        F.coalesce("school_preferred.strength", F.lit(0.0)), F.col("school_preferred").isNotNull(), (0.8, 0.2),
+        F.coalesce("school_required_strength", F.lit(0.0)), F.col("school_required_code").isNotNull(),
+        F.coalesce("school_preferred_strength", F.lit(0.0)), F.col("school_preferred_code").isNotNull(), (0.8, 0.2),
     )
     place, place_on = two_part(
-        F.col("location_strength"), F.col("location_on"), F.col("arrangement_strength"), F.col("arrangement_on"),
+        F.col("place_strength"), F.col("location_on"), F.col("arrangement_strength"), F.col("arrangement_on"),
         (0.4, 0.6),
     )
     rows = rows.withColumns(
         {
-            "role_fraction": F.when(F.col("role_on"), F.col("role_item.strength")).otherwise(0.0),
-            "required_fraction": mean("required_items"),
-            "preferred_fraction": mean("preferred_items"),
+            "role_fraction": F.when(F.col("role_on"), F.col("role_strength")).otherwise(0.0),
+            "required_fraction": mean("required"),
+            "preferred_fraction": mean("preferred"),
             "education_fraction": education,
             "education_on": education_on,
-            "industry_fraction": F.when(F.col("industry_on"), F.col("industry_item.strength")).otherwise(0.0),
+            "industry_fraction": F.when(F.col("industry_on"), F.col("industry_strength")).otherwise(0.0),
             "place_fraction": place,
             "place_on": place_on,
         }
@@ -403,7 +519,8 @@ def _categories(rows: DataFrame) -> DataFrame:
             ),
         ),
     )
-    conflict = needs_sponsorship(F.col("work_authorization")) & denies_sponsorship(F.col("job_authorization"))
+    conflict = F.col("needs_sponsorship") & F.col("denies_sponsorship")
+    breaks = lambda b: F.contains(F.col("norm_text"), b["norm"])
     texts = F.array().cast("array<string>")
     confirmed = F.concat(
         F.when(
@@ -411,8 +528,7 @@ def _categories(rows: DataFrame) -> DataFrame:
             F.array(F.lit("The profile indicates sponsorship is required, but the posting states sponsorship is unavailable.")),
         ).otherwise(texts),
         F.transform(
-            deal_breaker_hits(F.col("deal_breakers"), F.col("norm_text")),
-            lambda b: F.concat(F.lit("Profile deal-breaker found in posting: "), b),
+            F.filter("breakers", breaks), lambda b: F.concat(F.lit("Profile deal-breaker found in posting: "), b["text"])
         ),
     )
     review = F.concat(
@@ -420,18 +536,19 @@ def _categories(rows: DataFrame) -> DataFrame:
             F.coalesce("hard_disqualifiers", texts), lambda b: F.concat(F.lit("Posting blocker to verify: "), b)
         ),
         F.when(
-            ~conflict & (normalize_text(F.col("job_authorization")) != ""),
+            ~conflict & F.col("states_authorization"),
             F.array(F.concat(F.lit("Work authorization requirement to verify: "), F.trim("job_authorization"))),
         ).otherwise(texts),
     )
-    return rows.withColumns({"evidence": evidence, "confirmed_blockers": confirmed, "review_blockers": review})
+    blocked = conflict | F.exists("breakers", breaks)
+    return rows.withColumns({"evidence": evidence, "confirmed_blockers": confirmed, "review_blockers": review, "blocked": blocked})
 
 
 def _parts(role: Column, role_on: Column) -> dict[str, tuple[Column, Column]]:
     return {
         "role": (role, role_on),
-        "required_skills": (F.col("required_fraction"), F.size("required_items") > 0),
-        "preferred_skills": (F.col("preferred_fraction"), F.size("preferred_items") > 0),
+        "required_skills": (F.col("required_fraction"), F.col("required_n") > 0),
+        "preferred_skills": (F.col("preferred_fraction"), F.col("preferred_n") > 0),
         "education": (F.col("education_fraction"), F.col("education_on")),
         "experience": (F.col("experience_fraction"), F.col("experience_on")),
         "industry": (F.col("industry_fraction"), F.col("industry_on")),
@@ -440,16 +557,20 @@ def _parts(role: Column, role_on: Column) -> dict[str, tuple[Column, Column]]:
     }
 
 
-def _score(rows: DataFrame, layers: int) -> DataFrame:
-    blocked = F.size("confirmed_blockers") > 0
-    base_score, base_coverage = weighted_score(_parts(F.col("role_fraction"), F.col("role_on")), BASE_WEIGHTS)
-    kind = F.col("role_item.match_type")
+def _weighed(rows: DataFrame, weights: dict[str, int]) -> DataFrame:
+    """AGG-02: score and coverage, in two steps so that each sum is worked out once."""
+    total, earned = weighed_sums(_parts(F.col("role_fraction"), F.col("role_on")), weights)
+    score, coverage = score_of_sums(F.col("_total"), F.col("_earned"))
+    return rows.withColumns({"_total": total, "_earned": earned}).withColumns({"score": score, "coverage": coverage}).drop("_total", "_earned")
+
+
+def _score(rows: DataFrame, layers: int, carry=(), by_label: bool = False) -> DataFrame:
     track = (
-        F.when(F.col("role_on") & (kind == "direct"), PRIORITY)
-        .when(F.col("role_on") & (kind == "related"), ADJACENT)
+        F.when(F.col("role_on") & (F.col("role_code") == SAME), PRIORITY)
+        .when(F.col("role_on") & (F.col("role_code") == NEAR), ADJACENT)
         .otherwise(OUTSIDE)
     )
-    rows = rows.withColumns({"score": base_score, "coverage": base_coverage})
+    rows = _weighed(rows, BASE_WEIGHTS)
     rows = rows.withColumn(
         "track", F.when((track == OUTSIDE) & (F.col("score") >= 65), ADJACENT).otherwise(track)
     )
@@ -460,11 +581,10 @@ def _score(rows: DataFrame, layers: int) -> DataFrame:
     if layers >= 3:
         rows = _software_path(rows)
     if layers >= 4:
-        rows = _semantic_credit(rows)
+        rows = _semantic_credit(rows, by_label)
     parts = _parts(F.col("role_fraction"), F.col("role_on"))
-    score, coverage = weighted_score(parts, weights)
-    rows = rows.withColumns({"score": score, "coverage": coverage})
-    rows = rows.withColumn("classification", classify(F.col("score"), F.col("coverage"), blocked))
+    rows = _weighed(rows, weights)
+    rows = rows.withColumn("classification", classify(F.col("score"), F.col("coverage"), F.col("blocked")))
 
     ready = F.col("has_requirements")
     split = lambda kind: F.filter("evidence", lambda e: e["match_type"] == kind)
@@ -498,6 +618,7 @@ def _score(rows: DataFrame, layers: int) -> DataFrame:
             for c in ("confirmed_blockers", "review_blockers")
         ],
         F.lit(MATCHER_VERSION).alias("matcher_version"),
+        *[F.col(f"_carry_{c}").alias(c) for c in carry],
     )
 
 
@@ -577,8 +698,12 @@ def _software_path(rows: DataFrame) -> DataFrame:
     return rows.withColumn("track", F.when(F.col("industry_on"), track).otherwise(F.col("track")))
 
 
-def _semantic_credit(rows: DataFrame) -> DataFrame:
-    """Layer 4: capped credit for eligible gaps, then average, score and track again."""
+def _semantic_credit(rows: DataFrame, by_label: bool = False) -> DataFrame:
+    """Layer 4: capped credit for eligible gaps, then average, score and track again.
+
+    Evidence is found again by its label. Where no skill reads like another category's label that comes to the numbers of
+    the matches; with `by_label` the lists of evidence are asked.
+    """
     none = F.array().cast("array<struct<requirement:string,semantic:struct<evidence:string,concept:string,strength:double>>>")
 
     def offers(prefix: str, items: Column) -> Column:
@@ -606,7 +731,27 @@ def _semantic_credit(rows: DataFrame) -> DataFrame:
         ).otherwise(e)
 
     rows = rows.withColumn("evidence", F.transform("evidence", upgrade))
-    rows = rows.withColumn("_used", F.exists("evidence", lambda e: e["match_type"] == "semantic"))
+    again = _labelled_strengths() if by_label else _credited_strengths()
+    rows = rows.withColumn("_used", again.pop("used"))
+    education, _ = two_part(
+        again.pop("school_required"), F.col("school_required_code").isNotNull(),
+        again.pop("school_preferred"), F.col("school_preferred_code").isNotNull(), (0.8, 0.2),
+    )
+    on = {
+        "required": F.col("required_n") > 0, "preferred": F.col("preferred_n") > 0, "role": F.col("role_on"),
+        "industry": F.col("industry_on"), "education": F.col("education_on"),
+    }
+    redone = {**again, "education": education}
+    rows = rows.withColumns(
+        {f"{k}_fraction": F.when(F.col("_used") & on[k], redone[k]).otherwise(F.col(f"{k}_fraction")) for k in on}
+    )
+    return rows.withColumn(
+        "track", F.when(F.col("_used") & F.col("industry_on"), _industry_track()).otherwise(F.col("track"))
+    )
+
+
+def _labelled_strengths() -> dict[str, Column]:
+    """What layer 4 averages again, by the labels of the evidence."""
     strength = lambda label: F.coalesce(
         F.array_max(F.transform(F.filter("evidence", lambda e: e["requirement"] == label), lambda e: e["strength"])),
         F.lit(0.0),
@@ -617,25 +762,32 @@ def _semantic_credit(rows: DataFrame) -> DataFrame:
     top = lambda prefix: F.array_max(
         F.transform(F.filter("evidence", lambda e: e["requirement"].startswith(prefix)), lambda e: e["strength"])
     )
-    education, _ = two_part(
-        F.coalesce(top("Required education:"), F.lit(0.0)), F.col("school_required").isNotNull(),
-        F.coalesce(top("Preferred education:"), F.lit(0.0)), F.col("school_preferred").isNotNull(), (0.8, 0.2),
-    )
-    redo = lambda on, value, old: F.when(F.col("_used") & on, value).otherwise(F.col(old))
-    rows = rows.withColumns(
-        {
-            "required_fraction": redo(F.size("required_items") > 0, mean("required_items"), "required_fraction"),
-            "preferred_fraction": redo(F.size("preferred_items") > 0, mean("preferred_items"), "preferred_fraction"),
-            "role_fraction": redo(F.col("role_on"), F.coalesce(top("Role:"), F.col("role_fraction")), "role_fraction"),
-            "industry_fraction": redo(
-                F.col("industry_on"), strength(F.concat(F.lit("Industry: "), F.col("industry"))), "industry_fraction"
-            ),
-            "education_fraction": redo(F.col("education_on"), education, "education_fraction"),
-        }
-    )
-    return rows.withColumn(
-        "track", F.when(F.col("_used") & F.col("industry_on"), _industry_track()).otherwise(F.col("track"))
-    )
+    return {
+        "used": F.exists("evidence", lambda e: e["match_type"] == "semantic"),
+        "school_required": F.coalesce(top("Required education:"), F.lit(0.0)),
+        "school_preferred": F.coalesce(top("Preferred education:"), F.lit(0.0)),
+        "required": mean("required_items"), "preferred": mean("preferred_items"),
+        "role": F.coalesce(top("Role:"), F.col("role_fraction")),
+        "industry": strength(F.concat(F.lit("Industry: "), F.col("industry"))),
+    }
+
+
+def _credited_strengths() -> dict[str, Column]:
+    """The same from the numbers of the matches."""
+    code = lambda k: F.coalesce(F.col(f"{k}_code"), F.lit(-1))
+    credit = lambda k: F.coalesce(F.col(f"{k}_credit"), F.lit(0.0))
+    swapped = F.col("transferable") | F.col("_lifted")
+    # The role's own entry, unless it was a gap that a transferable role took the place of.
+    own = F.col("role_shown") & ~((code("role") <= OFFERED) & swapped)
+    added = F.col("transferable") & ~(F.col("role_shown") & (code("role") == NEAR))
+    top = F.greatest(F.when(own, F.col("role_credit")), F.when(added, TRANSFERABLE_ROLE), F.when(F.col("_lifted"), SOFTWARE_ROLE))
+    return {
+        "used": (own & (code("role") == OFFERED)) | F.col("required_offer") | F.col("preferred_offer") | (code("school_required") == OFFERED)
+        | (code("school_preferred") == OFFERED) | (F.col("industry_on") & (code("industry") == OFFERED)),
+        "school_required": credit("school_required"), "school_preferred": credit("school_preferred"),
+        "required": F.col("required_credit") / F.col("required_n"), "preferred": F.col("preferred_credit") / F.col("preferred_n"),
+        "role": F.coalesce(top, F.col("role_fraction")), "industry": credit("industry"),
+    }
 
 
 def evidence_rows(results: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from tallymark.functions.text import fold_literal
 from tallymark.operators.evidence import FixedTags, best_evidence
 from tallymark.operators.rowmatch import text_features, with_scan
 from tallymark.operators.vocabulary import Vocabulary
+from tallymark.plans import matcher
 from tallymark.plans.matcher import evidence_rows, match
 
 TOY = Vocabulary(
@@ -116,3 +117,55 @@ def test_no_row_per_item_and_pair_is_shuffled_for_common_texts(spark, monkeypatc
     rows = run(spark, [requirement(i, industry="MedTech", required_skills=["CAD", "Python"]) for i in range(1, 5)])
     # Before, items and pairs were both dealt out by posting and profile.
     assert not re.search(r"hashpartitioning\(job_id#\d+L?, profile_id#", rows._jdf.queryExecution().executedPlan().toString())
+
+
+def mixed(spark):
+    """Postings and profiles of many kinds, one of which asks for a skill that reads like another category's label."""
+    pick = random.Random(11)
+    skills = ["Python", "ISO 13485", "welding", "circuit design", "test fixtures", "validation of devices", "Java services", "data analysis", "", "technical documentation", "RTOS", "regression testing of scripts in labs"]
+    schools = ["Electrical engineering degree", "BSc in Computer Science", "Biomedical engineering degree", "Nursing diploma"]
+    some = lambda values, n: [pick.choice(values) for _ in range(pick.randrange(n))]
+    titles = ["Systems Test Engineer", "Software Engineer", "Retail Manager", "Field Service Engineer", "Biomedical Engineer II", "Quality Analyst"]
+    jobs, asks = [], []
+    for i in range(60):
+        jobs.append(posting(i, pick.choice(titles), location=pick.choice(["Boston", "Remote", ""]), description="A retail shop" if i % 7 == 0 else "", employment=pick.choice(["full_time", "contract", "unknown"]), arrangement=pick.choice(["hybrid", "onsite", "unknown"])))
+        asks.append(requirement(
+            i, role_family=pick.choice(["", "Test engineering", "Software development"]), seniority_level=pick.choice(["unknown", "entry_level", "senior"]),
+            industry=pick.choice(["", "MedTech", "Healthcare", "Retail"]), required_skills=some(skills, 5) + ["Role: tester", "Industry: MedTech"] * (i % 10 == 3), preferred_skills=some(skills, 4),
+            required_education=some(schools, 3), preferred_education=some(schools, 3), min_years=pick.choice([None, 1, 2, 9]), work_authorization=pick.choice(["", "No sponsorship available"]),
+        ))
+    people = [profile(
+        k, skills=some(skills, 6) + ["Built test fixtures", "embedded firmware on microcontrollers", "scripts for labs regression"], target_roles=some(titles, 3), target_industries=some(["Medical devices", "Healthcare", "Retail"], 3), education_summary=pick.choice(["", *schools]),
+        experience_level=pick.choice(["entry_level", "mid_level", "senior"]), preferred_locations=["Boston", "Remote - anywhere"][: k % 3], deal_breakers=["retail"] * (k % 2), work_authorization=pick.choice(["", "Requires sponsorship"]),
+    ) for k in range(6)]
+    return spark.createDataFrame(jobs, POSTINGS), spark.createDataFrame(asks, REQUIREMENTS), spark.createDataFrame(people, PROFILES)
+
+
+def test_numbers_places_and_labels_score_alike(spark, monkeypatch):
+    tables = mixed(spark)
+    rows = lambda: sorted(map(str, matcher.match(*tables).collect()))
+    monkeypatch.setattr(matcher, "COMMON_USES", 10)
+    part = rows()
+    monkeypatch.setattr(matcher, "COMMON_USES", 1)
+    placed = rows()
+    monkeypatch.setattr(matcher, "LABELS", ("",))
+    assert len(part) == 360 and part == placed == rows()
+    assert sum("match_type='semantic'" in r for r in part) > 20
+
+
+def test_scores_alone_build_no_evidence(spark, monkeypatch):
+    """The dashboard asks for scores: lists of evidence were built for every pair of it."""
+    monkeypatch.setattr(matcher, "COMMON_USES", 1)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 2000)
+    jobs, asks, people = mixed(spark)
+    rows = match(jobs.where("job_id % 10 <> 3"), asks, people)
+    plan = lambda *columns: rows.select(*columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Software pathway into MedTech" in plan("job_id", "score", "related")
+    assert "Software pathway into MedTech" not in plan("job_id", "score", "coverage", "classification", "track")
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_postings_columns_go_on_to_the_results(spark):
+    tables = mixed(spark)
+    rows = match(*tables, layers=1, carry=("title",)).select("job_id", "title").distinct()
+    assert {tuple(r) for r in rows.collect()} == {tuple(r) for r in tables[0].select("job_id", "title").collect()}
