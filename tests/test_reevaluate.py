@@ -1,5 +1,6 @@
 """Re-evaluation: only what changed is matched, and the current runs equal a match of everything."""
 
+import os
 import uuid
 
 from people import POSTINGS, PROFILES, REQUIREMENTS, posting, profile, requirement
@@ -93,3 +94,14 @@ def test_the_matcher_takes_named_pairs_only(spark):
     plain = lambda rows: {(r["job_id"], r["profile_id"]): (r["score"], r["coverage"], r["classification"], r["track"], sorted(map(str, r["direct"]))) for r in rows.collect()}
     everything = plain(match(*tables, layers=2))
     assert plain(match(*tables, layers=2, only=only)) == {k: v for k, v in everything.items() if k in wanted}
+
+
+def test_runs_are_not_left_on_disk_twice(spark):
+    """Each run's rows stayed in a folder beside the history."""
+    path = f"{checkpoint_dir(spark)}/test-evaluations-{uuid.uuid4().hex}"
+    folders = lambda: {d for d in os.listdir(checkpoint_dir(spark).removeprefix("file://")) if d.startswith("runs-")}
+    before = folders()
+    run(path, state(spark))
+    run(path, state(spark, skill="Welding of pipes"))
+    check(spark, path, state(spark, skill="Welding of pipes"))
+    assert folders() == before
